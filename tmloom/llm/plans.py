@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tmloom.llm.encodings import affected, repair
+from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
 from tmloom.session import table
 
@@ -18,5 +20,22 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copy_counts(p2_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_similar(spark, d).filter("verbatim").select("doc_id", "item_id")
+
+
+def p7_similar(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with windows like those of an item, verbatim or not."""
+    return eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return affected(table(spark, d, "documents"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return repair(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_found, p7_similar, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
