@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tmloom.llm.encodings import affected, repair
 from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
-from tmloom.session import table
+from tmloom.llm.neighbours import nearest, similar_pairs, usable
+from tmloom.session import materialise, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,15 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copy_counts(p2_found(spark, d))
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 nearest chunks of every chunk at a cosine of at least 0.85."""
+    return nearest(materialise(usable(table(spark, d, "context_chunks"), "id", "embedding", 64), "vectors"), k=3, min_cosine=0.85)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(p5_neighbours(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_similar(spark, d).filter("verbatim").select("doc_id", "item_id")
 
@@ -37,5 +47,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p7_found, p7_similar, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
