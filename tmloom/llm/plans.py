@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tmloom.llm.alignment import align, filled_segments
 from tmloom.llm.encodings import affected, repair
 from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
@@ -11,6 +12,17 @@ from tmloom.llm.neighbours import nearest, similar_pairs, usable
 from tmloom.session import materialise, table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return align(table(spark, d, "context_chunks")).select(
+        F.col("file").alias("file_id"), F.col("i").alias("source_index"), F.col("j").alias("target_index"))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Both sentences of every link with the score and type computed anew."""
+    chunks = table(spark, d, "context_chunks")
+    return filled_segments(chunks, materialise(align(chunks), "alignment"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     records = keyed_records(table(spark, d, "segments"), "segments", "id", "project_id", "source_content").unionByName(
         keyed_records(table(spark, d, "translation_units"), "translation_units", "id", "project_id", "source_text"))
@@ -47,5 +59,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
