@@ -8,6 +8,7 @@ from tmloom.llm.alignment import align, filled_segments
 from tmloom.llm.encodings import affected, repair
 from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
+from tmloom.llm.mixing import mix
 from tmloom.llm.neighbours import nearest, similar_pairs, usable
 from tmloom.session import materialise, table
 
@@ -51,6 +52,16 @@ def p7_similar(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their number of copies."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return affected(table(spark, d, "documents"))
 
@@ -59,5 +70,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p9_found, p9_restored)}
 ORACLES: dict[str, str] = {}
