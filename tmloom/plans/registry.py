@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tmloom.plans import problems
+from tmloom.plans import matching, problems, texts
 
-MODULES = (problems,)
-FLAGSHIP = "p4_found"
+MODULES = (problems, texts, matching)
+FLAGSHIP = "tm_exact_lookup"
 
 
 def queries() -> dict:
