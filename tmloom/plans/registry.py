@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tmloom.plans import matching, problems, texts
+from tmloom.plans import matching, problems, reports, retrieval, texts
 
-MODULES = (problems, texts, matching)
+MODULES = (problems, texts, matching, retrieval, reports)
 FLAGSHIP = "tm_exact_lookup"
 
 
