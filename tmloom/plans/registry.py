@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tmloom.plans import matching, problems, reports, retrieval, texts
+from tmloom.plans import matching, problems, reports, retrieval, revisions, texts
 
-MODULES = (problems, texts, matching, retrieval, reports)
+MODULES = (problems, texts, matching, retrieval, reports, revisions)
 FLAGSHIP = "tm_exact_lookup"
 
 
