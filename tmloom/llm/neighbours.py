@@ -32,6 +32,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tmloom.session import materialise
+
 SAMPLE_VECTORS = 20_000
 PER_CELL = 128
 MAX_CELLS = 4096
@@ -173,15 +175,14 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
                 part = pdf.iloc[s:s + 2048]
                 x = np.stack(part["u"].to_numpy()).astype(np.float32)
                 codes, norms = q.encode(x)
-                probes = q.cells_of(x, PROBES)
-                raw = [row.tobytes() for row in x]
-                yield pd.DataFrame({"cell": codes[:, 0], "stored": True, "rep": part["rep"].to_numpy(), "raw": raw,
-                                    "codes": [c.astype(np.int16).tobytes() for c in codes], "norm": norms})
-                p = probes.shape[1]
-                yield pd.DataFrame({"cell": probes.ravel(), "stored": False, "rep": np.repeat(part["rep"].to_numpy(), p),
-                                    "raw": [r for r in raw for _ in range(p)], "codes": None, "norm": 0.0})
-
-    rows = reps.select("rep", "u").mapInPandas(encode, "cell int, stored boolean, rep string, raw binary, codes binary, norm float")
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "raw": [row.tobytes() for row in x], "codes": [c.astype(np.int16).tobytes() for c in codes],
+                                    "norm": norms, "own": codes[:, 0], "probes": list(q.cells_of(x, PROBES))})
+
+    # one row per vector; its places in the cells are made from it on the JVM, twice, without encoding twice
+    encoded = materialise(reps.select("rep", "u").mapInPandas(encode, "rep string, raw binary, codes binary, norm float, own int, probes array<int>"), "encoded")
+    stored = encoded.select(F.col("own").alias("cell"), F.lit(True).alias("stored"), "rep", "raw", "codes", "norm")
+    asked = encoded.select(F.explode("probes").alias("cell"), F.lit(False).alias("stored"), "rep", "raw", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm"))
+    rows = stored.unionByName(asked)
     # split full cells: at most MAX_CELLS rows of counts, joined, not collected
     sizes = rows.groupBy("cell").agg(F.ceil(F.count_if("stored") / BLOCK_ROWS).cast("int").alias("sb"),
                                      F.ceil(F.count_if(~F.col("stored")) / BLOCK_ROWS).cast("int").alias("qb"))
