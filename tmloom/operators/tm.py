@@ -93,3 +93,36 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     single = lambda df, name: df.join(first.select(name), name, "left_anti").groupBy("project_id", "norm").agg(F.count("*").alias("c"), F.min(name).alias(name)).filter("c = 1").drop("c")
     second = single(n, "new_id").join(single(o, "old_id"), ["project_id", "norm"]).select("project_id", "new_id", "old_id", F.lit("normalised").alias("tier"))
     return first.unionByName(second).select("new_id", "old_id", "tier")
+
+
+def reinitialise(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new_id, old_id, tier``: rows of freshly parsed files with the stored rows they take over.
+
+    Four tiers, each over what the ones before left: the same text in the same file, the
+    same text among rows without a file (both in order), then the normalised text in the
+    same file and among rows without a file where it is unique on both sides. ``old`` and
+    ``new`` have ``id, project_id, file_id, idx, source``.
+    """
+    shape = lambda df, name: df.filter("source is not null and project_id is not null and idx is not null").select(
+        "project_id", F.coalesce("file_id", F.lit("")).alias("file"), "idx", F.col("id").alias(name), T.strip(F.col("source")).alias("key"), T.match_key(F.col("source")).alias("norm"))
+    o, n, found = shape(old, "old_id"), shape(new, "new_id"), None
+    for tier, (column, orphans, unique) in enumerate((("key", False, False), ("key", True, False), ("norm", False, True), ("norm", True, True)), 1):
+        left_o = o.filter(F.col("file") == "") if orphans else o.filter(F.col("file") != "")
+        left_n = n
+        if found is not None:
+            left_o, left_n = left_o.join(found.select("old_id"), "old_id", "left_anti"), left_n.join(found.select("new_id"), "new_id", "left_anti")
+        by = ["project_id", column] if orphans else ["project_id", "file", column]
+        if unique:
+            one = lambda df, name: df.groupBy(*by).agg(F.count("*").alias("c"), F.min(name).alias(name)).filter("c = 1").drop("c")
+            hit = one(left_n, "new_id").join(one(left_o, "old_id"), by)
+        else:
+            at = lambda df, name: positions(df, by, "idx", name, "place").select(*by, "place", name)
+            hit = at(left_n, "new_id").join(at(left_o, "old_id"), [*by, "place"])
+        hit = hit.select("new_id", "old_id", F.lit(tier).alias("tier"))
+        found = hit if found is None else found.unionByName(hit)
+    return found
+
+
+def summary(matches: DataFrame) -> DataFrame:
+    """``tier, rows``: how many rows each tier gave."""
+    return matches.groupBy("tier").agg(F.count("*").alias("rows"))

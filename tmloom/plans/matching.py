@@ -153,3 +153,16 @@ def chain_scores(spark, d):
     p = O.positions(chunks(spark, d), ["file_id"], "chunk_index", "id").select("file_id", "position", "id")
     later = p.select("file_id", F.col("id").alias("earlier_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("distance"), "position").withColumn("position", F.col("position") + F.col("distance"))
     return p.join(later, ["file_id", "position"]).select("id", "earlier_id", S.chain_score(F.col("distance")).alias("score"))
+
+
+@Q.add(ORACLES["rematch_versions"].replace("SELECT new_id, old_id, 'exact' AS tier FROM f UNION ALL", "SELECT tier, count(*) AS rows FROM (SELECT new_id, old_id, 'exact' AS tier FROM f UNION ALL") + ") GROUP BY 1")
+def rematch_summary(spark, d):
+    return tm.summary(rematch_versions(spark, d))
+
+
+@Q.add(f"""WITH o AS (SELECT id, project_id, file_id, {strip_sql('source')} AS key, row_number() OVER (PARTITION BY project_id, file_id, {strip_sql('source')} ORDER BY idx, id) AS n FROM {_S} WHERE source IS NOT NULL AND file_id IS NOT NULL)
+       SELECT id AS new_id, id AS old_id, 1::INTEGER AS tier FROM o""")
+def reinitialise_unchanged(spark, d):
+    """Files parsed again without a change: every row finds itself."""
+    s = segments(spark, d).filter("file_id is not null")
+    return tm.reinitialise(s, s)
