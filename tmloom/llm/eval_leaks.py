@@ -66,12 +66,18 @@ def shingles(hashes: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.nda
 
 
 def fingerprints(h: np.ndarray, w: np.ndarray, per_window: int) -> np.ndarray:
-    """SimHash of each window of ``per_window`` neighbouring shingles."""
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = np.where(bits, w[:, None], -w[:, None]).astype(np.int32)
-    total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
-    wins = (total[per_window:] - total[:-per_window]) > 0
-    return np.packbits(wins, axis=1).view(">u8").astype(np.uint64).ravel()
+    """SimHash of each window of ``per_window`` neighbouring shingles.
+
+    Votes of a window are differences of running sums; these may wrap around in a
+    narrow type as long as the votes of one window fit it.
+    """
+    most = per_window * int(w.max(initial=1))
+    kind = np.int8 if most < 128 else np.int16 if most < 32768 else np.int32
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+    narrow = w.astype(kind)[:, None]
+    total = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(bits.astype(kind, copy=False) * (2 * narrow) - narrow, axis=0, dtype=kind, out=total[1:])
+    return np.packbits((total[per_window:] - total[:-per_window]) > 0, axis=1).view(">u8").astype(np.uint64).ravel()
 
 
 class ItemIndex:
