@@ -10,6 +10,7 @@ from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
 from tmloom.llm.mixing import mix
 from tmloom.llm.neighbours import nearest, similar_pairs, usable
+from tmloom.llm.oracles import ORACLES
 from tmloom.session import materialise, table
 
 
@@ -71,4 +72,5 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p9_found, p9_restored)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
