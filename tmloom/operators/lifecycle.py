@@ -67,8 +67,13 @@ def fingerprint(rows: DataFrame, group: str, order: list[str], parts: list[str],
     return b.groupBy(group).agg(F.sum("n").alias("rows"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), ""), 256), 1, 16).alias("fingerprint"))
 
 
-def outdated(files: DataFrame, group: str, newest_first: list[Column], keep: int) -> DataFrame:
-    """The rows of each group beyond the newest ``keep``."""
-    from pyspark.sql import Window
+def outdated(files: DataFrame, group: str, newest_first: Column, keep: int) -> DataFrame:
+    """The rows of each group beyond the newest ``keep``; ``newest_first`` is a struct that orders them and is unique.
 
-    return files.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*newest_first))).filter(F.col("__rn") > keep).drop("__rn")
+    The newest are found salted, so a group is never sorted in one task.
+    """
+    from tmloom.operators.tm import smallest
+
+    ranked = files.withColumn("__order", newest_first)
+    newest = smallest(ranked, [group], "__order", keep).select(group, F.explode("best").alias("__order"))
+    return ranked.join(newest, [group, "__order"], "left_anti").filter(F.col(group).isNotNull()).drop("__order")

@@ -9,7 +9,7 @@ give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tmloom.functions import scoring, text as T
 from tmloom.operators.ordered import positions
@@ -26,17 +26,15 @@ def exact_lookup(segments: DataFrame, units: DataFrame, keep: int = 5, strict: b
     usable = units.filter((F.col("target_text") != "") & F.col("source_text").isNotNull()).select(
         "project_id", unit_key.alias("key"), F.struct((-scoring.origin_score(F.col("origin_type"))).alias("neg"), F.col("id").alias("unit_id"), "target_text").alias("u"))
     # at most `keep` units of a key can appear in any result
-    best = _smallest(usable, ["project_id", "key"], "u", keep)
+    best = smallest(usable, ["project_id", "key"], "u", keep)
     return (segments.filter(F.col("source").isNotNull()).select("id", "project_id", key.alias("key")).join(best, ["project_id", "key"])
             .select("id", F.posexplode("best").alias("pos", "u"))
             .select("id", F.col("u.unit_id").alias("unit_id"), F.col("u.target_text").alias("target_text"), (-F.col("u.neg")).alias("score"), (F.col("pos") + 1).alias("rank")))
 
 
-def _smallest(df: DataFrame, keys: list[str], struct: str, n: int, salts: int = 16) -> DataFrame:
+def smallest(df: DataFrame, keys: list[str], struct: str, n: int, salts: int = 16) -> DataFrame:
     """``keys, best``: the ``n`` smallest structs per key; a hot key is cut into salts first."""
     cut = lambda c: F.slice(F.array_sort(c), 1, n)
-    from pyspark.sql import Window
-
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(struct), F.lit(salts)))
     w = Window.partitionBy(*keys, "__salt").orderBy(struct)
     top = salted.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)

@@ -91,3 +91,12 @@ def tags_sql(c: str) -> str:
 
 def clean_sql(c: str) -> str:
     return strip_sql(rf"regexp_replace({tags_sql(c)}, '\[(?:TAB|COMMENT|SHAPE)\]', '', 'g')")
+
+
+#: metadata as readable JSON: without a byte-order mark, a string of JSON unwrapped
+META = r"""(SELECT DISTINCT id, CASE WHEN json_valid(m) THEN CASE WHEN json_type(m) = 'VARCHAR' THEN CASE WHEN json_valid(m ->> '$') THEN m ->> '$' END ELSE m END END AS j
+       FROM (SELECT id, regexp_replace(metadata_json, '^\x{FEFF}+', '') AS m FROM segments WHERE metadata_json IS NOT NULL))"""
+
+
+def json_list(path: str) -> str:
+    return f"(CASE json_type(j, '{path}') WHEN 'ARRAY' THEN json_extract(j, '{path}[*]') WHEN 'OBJECT' THEN [json_extract(j, '{path}')] END)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tmloom.operators.dates import normalised_dates
 from tmloom.operators.nested import flatten_metadata
+from tmloom.plans.base import META, json_list
 from tmloom.operators.references import all_orphans, orphan_report
 from tmloom.session import table
 
@@ -65,7 +66,25 @@ def _p4_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+
+
+def _p6_sql() -> str:
+    def listed(path: str, name: str) -> str:
+        return (f"SELECT id AS segment_id, '{name}' AS child_table, '' AS parent_key, CAST(i - 1 AS VARCHAR) AS child_key FROM "
+                f"(SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT id, {json_list(path)} AS l FROM {META})) WHERE json_type(x) <> 'NULL'")
+
+    return f"""WITH t AS (SELECT id, k, json_extract(j, '$.tags') -> k AS x FROM (SELECT id, j, unnest(json_keys(j, '$.tags')) AS k FROM {META} WHERE json_type(j, '$.tags') = 'OBJECT')
+           UNION ALL SELECT id, x ->> '$.id' AS k, x FROM (SELECT id, unnest(json_extract(j, '$.tags[*]')) AS x FROM {META} WHERE json_type(j, '$.tags') = 'ARRAY') WHERE x ->> '$.id' IS NOT NULL),
+       m AS (SELECT id, i - 1 AS i, json_extract(x, '$.metadata') AS x FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT id, {json_list('$.context_matches')} AS l FROM {META})))
+       SELECT id AS segment_id, 'tags' AS child_table, '' AS parent_key, k AS child_key FROM t WHERE json_type(x) <> 'NULL'
+       UNION ALL SELECT id, 'tag_attributes', k, a FROM (SELECT id, k, x, unnest(json_keys(x, '$.xml_attributes')) AS a FROM t WHERE json_type(x, '$.xml_attributes') = 'OBJECT') WHERE json_type(json_extract(x, '$.xml_attributes') -> a) <> 'NULL'
+       UNION ALL SELECT id, 'match_metadata', CAST(i AS VARCHAR), a FROM (SELECT id, i, x, unnest(json_keys(x)) AS a FROM m WHERE json_type(x) = 'OBJECT') WHERE json_type(x -> a) <> 'NULL'
+       UNION ALL {listed('$.metadata.revisions', 'revisions')} UNION ALL {listed('$.metadata.revision_stages', 'revision_stages')} UNION ALL {listed('$.context_matches', 'context_matches')}"""
+
+
 ORACLES = {
+    "p6_found": _p6_sql(),
+    "p6_counts": f"SELECT child_table, count(*) AS children, count(DISTINCT segment_id) AS segments FROM ({_p6_sql()}) GROUP BY 1",
     "p4_found": f"SELECT child_table, child_id, reason, period FROM ({_p4_sql()})",
     "p4_report": f"SELECT child_table, period, reason, count(*) AS orphans, count(DISTINCT ref_key) AS dangling_keys FROM ({_p4_sql()}) GROUP BY 1, 2, 3",
 }

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tmloom.functions import scoring as S, text as T
 from tmloom.operators import lifecycle as L, ordered as O
-from tmloom.plans.base import CHUNK, FILE, LOG, PROJECT, SEG, TU, Registry, chunks, files, logs, projects, segments, strip_sql, tags_sql, units
-from tmloom.plans.retrieval import META
+from tmloom.plans.base import CHUNK, FILE, LOG, META, PROJECT, SEG, TU, Registry, chunks, files, logs, projects, segments, strip_sql, tags_sql, units
 from tmloom.operators.dates import readable_json
 from tmloom.session import table
 
@@ -135,10 +134,10 @@ def content_fingerprint(spark, d):
     return L.fingerprint(segments(spark, d), "project_id", ["idx", "id"], ["status", "target"])
 
 
-@Q.add(f"SELECT id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY uploaded_at DESC, id) AS rn FROM {FILE}) WHERE rn > 2")
+@Q.add(f"SELECT id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY uploaded_at DESC, id) AS rn FROM {FILE} WHERE project_id IS NOT NULL) WHERE rn > 2")
 def backup_rotation(spark, d):
     """Files beyond the newest two of a project."""
-    return L.outdated(files(spark, d), "project_id", [F.desc("uploaded_at"), F.asc("id")], 2).select("id", "project_id")
+    return L.outdated(files(spark, d), "project_id", F.struct((-F.unix_micros(F.col("uploaded_at").cast("timestamp"))).alias("t"), "id"), 2).select("id", "project_id")
 
 
 @Q.add(f"SELECT id, source AS target FROM {SEG}")

@@ -8,20 +8,12 @@ from tmloom.functions import text as T
 from tmloom.functions.keys import norm_key
 from tmloom.operators import fuzzy, glossary, matches as M, topk
 from tmloom.operators.dates import readable_json
-from tmloom.plans.base import PROJECT, SEG, Registry, clean_sql, projects, segments, strip_sql, tags_sql
+from tmloom.plans.base import META, PROJECT, SEG, Registry, clean_sql, json_list, projects, segments, strip_sql, tags_sql
 from tmloom.session import table
 
 Q = Registry()
 QUERIES, ORACLES = Q.queries, Q.oracles
 
-META = r"""(SELECT DISTINCT id, CASE WHEN json_valid(m) THEN CASE WHEN json_type(m) = 'VARCHAR' THEN CASE WHEN json_valid(m ->> '$') THEN m ->> '$' END ELSE m END END AS j
-       FROM (SELECT id, regexp_replace(metadata_json, '^\x{FEFF}+', '') AS m FROM segments WHERE metadata_json IS NOT NULL))"""
-
-
-def json_list(path: str) -> str:
-    return f"(CASE json_type(j, '{path}') WHEN 'ARRAY' THEN json_extract(j, '{path}[*]') WHEN 'OBJECT' THEN [json_extract(j, '{path}')] END)"
-
-
 _M = f"""(SELECT id, pos - 1 AS pos, x ->> '$.id' AS match_id, x ->> '$.type' AS kind, coalesce(CAST(x ->> '$.score' AS INTEGER), 0) AS score, CAST(x ->> '$.raw_logit' AS DOUBLE) AS raw
        FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT id, {json_list('$.context_matches')} AS l FROM {META})) WHERE json_type(x) <> 'NULL')"""
 
