@@ -47,7 +47,8 @@ def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataF
     t = u.select("scope", "id", "text")
     full = pairs.join(t, ["scope", "id"]).join(t.select("scope", F.col("id").alias("other_id"), F.col("text").alias("other")), ["scope", "other_id"])
     bound = F.floor((1 - least / 100) * (F.length("text") + F.length("other"))).cast("int")
-    near = full.filter(F.levenshtein("text", "other") <= bound).withColumn("ratio", indel_ratio("text", "other")).filter(F.col("ratio") >= least)
+    # the bounded distance gives up at the bound, which may differ from pair to pair
+    near = full.withColumn("bound", bound).filter(F.expr("levenshtein(text, other, bound) >= 0")).withColumn("ratio", indel_ratio("text", "other")).filter(F.col("ratio") >= least)
     both = near.select("scope", "id", "other_id", "ratio").unionByName(near.select("scope", F.col("other_id").alias("id"), F.col("id").alias("other_id"), "ratio"))
     w = Window.partitionBy("scope", "id").orderBy(F.desc("ratio"), "other_id")
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("scope", "id", "other_id", F.floor("ratio").cast("int").alias("score"))
