@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     setting a machine-local folder would lose data, so that is refused.
     """
     sc = spark.sparkContext
-    conf = sc.getConf().get(CHECKPOINT_KEY)
+    conf = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if conf:
         return conf.rstrip("/")
     folder = getattr(sc, "_tmloom_folder", None)
