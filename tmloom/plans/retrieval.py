@@ -144,7 +144,7 @@ def auto_glossary_filter(spark, d):
 def glossary_new_terms(spark, d):
     g = segments(spark, d).filter("source is not null and project_id is not null").select(
         F.col("id").alias("segment_id"), F.col("project_id").alias("scope"), F.lower(T.strip(F.split_part("source", F.lit(" "), F.lit(1)))).alias("term"))
-    return glossary.new_terms(g, _terms(spark, d), g.filter(F.col("term").startswith("t"))).select("segment_id", "scope", "term")
+    return glossary.new_terms(g, _terms(spark, d), g).select("segment_id", "scope", "term")
 
 
 @Q.add("""WITH c AS (SELECT DISTINCT id, embedding AS v FROM context_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
