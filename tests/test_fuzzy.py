@@ -31,3 +31,19 @@ def test_against_all_pairs(spark):
         want |= {(p, i, j, int(-r)) for r, j in near[:5]}
     got = {tuple(r) for r in similar_texts(spark.createDataFrame(rows, "id string, scope string, text string")).collect()}
     assert got == want
+
+
+def test_pairs_at_the_bound_and_without_a_long_run(spark):
+    """Ratios of exactly 90, and short texts that have no run of four letters in common."""
+    pairs = [("Further is training planned for Veorwy.", "Further training is planned for Veorwy..."), ("abcde", "abcXde"), ("abcdefghi", "abcXdefYghi"), ("abcdefghij", "abcefgXhij"), ("a" * 9 + "bc" * 41, "bc" * 41 + "d")]
+    rows = [(f"{k}{s}", f"p{k}", t) for k, p in enumerate(pairs) for s, t in zip("ab", p)]
+    rng = random.Random(3)
+    rows += [(f"r{i:03d}", "r", "".join(rng.choice("ab") for _ in range(rng.randint(5, 14)))) for i in range(300)]
+    for least in (90.0, 84.0):
+        first = {}
+        for i, p, t in rows:
+            first[p, t] = min(i, first.get((p, t), i))
+        want = {(p, i, j, int(ratio(t, x))) for (p, t), i in first.items() for (q, x), j in first.items() if p == q and t != x and ratio(t, x) >= least}
+        assert least != 90.0 or {"p0", "p1", "p2", "p3"} <= {w[0] for w in want}
+        got = {tuple(r) for r in similar_texts(spark.createDataFrame(rows, "id string, scope string, text string"), least, keep=1000).collect()}
+        assert got == want

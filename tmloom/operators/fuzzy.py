@@ -3,9 +3,11 @@
 Candidates come from a prefix filter: a text of length L that is at least r percent
 like another differs from it in at most D insertions and deletions, and each of these
 touches at most q of its q-letter runs, so of its runs ordered from rare to frequent
-the first q*D + 1 hold one that the other text has among its own first. Only pairs that share
-such a run meet; a length band and the engine's bounded edit distance thin them out
-before the exact similarity is computed.
+the first q*D + 1 hold one that the other text has among its own first, if the two have
+any in common. That they have is certain for pairs of some total length on; shorter
+pairs meet by shorter runs (``bands``). Only pairs that share such a run meet; a length
+band and the engine's bounded edit distance thin them out before the exact similarity
+is computed.
 
 Equal texts are collapsed first. Defined cases: null and short texts take no part;
 a text never matches itself or an equal one; ties order by text id.
@@ -13,40 +15,99 @@ a text never matches itself or an equal one; ties order by text id.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tmloom.functions.similarity import indel_ratio
 
 GRAM = 4
 MIN_LENGTH = 5
+#: bounds are rounded down from a little above, so that none comes out one too low; the exact similarity decides
+SLACK = 1e-6
 
 
-def _grams(c: Column) -> Column:
-    """The distinct runs of letters, each with the number of its occurrence, as a multiset has them."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: c.substr(i, F.lit(GRAM))))
+def most_edits(total: Column, least: float) -> Column:
+    """At most so many insertions and deletions separate two texts of that total length."""
+    return F.floor((100 - least) * total / 100 + SLACK).cast("int")
 
 
-def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataFrame:
-    """``scope, id, other_id, score``: per text the ``keep`` most similar other texts of its scope.
+def longest(n: Column, least: float) -> Column:
+    """A partner of a text of ``n`` letters is at most so long."""
+    return F.floor(n * (200 - least) / least + SLACK).cast("int")
 
-    ``texts`` has ``id, scope, text``; equal texts of a scope are one text under their smallest id.
+
+def bands(least: float, shortest: int) -> list[tuple[int, int, int | None]]:
+    """``(q, low, high)``: pairs with ``low <= total length < high`` share a run of ``q`` letters for certain.
+
+    Of two texts with the total length S and d edits between them, at least
+    S / 2 - (q - 1) - (q - 1/2) * d runs of q letters are untouched; d has the parity of S.
     """
-    u = texts.filter(F.col("text").isNotNull() & F.col("scope").isNotNull() & (F.length("text") >= MIN_LENGTH)).groupBy("scope", "text").agg(F.min("id").alias("id"))
-    # at most this many insertions and deletions separate a text from a partner: the partner is at most L * (200 - r) / r long
-    edits = F.floor((1 - least / 100) * (F.length("text") * (1 + (200 - least) / least)))
-    grams = u.select("scope", "id", F.length("text").alias("n"), (edits * GRAM + 1).cast("int").alias("p"), F.explode(_grams(F.col("text"))).alias("g"))
-    freq = grams.groupBy("scope", "g").agg(F.count("*").alias("df"))
-    ranked = grams.join(freq.filter("df > 1"), ["scope", "g"]).groupBy("scope", "id", "n", "p").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"), F.count("*").alias("shared"))
-    own = grams.groupBy("scope", "id").agg(F.count("*").alias("total"))
+    def shares(total: int, q: int) -> bool:
+        d = math.floor((100 - least) * total / 100 + SLACK)
+        d -= (total - d) % 2
+        return d < 0 or total / 2 - (q - 1) - (q - 0.5) * d >= 1
+
+    out, high = [], None
+    for q in range(GRAM, 0, -1):
+        slope = 0.5 - (q - 0.5) * (100 - least) / 100
+        if q > 1 and slope <= 0:
+            continue
+        low = 2 * shortest
+        if q > 1:
+            end = max(low, math.ceil((q + SLACK * q) / slope) + 1)  # from here on it holds without asking
+            low = max((s + 1 for s in range(low, end) if not shares(s, q)), default=low)
+        if high is None or low < high:
+            out.append((q, low, high))
+            high = low
+        if low == 2 * shortest:
+            break
+    return out
+
+
+def in_band(n: Column, least: float, low: int, high: int | None) -> Column:
+    """Whether a text of ``n`` letters can have a partner with which it is in the band."""
+    ok = n + longest(n, least) >= low
+    return ok if high is None else ok & (n + F.ceil(n * least / (200 - least) - SLACK) < high)
+
+
+def grams(c: Column, q: int = GRAM) -> Column:
+    """The distinct runs of ``q`` letters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - q + 1), lambda i: c.substr(i, F.lit(q))))
+
+
+def prefix_length(n: Column, least: float, q: int) -> Column:
+    """Of so many runs of a text of ``n`` letters a partner has one, if it has any."""
+    return most_edits(n + longest(n, least), least) * q + 1
+
+
+def _pairs(u: DataFrame, least: float, q: int, low: int, high: int | None) -> DataFrame:
+    """``scope, id, other_id``: pairs of the band that share a run of their prefixes."""
+    n = F.length("text")
+    runs = u.filter(in_band(n, least, low, high)).select("scope", "id", n.alias("n"), prefix_length(n, least, q).alias("p"), F.explode(grams(F.col("text"), q)).alias("g"))
+    freq = runs.groupBy("scope", "g").agg(F.count("*").alias("df"))
+    ranked = runs.join(freq.filter("df > 1"), ["scope", "g"]).groupBy("scope", "id", "n", "p").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"), F.count("*").alias("shared"))
+    own = runs.groupBy("scope", "id").agg(F.count("*").alias("total"))
     # runs no other text has come first in the order; they use up the prefix without giving candidates
     left = F.greatest(F.col("p") - (F.col("total") - F.col("shared")), F.lit(0)).cast("int")
     prefix = ranked.join(own, ["scope", "id"]).select("scope", "id", "n", F.explode(F.slice("gs", 1, left)).alias("s")).select("scope", "id", "n", F.col("s.g").alias("g"))
     b = prefix.select("scope", F.col("id").alias("other_id"), F.col("n").alias("m"), "g")
-    bound = F.floor((1 - least / 100) * (F.col("n") + F.col("m")))
-    pairs = prefix.join(b, ["scope", "g"]).filter((F.col("id") < F.col("other_id")) & (F.abs(F.col("n") - F.col("m")) <= bound)).select("scope", "id", "other_id").distinct()
+    total = F.col("n") + F.col("m")
+    here = total >= low if high is None else (total >= low) & (total < high)
+    return prefix.join(b, ["scope", "g"]).filter((F.col("id") < F.col("other_id")) & here & (F.abs(F.col("n") - F.col("m")) <= most_edits(total, least))).select("scope", "id", "other_id").distinct()
+
+
+def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataFrame:
+    """``scope, id, other_id, score``: per text the ``keep`` most similar other texts of its scope.
+
+    ``texts`` has ``id, scope, text``; equal texts of a scope are one text under their smallest id.
+    """
+    u = texts.filter(F.col("text").isNotNull() & F.col("scope").isNotNull() & (F.length("text") >= MIN_LENGTH)).groupBy("scope", "text").agg(F.min("id").alias("id"))
+    pairs = reduce(DataFrame.unionByName, [_pairs(u, least, *band) for band in bands(least, MIN_LENGTH)])
     t = u.select("scope", "id", "text")
     full = pairs.join(t, ["scope", "id"]).join(t.select("scope", F.col("id").alias("other_id"), F.col("text").alias("other")), ["scope", "other_id"])
-    bound = F.floor((1 - least / 100) * (F.length("text") + F.length("other"))).cast("int")
+    bound = most_edits(F.length("text") + F.length("other"), least)
     # the bounded distance gives up at the bound, which may differ from pair to pair
     near = full.withColumn("bound", bound).filter(F.expr("levenshtein(text, other, bound) >= 0")).withColumn("ratio", indel_ratio("text", "other")).filter(F.col("ratio") >= least)
     both = near.select("scope", "id", "other_id", "ratio").unionByName(near.select("scope", F.col("other_id").alias("id"), F.col("id").alias("other_id"), "ratio"))
