@@ -85,3 +85,20 @@ def test_fill(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = A.filled_segments(df, A.align(df)).collect()
     assert {r.alignment_type for r in got} >= {"1:1", "2:1"} and all(0 <= r.alignment_score <= 100 for r in got)
+
+
+def test_moved_chapters_and_block_edges(spark, monkeypatch):
+    """The second half of the translation comes first; the links are those of the file taken at once."""
+    rows, want = corpus(1, 200)
+    tgt = [r[3] for r in rows if r[3] is not None]
+    half = len(tgt) // 2
+    moved = tgt[half:] + tgt[:half]
+    rows = [(f, k, s, moved[k] if k < len(tgt) else None, x) for f, k, s, _, x in rows]
+    want = {(f, i, (j - half) % len(tgt)) for f, i, j in want}
+    found = []
+    for block in (512, 32, 7):
+        monkeypatch.setattr(A, "BLOCK", block)
+        found.append({tuple(r) for r in A.align(spark.createDataFrame(rows, SCHEMA)).collect()})
+    links = {r[:3] for r in found[1]}
+    assert found[0] == found[1] == found[2]
+    assert len(links & want) / len(links) > 0.95 and len(links & want) / len(want) > 0.9

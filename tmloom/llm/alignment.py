@@ -9,11 +9,10 @@ index of the target words, target sentences likewise in the other direction; pai
 that choose each other in both directions are links. A sentence left over joins the
 link of its neighbour if that covers it (merged and split sentences).
 
-Documents of more than ``BLOCK`` sentences are cut into blocks, and a target sentence
-is compared with the source blocks around its relative position, so a task holds a
-block of each side at most and the work grows with the length, not its square;
-sentences may be reordered by up to ``BLOCK`` places. The index of a block is an
-array; the table is joined to the words of the blocks and never sent whole.
+A document is aligned as a whole, however far its sentences were moved: the inverted
+index gives the pairs of the whole document that have a word in common, ``BLOCK`` source
+sentences at a time, and only pairs with a score that matters are kept. A task holds
+the words of one document; the table is joined to them and never sent whole.
 
 Defined cases: null and blank sentences and rows without a document or place are no
 sentences; a sentence delivered several times is one; of two texts at one place the
@@ -31,7 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tmloom.functions.keys import norm_key
 from tmloom.session import materialise
 
+#: at most so many source sentences, and about so many scores and their parts, are computed at a time
 BLOCK = 512
+CELLS = 4_000_000
 ROUNDS = 3
 MIN_ASSOCIATION = 0.2
 LINK = 0.42
@@ -78,122 +79,175 @@ def sentences(chunks: DataFrame, file_id: str = "file_id", place: str = "chunk_i
             .select("file", "side", "idx", sentence_words(F.col("text")).alias("words")).filter(F.size("words") > 0))
 
 
-def blocks(sents: DataFrame) -> DataFrame:
-    """``file, lang, block, side, idx, words``: every sentence in the blocks it is compared in.
-
-    ``lang`` is the language of the target side by its function words.
-    """
+def with_language(sents: DataFrame) -> DataFrame:
+    """``file, lang, side, idx, words``: ``lang`` is the language of the target side of the file by its function words."""
     hits = [F.sum(F.when(F.col("side") == "t", F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws.split()])))).otherwise(0)).alias(l)
             for l, ws in STOPWORDS.items()]
     best = F.array_max(F.array(*[F.struct(F.col(l).alias("n"), F.lit(l).alias("l")) for l in STOPWORDS]))["l"]
-    about = sents.groupBy("file").agg(F.count_if(F.col("side") == "s").alias("n_s"), F.count_if(F.col("side") == "t").alias("n_t"), *hits).select("file", "n_s", "n_t", best.alias("lang"))
-    last = F.greatest(F.ceil(F.col("n_s") / BLOCK) - 1, F.lit(0))
-    near = F.floor(F.col("idx") * F.col("n_s") / F.greatest("n_t", F.lit(1)) / BLOCK)
-    at = F.when(F.col("side") == "s", F.array(F.least(F.floor(F.col("idx") / BLOCK), last))).otherwise(
-        F.sequence(F.greatest(F.least(near - 1, last), F.lit(0)), F.least(near + 1, last)))
-    return sents.join(about, "file").select("file", "lang", F.explode(at).alias("block"), "side", "idx", "words")
+    about = sents.groupBy("file").agg(*hits).select("file", best.alias("lang"))
+    return sents.join(about, "file").select("file", "lang", "side", "idx", "words")
 
 
-def incidence(sentences: list) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Vocabulary of a side of a block, its sentence-word array, and the weight of each word.
+def has_digit(word: str) -> bool:
+    return any(ch.isdigit() for ch in word)
 
-    A word weighs more the fewer sentences have it; one in more than half of them nothing.
-    """
-    vocab: dict[str, int] = {}
-    for ws in sentences:
-        for w in ws:
-            vocab.setdefault(w, len(vocab))
-    x = np.zeros((len(sentences), len(vocab)), np.float32)
-    for k, ws in enumerate(sentences):
-        x[k, [vocab[w] for w in ws]] = 1
-    df = x.sum(0)
-    return vocab, x, np.where(df <= max(2, len(sentences) / 2), np.log1p(len(sentences) / np.maximum(df, 1)), 0).astype(np.float32)
 
+def spread(start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The posting lists of the keys, one after the other: which key it is, and the place in the postings."""
+    n = start[keys + 1] - start[keys]
+    a = np.repeat(np.arange(keys.size), n)
+    return a, np.arange(a.size) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[keys], n)
 
-def has_digit(word: str) -> bool:
-    return any(ch.isdigit() for ch in word)
 
+def starts(sorted_keys: np.ndarray, size: int) -> np.ndarray:
+    return np.searchsorted(sorted_keys, np.arange(size + 1))
 
-class Block:
-    """The sentences of a block of both sides and their scores.
 
-    ``fwd[i, j]`` is the share of the weight of target sentence j that the translation
-    of source sentence i covers, ``bwd`` the reverse, ``g`` their harmonic mean.
+def greatest(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the greatest value of each."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if key.size else np.zeros(0, np.int64)
+    return key[first], np.maximum.reduceat(value, first) if key.size else value
+
+
+class Side:
+    """The sentences of one side of a file: their words, the inverted index of these, and the weight of each word.
+
+    A word weighs more the fewer sentences have it; one in more than half of them nothing.
+    """
+
+    def __init__(self, sentences: list):
+        self.vocab: dict[str, int] = {}
+        self.n = len(sentences)
+        self.word = np.array([self.vocab.setdefault(w, len(self.vocab)) for ws in sentences for w in ws], np.int64)
+        self.sent = np.repeat(np.arange(self.n), [len(ws) for ws in sentences])
+        self.first = starts(self.sent, self.n)
+        order = np.argsort(self.word, kind="stable")
+        self.posting, self.start = self.sent[order], starts(self.word[order], len(self.vocab))
+        df = np.diff(self.start)
+        self.weight = np.where(df <= max(2, self.n / 2), np.log1p(self.n / np.maximum(df, 1)), 0)
+        self.total = np.maximum(np.bincount(self.sent, self.weight[self.word], self.n), 1e-9)
+        self.digit = np.array([has_digit(w) for w in self.vocab], bool)
+        self.numbers = np.bincount(self.sent, self.digit[self.word], self.n) > 0
+
+
+class Pairs:
+    """The sentences of both sides of a file and the scores of the pairs that may matter.
+
+    ``fwd`` is the share of the weight of target sentence ``b`` that the translation
+    of source sentence ``a`` covers, ``bwd`` the reverse, ``g`` their harmonic mean.
+    Pairs without a word in common are never met; those met are kept where a score
+    reaches the least that anything asks of it.
     """
 
     def __init__(self, src: pd.DataFrame, tgt: pd.DataFrame, table: dict[str, list[tuple[str, float]]]):
         src, tgt = src.sort_values("idx"), tgt.sort_values("idx")
         self.i, self.j = src["idx"].to_numpy(), tgt["idx"].to_numpy()
-        self.vs, self.s, ws = incidence(src["words"].tolist())
-        self.vt, self.t, wt = incidence(tgt["words"].tolist())
-        q = np.zeros((len(self.vs), len(self.vt)), np.float32)
-        for w, k in self.vs.items():
-            if w in self.vt:
-                q[k, self.vt[w]] = 1
-            for other, value in table.get(w, ()):
-                if other in self.vt:
-                    q[k, self.vt[other]] = max(q[k, self.vt[other]], value)
-        bag_s = np.stack([q[np.flatnonzero(row)].max(0) for row in self.s])
-        bag_t = np.stack([q[:, np.flatnonzero(row)].max(1) for row in self.t])
-        calm = np.where(self._clash(), CLASH, 1).astype(np.float32)
-        self.fwd = calm * (bag_s @ (self.t * wt).T / np.maximum((self.t * wt).sum(1), 1e-9))
-        self.bwd = calm * ((self.s * ws) @ bag_t.T / np.maximum((self.s * ws).sum(1), 1e-9)[:, None])
-        self.g = 2 * self.fwd * self.bwd / np.maximum(self.fwd + self.bwd, 1e-9)
-
-    def _clash(self) -> np.ndarray:
-        """Whether two sentences both have numbers and none in common."""
-        both = sorted({w for w in (*self.vs, *self.vt) if has_digit(w)})
-        column = lambda x, vocab, w: x[:, vocab[w]] if w in vocab else np.zeros(len(x), np.float32)
-        if not both:
-            return np.zeros((len(self.i), len(self.j)), bool)
-        ns = np.stack([column(self.s, self.vs, w) for w in both], 1)
-        nt = np.stack([column(self.t, self.vt, w) for w in both], 1)
-        return ns.any(1)[:, None] & nt.any(1)[None, :] & (ns @ nt.T == 0)
+        s, t = self.s, self.t = Side(src["words"].tolist()), Side(tgt["words"].tolist())
+        self.same = np.array([t.vocab.get(w, -1) for w in s.vocab])
+        known = [(k, o, 1.0) for k, o in enumerate(self.same.tolist()) if o >= 0]
+        known += [(k, t.vocab[o], v) for w, k in s.vocab.items() for o, v in table.get(w, ()) if o in t.vocab]
+        ns, nt = len(s.vocab), len(t.vocab)
+        key, value = greatest(np.array([k * nt + o for k, o, _ in known], np.int64), np.array([v for *_, v in known], np.float64))
+        v, w = key // nt, key % nt
+        # the target words that the words of each source sentence stand for, in the order of the sentences
+        at, place = spread(starts(v, ns), s.word)
+        bag, self.bag_value = greatest(s.sent[at] * nt + w[place], value[place])
+        self.bag_word, self.bag_start = bag % nt, starts(bag // nt, s.n)
+        # the target sentences that hold a translation of each source word
+        order = np.argsort(w, kind="stable")
+        at, place = spread(starts(w[order], nt), t.word)
+        back, self.back_value = greatest(v[order][place] * t.n + t.sent[at], value[order][place])
+        self.back_sent, self.back_start = back % t.n, starts(back // t.n, ns)
+        parts, lo = [], 0
+        cost = t.n + np.bincount(np.repeat(np.arange(s.n), np.diff(self.bag_start)), np.diff(t.start)[self.bag_word], s.n) + np.bincount(s.sent, np.diff(self.back_start)[s.word], s.n)
+        cost = np.cumsum(cost)
+        while lo < s.n:
+            hi = min(s.n, lo + BLOCK, max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS))))
+            parts.append(self._scores(lo, hi))
+            lo = hi
+        self.a, self.b, self.fwd, self.bwd, self.g = (np.concatenate(x) for x in zip(*parts))
+        self.key = self.a * t.n + self.b
+
+    def _scores(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """The pairs to keep of the source sentences from ``lo`` to ``hi`` with all target sentences."""
+        s, t = self.s, self.t
+        cells = (hi - lo) * t.n
+        at, place = spread(self.bag_start, np.arange(lo, hi))
+        word, value = self.bag_word[place], self.bag_value[place]
+        k, p = spread(t.start, word)
+        fwd = np.bincount(at[k] * t.n + t.posting[p], (value * t.weight[word])[k], cells)
+        at, place = spread(s.first, np.arange(lo, hi))
+        word = s.word[place]
+        k, p = spread(self.back_start, word)
+        bwd = np.bincount(at[k] * t.n + self.back_sent[p], s.weight[word][k] * self.back_value[p], cells)
+        both = np.flatnonzero((fwd > 0) | (bwd > 0))
+        a, b = both // t.n + lo, both % t.n
+        # numbers in common
+        digit = s.digit[word]
+        at, word = at[digit], word[digit]
+        at, word = at[self.same[word] >= 0], self.same[word][self.same[word] >= 0]
+        k, p = spread(t.start, word)
+        shared = np.zeros(cells, bool)
+        shared[at[k] * t.n + t.posting[p]] = True
+        calm = np.where(s.numbers[a] & t.numbers[b] & ~shared[both], CLASH, 1)
+        # equal scores are equal whatever the order they are summed in
+        fwd, bwd = np.round(calm * fwd[both] / t.total[b], 6), np.round(calm * bwd[both] / s.total[a], 6)
+        g = np.round(2 * fwd * bwd / np.maximum(fwd + bwd, 1e-9), 6)
+        keep = (g >= min(SEED_LINK, LINK, NEAR_SEED, NEAR)) | (fwd >= GROW) | (bwd >= GROW)
+        return a[keep], b[keep], fwd[keep], bwd[keep], g[keep]
+
+    def _choose(self, keep: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs at the places ``keep`` that choose each other; equal scores prefer the lower place."""
+        a, b, g = self.a[keep], self.b[keep], self.g[keep]
+        best = np.zeros(keep.size, np.int8)
+        for mine, other in ((a, b), (b, a)):
+            order = np.lexsort((other, -g, mine))
+            first = np.r_[True, mine[order][1:] != mine[order][:-1]] if keep.size else np.zeros(0, bool)
+            best[order[first]] += 1
+        return list(zip(a[best == 2].tolist(), b[best == 2].tolist()))
 
     def mutual(self, least: float) -> list[tuple[int, int]]:
         """Pairs that choose each other."""
-        bi, bj = self.g.argmax(1), self.g.argmax(0)
-        return [(a, int(b)) for a, b in enumerate(bi) if bj[b] == a and self.g[a, b] >= least]
+        return self._choose(np.flatnonzero(self.g >= least))
 
     def near(self, pairs: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
         """Pairs of sentences without a link that choose each other where the links around them point."""
-        own, taken = dict(pairs), {b for _, b in pairs}
-        src = np.array(sorted(own))
-        free_i, free_j = [k for k in range(len(self.i)) if k not in own], np.array([k for k in range(len(self.j)) if k not in taken])
-        if not src.size or not free_i or not free_j.size:
+        if not pairs:
             return []
-        g = np.full((len(free_i), len(free_j)), -1.0)
-        for r, k in enumerate(free_i):
-            p = int(np.searchsorted(src, k))
-            ends = [own[int(src[n])] for n in (p - 1, p) if 0 <= n < len(src)]
-            ok = (free_j >= min(ends) - REACH) & (free_j <= max(ends) + REACH)
-            g[r, ok] = self.g[k, free_j[ok]]
-        bi, bj = g.argmax(1), g.argmax(0)
-        return [(free_i[r], int(free_j[c])) for r, c in enumerate(bi) if bj[c] == r and g[r, c] >= least]
+        src, own = np.array(sorted(pairs)).T
+        keep = np.flatnonzero((self.g >= least) & ~np.isin(self.a, src) & ~np.isin(self.b, own))
+        p = np.searchsorted(src, self.a[keep])
+        before, after = own[np.maximum(p - 1, 0)], own[np.minimum(p, own.size - 1)]
+        return self._choose(keep[(self.b[keep] >= np.minimum(before, after) - REACH) & (self.b[keep] <= np.maximum(before, after) + REACH)])
+
+    def score(self, kind: np.ndarray, a: int, b: int) -> float:
+        k = int(np.searchsorted(self.key, a * self.t.n + b))
+        return float(kind[k]) if k < self.key.size and self.key[k] == a * self.t.n + b else 0.0
 
     def links(self) -> list[tuple[int, int, float]]:
         """Mutual pairs, pairs left over near them, and sentences that the partner of a neighbour covers."""
         pairs = self.mutual(LINK)
         pairs += self.near(pairs, NEAR)
-        out = [(a, b, float(self.g[a, b])) for a, b in pairs]
-        for cover, own, place in ((self.bwd, dict(pairs), self.i), (self.fwd.T, {b: a for a, b in pairs}, self.j)):
+        out = [(a, b, self.score(self.g, a, b)) for a, b in pairs]
+        for cover, own, place, turn in ((self.bwd, dict(pairs), self.i, 1), (self.fwd, {b: a for a, b in pairs}, self.j, -1)):
             at = {int(p): k for k, p in enumerate(place)}
             for k, p in enumerate(place.tolist()):
                 if k in own:
                     continue
                 near = {own[at[n]] for n in (p - 1, p + 1) if n in at and at[n] in own}
-                best = max(near, key=lambda o: (cover[k, o], -o), default=None)
-                if best is not None and cover[k, best] >= GROW:
-                    pair = (k, best) if cover is self.bwd else (best, k)
-                    out.append((*pair, float(cover[k, best])))
+                best = max(((self.score(cover, *(k, o)[::turn]), -o) for o in near), default=None)
+                if best is not None and best[0] >= GROW:
+                    out.append((*(k, -best[1])[::turn], best[0]))
         return out
 
 
-LINK_SCHEMA = "file string, block long, i long, j long, g double"
+LINK_SCHEMA = "file string, i long, j long, g double"
 COUNT_SCHEMA = "lang string, word string, other string, n double"
 
 
-def _block_of(sents: pd.DataFrame, table: pd.DataFrame | None) -> Block | None:
+def _pairs_of(sents: pd.DataFrame, table: pd.DataFrame | None) -> Pairs | None:
     src, tgt = sents[sents["side"] == "s"], sents[sents["side"] == "t"]
     if src.empty or tgt.empty:
         return None
@@ -201,34 +255,37 @@ def _block_of(sents: pd.DataFrame, table: pd.DataFrame | None) -> Block | None:
     if table is not None:
         for w, o, q in zip(table["word"], table["other"], table["q"]):
             known.setdefault(w, []).append((o, q))
-    return Block(src, tgt, known)
+    return Pairs(src, tgt, known)
 
 
 def _counts(sents: pd.DataFrame, table: pd.DataFrame | None, least: float) -> pd.DataFrame:
     """How often words stand in linked sentences: together, and (with an empty partner) alone."""
-    block = _block_of(sents, table)
-    pairs = block.mutual(least) if block else []
+    file = _pairs_of(sents, table)
+    pairs = file.mutual(least) if file else []
     if table is not None:
-        pairs = pairs + block.near(pairs, NEAR_SEED) if block else []
+        pairs = pairs + file.near(pairs, NEAR_SEED) if file else []
     if not pairs:
         return pd.DataFrame([], columns=["lang", "word", "other", "n"])
-    s, t = block.s[[a for a, _ in pairs]], block.t[[b for _, b in pairs]]
-    both = s.T @ t
-    r, c = np.nonzero(both)
-    ws, wt = np.array(list(block.vs), dtype=object), np.array(list(block.vt), dtype=object)
+    s, t = file.s, file.t
+    k, p = spread(s.first, np.array([a for a, _ in pairs]))
+    n, o = spread(t.first, np.array([b for _, b in pairs])[k])
+    both, together = np.unique(s.word[p][n] * len(t.vocab) + t.word[o], return_counts=True)
+    r, c = both // len(t.vocab), both % len(t.vocab)
+    ws, wt = np.array(list(s.vocab), dtype=object), np.array(list(t.vocab), dtype=object)
     # numbers of more than one digit only ever stand for themselves
     fixed = lambda vocab: np.array([len(w) > 1 and has_digit(w) for w in vocab], bool)
     learned = (ws[r] != wt[c]) & ~fixed(ws)[r] & ~fixed(wt)[c]
-    r, c = r[learned], c[learned]
-    a, b = np.flatnonzero(s.any(0)), np.flatnonzero(t.any(0))
+    r, c, together = r[learned], c[learned], together[learned]
+    a, n_a = np.unique(s.word[p], return_counts=True)
+    b, n_b = np.unique(t.word[spread(t.first, np.array([b for _, b in pairs]))[1]], return_counts=True)
     return pd.DataFrame({"lang": sents["lang"].iloc[0], "word": np.concatenate([ws[r], ws[a], np.full(b.size, "", dtype=object)]),
-                         "other": np.concatenate([wt[c], np.full(a.size, "", dtype=object), wt[b]]), "n": np.concatenate([both[r, c], s.sum(0)[a], t.sum(0)[b]])})
+                         "other": np.concatenate([wt[c], np.full(a.size, "", dtype=object), wt[b]]), "n": np.concatenate([together, n_a, n_b]).astype(float)})
 
 
 def _links(sents: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    block = _block_of(sents, table)
-    rows = [(sents["file"].iloc[0], int(sents["block"].iloc[0]), int(block.i[a]), int(block.j[b]), g) for a, b, g in block.links()] if block else []
-    return pd.DataFrame(rows, columns=["file", "block", "i", "j", "g"])
+    file = _pairs_of(sents, table)
+    rows = [(sents["file"].iloc[0], int(file.i[a]), int(file.j[b]), g) for a, b, g in file.links()] if file else []
+    return pd.DataFrame(rows, columns=["file", "i", "j", "g"])
 
 
 def _table(counts: DataFrame) -> DataFrame:
@@ -242,20 +299,17 @@ def _table(counts: DataFrame) -> DataFrame:
 
 def align(chunks: DataFrame, **columns: str) -> DataFrame:
     """``file, i, j, g``: the links between source and target sentences, with their score."""
-    sents = materialise(blocks(sentences(chunks, **columns)), "sentences")
-    vocab = materialise(sents.filter("side = 's'").select("file", "block", "lang", F.explode("words").alias("word")).distinct(), "vocabulary")
-    by = sents.groupBy("file", "block")
+    sents = materialise(with_language(sentences(chunks, **columns)), "sentences")
+    vocab = materialise(sents.filter("side = 's'").select("file", "lang", F.explode("words").alias("word")).distinct(), "vocabulary")
+    by = sents.groupBy("file")
     counts = by.applyInPandas(lambda s: _counts(s, None, SEED_LINK), COUNT_SCHEMA)
     for last in (False,) * (ROUNDS - 1) + (True,):
-        known = vocab.join(_table(counts), ["lang", "word"]).select("file", "block", "word", "other", "q").groupBy("file", "block")
+        known = vocab.join(_table(counts), ["lang", "word"]).select("file", "word", "other", "q").groupBy("file")
         if last:
             links = by.cogroup(known).applyInPandas(_links, LINK_SCHEMA)
         else:
             counts = by.cogroup(known).applyInPandas(lambda s, t: _counts(s, t, LINK), COUNT_SCHEMA)
-    # a target sentence compared in several blocks keeps the links of the block it fits best
-    links = materialise(links, "links")
-    best = links.groupBy("file", "j").agg(F.max_by("block", F.struct("g", -F.col("block"))).alias("block"))
-    return links.join(best, ["file", "j", "block"]).select("file", "i", "j", "g")
+    return materialise(links, "links")
 
 
 def filled_segments(chunks: DataFrame, links: DataFrame) -> DataFrame:
