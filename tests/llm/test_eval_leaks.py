@@ -83,3 +83,42 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([], "item_id long, item_text string")
     assert E.eval_leaks(d, i).count() == 0
+
+
+def test_similar_windows_against_brute(spark):
+    """Passages with edited words: every pair of windows that is similar enough, however far its fingerprints are apart."""
+    def windows(text):
+        w = E.words(text)
+        return w, [w[j:j + k] for k in [min(E.PASSAGE_WORDS, len(w))] for j in range(len(w) - k + 1)] if w else []
+
+    def bag(w, size):
+        return {tuple(w[j:j + size]): sum(map(E.word_weight, w[j:j + size])) for j in range(len(w) - size + 1)}
+
+    rng = random.Random(11)
+    short = ["of", "a", "to", "in", "it", "we", "by", "on"]
+    # windows that begin with short words keep most of their weight when one of these changes
+    text = lambda n: " ".join(rng.choice(short if k % 12 < 3 else WORDS[100:]) for k in range(n))
+    items = [(i, text(rng.choice([3, 7, 12, 12, 20]))) for i in range(40)] + [(40, "a b a b a b a b a b a b")]
+    docs = []
+    for d in range(160):
+        w = rng.choice(items)[1].split()
+        for k in rng.choice([[0], [-1], [0, -1], [1], [len(w) // 2], []]):
+            w[k] = rng.choice(short)
+        docs.append((d, text(rng.choice([0, 9])) + " " + " ".join(w) + " " + text(rng.choice([0, 9]))))
+    want = {}
+    for i, t in items:
+        _, passages = windows(t)
+        size = min(E.SHINGLE_WORDS, len(passages[0]))
+        for d, u in docs:
+            x = E.words(u)
+            for p in passages:
+                a = bag(p, size)
+                for j in range(len(x) - len(p) + 1):
+                    b = bag(x[j:j + len(p)], size)
+                    inter = sum(v for s, v in a.items() if s in b)
+                    if inter / (sum(a.values()) + sum(b.values()) - inter) >= E.SIMILARITY:
+                        want[d, i] = want.get((d, i), 0) + 1
+    got = E.eval_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"))
+    rows = {(r.doc_id, r.item_id): (r.windows, r.verbatim) for r in got.collect()}
+    assert {k: n for k, (n, _) in rows.items()} == want
+    assert sum(not v for _, v in rows.values()) > 10

@@ -4,8 +4,12 @@ Method: a window as long as the passages slides over the words of every document
 and over every item; the SimHash of its weighted word shingles is its fingerprint.
 The fingerprints of the items stand in one table per block of bits; any two
 fingerprints within the radius agree in at least one block, so looking up every
-block of a document window finds all item windows within the radius. Candidates
-are verified by the exact weighted Jaccard similarity of their shingles.
+block of a document window finds all item windows within the radius. A window has
+few shingles, so one other word can move its fingerprint further than the radius;
+windows so similar share shingles, though: of those of an item window, ordered from
+rare to frequent, a similar one has at least one among the first that weigh more than
+may be missing. These stand in a second index. Candidates of both are verified by the
+exact weighted Jaccard similarity of their shingles.
 
 A passage is ``PASSAGE_WORDS`` consecutive words of an item, or the whole item if
 it is shorter. Documents are read once, in Arrow batches, and are not shuffled;
@@ -105,6 +109,16 @@ class ItemIndex:
             v = self.block(self.fp, b)
             order = np.argsort(v, kind="stable")
             self.tables.append((order, np.searchsorted(v[order], np.arange((1 << BLOCK_BITS) + 1))))
+        # the rarest shingles of each window, as many as weigh more than a similar window can be without
+        kinds, inverse, n = np.unique(self.sh, return_inverse=True, return_counts=True)
+        rare = np.argsort(n[inverse.reshape(self.sh.shape)], axis=1, kind="stable")
+        kind = np.take_along_axis(inverse.reshape(self.sh.shape), rare, 1)
+        wt = np.take_along_axis(np.where(self.first_of_kind(self.sh), self.wt, 0), rare, 1)
+        asked = (wt > 0) & (np.cumsum(wt, 1) - wt <= (1 - SIMILARITY) * wt.sum(1, keepdims=True) + 1e-9)
+        window, kind = np.nonzero(asked)[0], kind[asked]
+        order = np.argsort(kind, kind="stable")
+        found, n = np.unique(kind, return_counts=True)
+        self.rare, self.rare_start, self.rare_window = kinds[found], np.concatenate([[0], np.cumsum(n)]), window[order]
 
     @staticmethod
     def block(fp: np.ndarray, b: int) -> np.ndarray:
@@ -127,12 +141,29 @@ class ItemIndex:
         pair = np.unique(np.concatenate(left) * np.int64(self.fp.size) + np.concatenate(right))
         return pair // self.fp.size, pair % self.fp.size
 
+    def sharing(self, sh: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, item window) pairs that share one of the rarest shingles of the item window.
+
+        ``sh`` are the shingles of a stretch, ``whole`` the starts of its windows.
+        """
+        k = np.searchsorted(self.rare, sh)
+        at = np.flatnonzero(self.rare[np.minimum(k, self.rare.size - 1)] == sh)
+        lo, n = self.rare_start[k[at]], self.rare_start[k[at] + 1] - self.rare_start[k[at]]
+        i = self.rare_window[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        window = (np.repeat(at, n)[:, None] - np.arange(self.per_window)).ravel()
+        i = np.repeat(i, self.per_window)
+        inside = np.isin(window, whole)
+        pair = np.unique(window[inside] * np.int64(self.fp.size) + i[inside])
+        return pair // self.fp.size, pair % self.fp.size
+
+    @staticmethod
+    def first_of_kind(x: np.ndarray) -> np.ndarray:
+        return np.stack([~(x[:, :k] == x[:, k:k + 1]).any(1) for k in range(x.shape[1])], 1)
+
     def similarity(self, sh: np.ndarray, wt: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of the shingle sets of pairs of windows."""
         other, ow = self.sh[i], self.wt[i]
-        p = self.per_window
-        fresh = lambda x: np.stack([~(x[:, :k] == x[:, k:k + 1]).any(1) for k in range(p)], 1)  # noqa: E731  first of its kind
-        mine, theirs = fresh(sh), fresh(other)
+        mine, theirs = self.first_of_kind(sh), self.first_of_kind(other)
         common = (((sh[:, :, None] == other[:, None, :]) & theirs[:, None, :]).any(2) & mine)
         inter = (wt * common).sum(1)
         return inter / ((wt * mine).sum(1) + (ow * theirs).sum(1) - inter)
@@ -174,9 +205,11 @@ def leaks_of_batch(ids: list[int], texts: list[str | None], index: list[ItemInde
             whole = np.flatnonzero(ends_a[doc] >= np.arange(lo, hi - ix.length + 1) + ix.length)  # no window across documents
             fp = fingerprints(sh, wt, ix.per_window)[whole]
             a, i = ix.lookup(fp)
-            if not a.size:
+            near, of = ix.sharing(sh, whole)
+            pair = np.unique(np.concatenate([whole[a] * np.int64(ix.fp.size) + i, near * np.int64(ix.fp.size) + of]))
+            if not pair.size:
                 continue
-            at = whole[a]
+            at, i = pair // ix.fp.size, pair % ix.fp.size
             cols = at[:, None] + np.arange(ix.per_window)
             sim = ix.similarity(sh[cols], wt[cols], i)
             for p, k, s in zip(at.tolist(), i.tolist(), sim.tolist()):
