@@ -1,10 +1,14 @@
 """Glossary queries and operators against plain recounts."""
 
+import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from tmloom.functions import text as T
+from tmloom.functions.similarity import ratio
+from tmloom.operators import glossary
 from tmloom.plans import retrieval
 from tmloom.plans.base import segments
 
@@ -19,3 +23,33 @@ def test_new_terms_against_all_automatic_entries(spark, sf):
         owners[p, t].add(i)
     want = sorted(r for r in rows if r[1:] not in manual and owners[r[1:]] == {r[0]})
     assert sorted(tuple(r) for r in retrieval.glossary_new_terms(spark, sf).collect()) == want
+
+
+def test_fuzzy_hits_against_all_runs(spark):
+    """Edits near both ends, other lengths and terms of many words: all runs of as many words that are alike."""
+    terms = [("t1", "p", "international programme"), ("t2", "p", "abcdefghijklmn"), ("t3", "p", "abcdefghijklmnopqr"), ("t4", "p", "office for the protection of monuments"),
+             ("t5", "p", "bridge"), ("t6", "p", "water pump"), ("t7", "q", "water pump"), ("t8", "p", ""), ("t9", "p", "abc"), ("ta", "p", "abcdefghi")]
+    rng, words = random.Random(5), "international programme bridge water pump office for the protection of monuments abcdefghijklmn abcdefghi".split()
+    texts = ["An Xnternational programmX began.", "see xyzabcdefghijklmn there", "abcXdefgYhijkZlmnoWpqr", "The office for the protection of monument opened", "the office for the protektion of monuments",
+             "office for the protection of monuments", "bridgge of wather pump", "ab cdefghijklmn", "abcXdefYghi", None]
+    for _ in range(60):
+        t = list(" ".join(rng.choice(words) for _ in range(8)))
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice("xyz s")
+        texts.append("".join(t))
+    segs = [(f"s{k:02d}", "pq"[k % 7 == 6], t) for k, t in enumerate(texts)] + [("n", None, "bridge")]
+    s, t = spark.createDataFrame(segs, "id string, scope string, source string"), spark.createDataFrame(terms, "term_id string, scope string, term string")
+    hits = glossary.phrase_hits(s, t)
+    sure = {(r.id, r.term_id) for r in hits.collect()}
+    assert ("s05", "t4") in sure
+    want = {}
+    for i, p, x in segs:
+        w = re.findall(r"[^\W_]+", (x or "").lower())
+        for j, q, term in terms:
+            v = re.findall(r"[^\W_]+", term.lower())
+            for at in range(len(w) - len(v) + 1):
+                run = " ".join(w[at:at + len(v)])
+                if p == q and (i, j) not in sure and (i, j) not in want and len(term) >= 4 and len(run) >= 4 and ratio(run, " ".join(v)) >= 90:
+                    want[i, j] = (at, round(ratio(run, " ".join(v)), 2))
+    assert {("s00", "t1"), ("s01", "t2"), ("s02", "t3"), ("s04", "t4"), ("s08", "ta")} <= set(want)
+    assert {(r.id, r.term_id): (r.at, r.ratio) for r in glossary.fuzzy_hits(s, t, hits).collect()} == want

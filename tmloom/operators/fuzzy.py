@@ -98,6 +98,26 @@ def _pairs(u: DataFrame, least: float, q: int, low: int, high: int | None) -> Da
     return prefix.join(b, ["scope", "g"]).filter((F.col("id") < F.col("other_id")) & here & (F.abs(F.col("n") - F.col("m")) <= most_edits(total, least))).select("scope", "id", "other_id").distinct()
 
 
+def similar_pairs(texts: DataFrame, others: DataFrame, least: float, shortest: int) -> DataFrame:
+    """``scope, text, other, ratio``: the distinct pairs of a text and another text of its scope that are alike.
+
+    ``texts`` has ``scope, text`` and ``others`` has ``scope, other``, of ``shortest`` letters at least; equal ones count too.
+    """
+    n, m = F.length("text"), F.length("other")
+    a, b, pairs = texts.select("scope", "text").distinct(), others.select("scope", "other").distinct(), []
+    for q, low, high in bands(least, shortest):
+        runs = b.filter(in_band(m, least, low, high)).select("scope", "other", F.explode(grams(F.col("other"), q)).alias("g"))
+        freq = runs.groupBy("scope", "g").agg(F.count("*").alias("df"))
+        own = a.filter(in_band(n, least, low, high)).select("scope", "text", F.explode(grams(F.col("text"), q)).alias("g"))
+        ranked = own.join(freq, ["scope", "g"], "left").groupBy("scope", "text").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("gs"))
+        prefix = ranked.select("scope", "text", F.explode(F.slice("gs", F.lit(1), prefix_length(n, least, q))).alias("s")).filter("s.df > 0").select("scope", "text", F.col("s.g").alias("g"))
+        here = n + m >= low if high is None else (n + m >= low) & (n + m < high)
+        pairs.append(prefix.join(runs, ["scope", "g"]).filter(here & (F.abs(n - m) <= most_edits(n + m, least))).select("scope", "text", "other").distinct())
+    bound = most_edits(n + m, least)
+    return (reduce(DataFrame.unionByName, pairs).withColumn("bound", bound).filter(F.expr("levenshtein(text, other, bound) >= 0")).drop("bound")
+            .withColumn("ratio", indel_ratio("text", "other")).filter(F.col("ratio") >= least))
+
+
 def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataFrame:
     """``scope, id, other_id, score``: per text the ``keep`` most similar other texts of its scope.
 

@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tmloom.functions import text as T
-from tmloom.functions.similarity import indel_ratio
+from tmloom.operators import fuzzy
+from tmloom.session import materialise
 
 WORD = r"[\p{L}\p{N}]+"
+#: letters of a term for the fuzzy second chance
+SHORTEST = 4
 
 
 def lemma(word: Column) -> Column:
@@ -27,41 +30,43 @@ def lemma_words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(T.strip_tags(c), F.lit(WORD), F.lit(0)), lemma)
 
 
-def phrases(words: Column, n: int) -> Column:
+def phrases(words: Column, n: Column) -> Column:
     """The runs of ``n`` words."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def phrase_hits(segments: DataFrame, terms: DataFrame, lengths: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def _runs(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
+    """``id, scope, at, run``: the runs of ``w`` that have as many words as a term of the scope, ``n``, and about as many letters, ``m``."""
+    sizes = terms.groupBy("scope").agg(F.collect_set(F.struct("n", "m")).alias("sizes"))
+    fits = lambda run, n: F.exists("sizes", lambda x: (x["n"] == n) & (F.abs(F.length(run) - x["m"]) <= fuzzy.most_edits(F.length(run) + x["m"], least)))
+    runs = F.flatten(F.transform(F.array_distinct(F.col("sizes.n")), lambda n: F.filter(
+        F.transform(phrases(F.col("w"), n), lambda p, i: F.struct(i.alias("at"), p.alias("run"))), lambda r: fits(r["run"], n))))
+    return words.join(sizes, "scope").select("id", "scope", F.explode(runs).alias("r")).select("id", "scope", "r.at", "r.run")
+
+
+def phrase_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """``id, term_id, at``: terms of the scope in the segment, and the word they begin at.
 
     ``segments`` has ``id, scope, source``; ``terms`` has ``term_id, scope, term``.
     """
-    t = terms.select("term_id", "scope", F.array_join(lemma_words(F.col("term")), " ").alias("phrase")).filter("phrase <> ''")
+    t = terms.select("term_id", "scope", lemma_words(F.col("term")).alias("w")).select("term_id", "scope", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).withColumn("m", F.length("run")).filter("m > 0")
     w = segments.filter("source is not null and scope is not null").select("id", "scope", lemma_words(F.col("source")).alias("w"))
-    runs = F.concat(*[F.transform(phrases(F.col("w"), n), lambda p, i: F.struct(i.alias("at"), p.alias("phrase"))) for n in lengths])
-    found = w.select("id", "scope", F.explode(runs).alias("r")).select("id", "scope", F.col("r.at").alias("at"), F.col("r.phrase").alias("phrase"))
-    return found.join(t, ["scope", "phrase"]).groupBy("id", "term_id").agg(F.min("at").alias("at"))
+    return _runs(w, t, 100.0).join(t.drop("n", "m"), ["scope", "run"]).groupBy("id", "term_id").agg(F.min("at").alias("at"))
 
 
-def fuzzy_hits(segments: DataFrame, terms: DataFrame, hits: DataFrame, least: float = 90.0, lengths: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def fuzzy_hits(segments: DataFrame, terms: DataFrame, hits: DataFrame, least: float = 90.0) -> DataFrame:
     """``id, term_id, at, ratio``: of terms without a phrase hit, the first like-sounding run of as many words.
 
-    A run and a term that are alike at ``least`` share a run of letters at the start
-    or the end of the first or last half; candidates meet on the halves of the phrase
-    with either half equal, which is exact for one edit and a documented bound for more.
+    Runs and terms meet by the prefix filter of the fuzzy join, whose bounds follow from ``least``.
     """
-    t = terms.select("term_id", "scope", F.lower(F.array_join(F.regexp_extract_all("term", F.lit(WORD), F.lit(0)), " ")).alias("phrase")).filter("length(phrase) >= 4")
-    w = segments.filter("source is not null and scope is not null").select(
-        "id", "scope", F.transform(F.regexp_extract_all(T.strip_tags(F.col("source")), F.lit(WORD), F.lit(0)), F.lower).alias("w"))
-    runs = F.concat(*[F.transform(phrases(F.col("w"), n), lambda p, i: F.struct(i.alias("at"), p.alias("run"))) for n in lengths])
-    r = w.select("id", "scope", F.explode(runs).alias("r")).select("id", "scope", F.col("r.at").alias("at"), F.col("r.run").alias("run")).filter("length(run) >= 4")
-    halves = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 3)), F.concat(F.lit(">"), F.expr(f"right({c}, 3)")))
-    cand = (r.withColumn("h", F.explode(halves("run"))).join(t.withColumn("h", F.explode(halves("phrase"))), ["scope", "h"])
-            .filter(F.abs(F.length("run") - F.length("phrase")) <= 2).select("id", "term_id", "at", "run", "phrase").distinct()
-            .filter((F.levenshtein("run", "phrase", 3) != -1) & (F.regexp_count("run", F.lit(" ")) == F.regexp_count("phrase", F.lit(" ")))))
-    cand = cand.join(hits.select("id", "term_id"), ["id", "term_id"], "left_anti").withColumn("ratio", indel_ratio("run", "phrase")).filter(F.col("ratio") >= least)
+    plain = lambda c: F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.lower)
+    t = terms.select("term_id", "scope", plain(F.col("term")).alias("w")).select("term_id", "scope", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n")).withColumn("m", F.length("phrase")).filter(F.col("m") >= SHORTEST)
+    w = segments.filter("source is not null and scope is not null").select("id", "scope", plain(T.strip_tags(F.col("source"))).alias("w"))
+    r = materialise(_runs(w, t, least).filter(F.length("run") >= SHORTEST), "runs")
+    alike = (fuzzy.similar_pairs(t.select("scope", F.col("phrase").alias("text")), r.select("scope", F.col("run").alias("other")), least, SHORTEST)
+             .filter(F.regexp_count("other", F.lit(" ")) == F.regexp_count("text", F.lit(" "))).select("scope", F.col("text").alias("phrase"), F.col("other").alias("run"), "ratio"))
+    cand = alike.join(t.select("term_id", "scope", "phrase"), ["scope", "phrase"]).join(r, ["scope", "run"]).join(hits.select("id", "term_id"), ["id", "term_id"], "left_anti")
     return cand.groupBy("id", "term_id").agg(F.min(F.struct("at", "ratio")).alias("f")).select("id", "term_id", F.col("f.at").alias("at"), F.round("f.ratio", 2).alias("ratio"))
 
 
