@@ -102,3 +102,15 @@ def test_moved_chapters_and_block_edges(spark, monkeypatch):
     links = {r[:3] for r in found[1]}
     assert found[0] == found[1] == found[2]
     assert len(links & want) / len(links) > 0.95 and len(links & want) / len(want) > 0.9
+
+
+def test_merges_of_four():
+    """Of four sentences merged into one, the far ones join through those between, whichever chose the target."""
+    parts = [[f"s{i}x{k}" for k in range(4)] for i in range(4)]
+    parts[0] += [f"more{k}" for k in range(20)]  # the first is the mutual one
+    merged = [w for p in parts for w in p]
+    other = [[f"o{i}x{k}" for k in range(4)] for i in range(12)]
+    src = A.pd.DataFrame({"idx": range(4 + len(other)), "words": parts + other})
+    tgt = A.pd.DataFrame({"idx": range(1 + len(other)), "words": [merged, *other]})
+    assert {(a, b) for a, b, _ in A.Pairs(src, tgt, {}).links() if b == 0} == {(k, 0) for k in range(4)}
+    assert {(a, b) for a, b, _ in A.Pairs(tgt, src, {}).links() if a == 0} == {(0, k) for k in range(4)}

@@ -233,13 +233,18 @@ class Pairs:
         out = [(a, b, self.score(self.g, a, b)) for a, b in pairs]
         for cover, own, place, turn in ((self.bwd, dict(pairs), self.i, 1), (self.fwd, {b: a for a, b in pairs}, self.j, -1)):
             at = {int(p): k for k, p in enumerate(place)}
-            for k, p in enumerate(place.tolist()):
-                if k in own:
-                    continue
-                near = {own[at[n]] for n in (p - 1, p + 1) if n in at and at[n] in own}
-                best = max(((self.score(cover, *(k, o)[::turn]), -o) for o in near), default=None)
-                if best is not None and best[0] >= GROW:
-                    out.append((*(k, -best[1])[::turn], best[0]))
+            fresh = list(own)
+            while fresh:  # what joined in one round may take its neighbours along in the next
+                beside = {at[n] for k in fresh for n in (int(place[k]) - 1, int(place[k]) + 1) if n in at and at[n] not in own}
+                joined = {}
+                for k in sorted(beside):
+                    near = {own[at[n]] for n in (int(place[k]) - 1, int(place[k]) + 1) if n in at and at[n] in own}
+                    best = max((self.score(cover, *(k, o)[::turn]), -o) for o in near)
+                    if best[0] >= GROW:
+                        joined[k] = -best[1]
+                        out.append((*(k, -best[1])[::turn], best[0]))
+                own.update(joined)
+                fresh = list(joined)
         return out
 
 
