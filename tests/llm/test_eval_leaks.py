@@ -122,3 +122,20 @@ def test_similar_windows_against_brute(spark):
     rows = {(r.doc_id, r.item_id): (r.windows, r.verbatim) for r in got.collect()}
     assert {k: n for k, (n, _) in rows.items()} == want
     assert sum(not v for _, v in rows.values()) > 10
+
+
+def test_edited_passages_with_single_words(spark):
+    """Passages of twelve words with one word changed, anywhere: at least nine of ten are found by single words."""
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.sample(WORDS, 30))) for i in range(60)]
+    docs = []
+    for d in range(240):
+        w = items[d % 60][1].split()
+        s = rng.randrange(19)
+        w = w[s:s + 12]
+        w[rng.randrange(12)] = "changed"
+        docs.append((d, " ".join(rng.choice(WORDS) for _ in range(30)) + " " + " ".join(w) + " tail"))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {(r.doc_id, r.item_id) for r in E.eval_leaks(d, i, shingle_words=1).collect()}
+    want = {(k, k % 60) for k in range(240)}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 5

@@ -12,9 +12,14 @@ may be missing. These stand in a second index. Candidates of both are verified b
 exact weighted Jaccard similarity of their shingles.
 
 A passage is ``PASSAGE_WORDS`` consecutive words of an item, or the whole item if
-it is shorter. Documents are read once, in Arrow batches, and are not shuffled;
-the items are the stated query set and go to the executors in blocks of bounded
-size (``ITEM_BLOCK_CHARS``), one pass over the documents for each block.
+it is shorter. Documents are read in Arrow batches and are not shuffled; the items
+are the stated query set and come to the driver in blocks of bounded size
+(``ITEM_BLOCK_CHARS``), one after the other: the index of a block is built once, sent
+to the executors, and given up before the next block comes, if there are several.
+
+Five-word shingles at a similarity of 0.8 leave room for little but a short word at the
+edge of a passage. ``eval_leaks`` takes other sizes: with single words
+(``shingle_words=1``) a passage with one or two words changed anywhere is found too.
 
 Defined cases: null and empty texts and items without words give no rows; a
 document shorter than the passage can only hold a short item; letter case, and
@@ -33,13 +38,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tmloom.session import materialise
+
 PASSAGE_WORDS = 12
 SHINGLE_WORDS = 5
 RADIUS = 3
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
 SIMILARITY = 0.8
-ITEM_BLOCK_CHARS = 4_000_000
+ITEM_BLOCK_CHARS = 1_000_000
 STRETCH_WORDS = 60_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -87,10 +94,12 @@ def fingerprints(h: np.ndarray, w: np.ndarray, per_window: int) -> np.ndarray:
 class ItemIndex:
     """The windows of one length of all items, with a lookup table per block of bits."""
 
-    def __init__(self, length: int):
-        self.length, self.size = length, min(SHINGLE_WORDS, length)
+    def __init__(self, length: int, shingle_words: int = SHINGLE_WORDS, least: float = SIMILARITY):
+        self.length, self.size, self.least = length, min(shingle_words, length), least
         self.per_window = length - self.size + 1
-        self.fp, self.item, self.sh, self.wt, self.words = [], [], [], [], []
+        self.fp, self.item, self.sh, self.wt = [], [], [], []
+        self.texts: list[list[str]] = []
+        self.at: list[tuple[int, int]] = []
 
     def add(self, item_id: int, ws: list[str], h: np.ndarray, w: np.ndarray) -> None:
         sh, wt = shingles(h, w, self.size)
@@ -99,7 +108,13 @@ class ItemIndex:
             self.item.append(item_id)
             self.sh.append(sh[k:k + self.per_window])
             self.wt.append(wt[k:k + self.per_window])
-            self.words.append(ws[k:k + self.length])
+            self.at.append((len(self.texts), k))
+        self.texts.append(ws)
+
+    def words_of(self, k: int) -> list[str]:
+        """The words of a window."""
+        text, at = self.at[k]
+        return self.texts[text][at:at + self.length]
 
     def close(self) -> None:
         self.fp, self.item = np.array(self.fp, np.uint64), np.array(self.item, np.int64)
@@ -114,7 +129,7 @@ class ItemIndex:
         rare = np.argsort(n[inverse.reshape(self.sh.shape)], axis=1, kind="stable")
         kind = np.take_along_axis(inverse.reshape(self.sh.shape), rare, 1)
         wt = np.take_along_axis(np.where(self.first_of_kind(self.sh), self.wt, 0), rare, 1)
-        asked = (wt > 0) & (np.cumsum(wt, 1) - wt <= (1 - SIMILARITY) * wt.sum(1, keepdims=True) + 1e-9)
+        asked = (wt > 0) & (np.cumsum(wt, 1) - wt <= (1 - self.least) * wt.sum(1, keepdims=True) + 1e-9)
         window, kind = np.nonzero(asked)[0], kind[asked]
         order = np.argsort(kind, kind="stable")
         found, n = np.unique(kind, return_counts=True)
@@ -169,14 +184,14 @@ class ItemIndex:
         return inter / ((wt * mine).sum(1) + (ow * theirs).sum(1) - inter)
 
 
-def build_index(items: list[tuple[int, str]]) -> list[ItemIndex]:
+def build_index(items: list[tuple[int, str]], shingle_words: int = SHINGLE_WORDS, least: float = SIMILARITY) -> list[ItemIndex]:
     by_length: dict[int, ItemIndex] = {}
     for item_id, text in sorted(set(items)):
         ws = words(text)
         if ws:
             length = min(PASSAGE_WORDS, len(ws))
             h = np.array([xxhash.xxh64_intdigest(x) for x in ws], np.uint64)
-            by_length.setdefault(length, ItemIndex(length)).add(item_id, ws, h, np.array([word_weight(x) for x in ws], np.int32))
+            by_length.setdefault(length, ItemIndex(length, shingle_words, least)).add(item_id, ws, h, np.array([word_weight(x) for x in ws], np.int32))
     for ix in by_length.values():
         ix.close()
     return list(by_length.values())
@@ -213,24 +228,24 @@ def leaks_of_batch(ids: list[int], texts: list[str | None], index: list[ItemInde
             cols = at[:, None] + np.arange(ix.per_window)
             sim = ix.similarity(sh[cols], wt[cols], i)
             for p, k, s in zip(at.tolist(), i.tolist(), sim.tolist()):
-                if s >= SIMILARITY:
+                if s >= ix.least:
                     row = best.setdefault((ids[doc[p]], int(ix.item[k])), [0, 0.0, False])
                     row[0] += 1
                     row[1] = max(row[1], s)
-                    row[2] = row[2] or (s == 1.0 and all_words[lo + p:lo + p + ix.length] == ix.words[k])
+                    row[2] = row[2] or (s == 1.0 and all_words[lo + p:lo + p + ix.length] == ix.words_of(k))
     return pd.DataFrame([(d, i, *r) for (d, i), r in best.items()], columns=["doc_id", "item_id", "windows", "similarity", "verbatim"])
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
-    """The query set in blocks of at most about ``ITEM_BLOCK_CHARS`` characters."""
+def item_blocks(items: DataFrame, item_id: str, text: str) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about ``ITEM_BLOCK_CHARS`` characters the query set has, and the blocks, each collected when it is asked for."""
     src = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter("i is not null and t is not null")
     size = src.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / ITEM_BLOCK_CHARS))
-    return [[(r.i, r.t) for r in (src if n == 1 else src.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b)).collect()] for b in range(n)]
+    return n, ([(r.i, r.t) for r in (src if n == 1 else src.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)).collect()] for b in range(n))
 
 
 def eval_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               item_id: str = "item_id", item_text: str = "item_text") -> DataFrame:
+               item_id: str = "item_id", item_text: str = "item_text", shingle_words: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, windows, similarity, verbatim``: documents with windows like one of an item.
 
     ``windows`` counts the similar pairs of windows, ``similarity`` is the best,
@@ -239,14 +254,17 @@ def eval_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     out = None
-    for block in item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(block)  # bounded by ITEM_BLOCK_CHARS
+    n, blocks = item_blocks(items, item_id, item_text)
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(build_index(block, shingle_words, least))  # bounded by ITEM_BLOCK_CHARS
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = build_index(shared.value)
             for pdf in batches:
-                yield leaks_of_batch(pdf["doc_id"].tolist(), pdf["text"].tolist(), index)
+                yield leaks_of_batch(pdf["doc_id"].tolist(), pdf["text"].tolist(), shared.value)
 
         part = docs.mapInPandas(run, SCHEMA)
+        if n > 1:
+            part = materialise(part, "leaks")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"), F.max("verbatim").alias("verbatim"))
