@@ -2,25 +2,30 @@
 
 Method: a vector is approximated by a sum of codewords, one from each of several
 full-dimensional codebooks. Codebooks are trained on residuals and then refitted
-together by least squares; a vector is encoded by beam search. The first codeword
-names the cell a vector is stored in, and the first step of the beam search over a
-query names the cells it is compared in. Within a cell all stored vectors are
-scored from lookup tables of inner products, with the stored norms of their
-approximations, and the best ``RERANK`` are scored exactly.
-
-The codebooks are fitted on at most ``SAMPLE_VECTORS`` vectors in hash order; every
-vector is stored and every vector is a query. The number of cells follows the number
-of vectors (about ``PER_CELL`` in a cell). A cell with more than ``BLOCK_ROWS``
-stored vectors or queries is split into blocks, and every block of stored vectors
-meets every block of queries, so no task holds more than two blocks. Exact copies
-are collapsed before the search and expanded after it.
+together by least squares; a vector is encoded by beam search over all of them. The
+first codewords of a code are its address, and name the cell the vector is stored in;
+the same beam over a query names the cells it is compared in. Within a cell all stored
+vectors are scored from lookup tables of inner products, with the stored norms of their
+approximations, and the best (``RERANK`` or twice ``k``, if that is more) are scored
+exactly.
+
+The codebooks are fitted on at most ``SAMPLE_VECTORS`` vectors in the order of their
+digests; every vector is stored and every vector is a query. The number of cells follows
+the number of vectors, about ``PER_CELL`` (or four times ``k``) in a cell: beyond
+``FIRST_WORDS`` cells the address takes in a further codebook, so that the work for a
+vector stays the same at every size. Cells with near codewords form a region, and a
+query goes once to each region that has one of its cells. A region with more than
+``BLOCK_ROWS`` stored vectors or queries is split into blocks, and every block of stored
+vectors meets every block of queries, so no task holds more than two blocks. Exact
+copies are collapsed before the search and expanded after it.
 
 Measured against brute force, the search finds at least 0.9 of the true neighbours
 (see the tests and the README).
 
 Defined cases: null vectors and vectors with null, infinite or undefined numbers,
 of another dimension, or of zero length take no part; repeated rows of one id are
-one vector; equal similarities order by id; with fewer than k others all are given;
+one vector (of different vectors under one id the greatest digest counts); equal
+similarities, to nine digits, order by id; with fewer than k others all are given;
 extra columns are ignored; empty input gives no rows.
 """
 
@@ -30,83 +35,131 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tmloom.session import materialise
 
 SAMPLE_VECTORS = 20_000
 PER_CELL = 128
-MAX_CELLS = 4096
+FIRST_WORDS = 4096
 EXTRA_BOOKS = 3
 EXTRA_WORDS = 128
 BEAM = 4
 PROBES = 8
 RERANK = 48
 BLOCK_ROWS = 8192
+REGION_CELLS = 16
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, dim: int) -> DataFrame:
-    """``id, vec``: the distinct usable vectors as arrays of doubles."""
-    v = F.col(vector).cast("array<double>")
-    ok = (F.size(vector) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return (df.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & F.coalesce(ok, F.lit(False)))
-            .select(F.col(vec_id).cast("string").alias("id"), v.alias("vec")).dropDuplicates(["id"]))
+    """``id, digest, raw, width``: the usable vectors by id, as the bytes of their numbers and a digest of these.
+
+    Numbers keep the bytes they have in ``df``, and ``width`` says how many: floats stay floats.
+    """
+    single = isinstance(df.schema[vector].dataType, ArrayType) and isinstance(df.schema[vector].dataType.elementType, FloatType)
+    kind = np.float32 if single else np.float64
+    rows = df.filter(F.col(vec_id).isNotNull() & (F.size(vector) == dim)).select(F.col(vec_id).cast("string").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, v = batch.column(0), batch.column(1)
+            flat = v.flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dim) + kind(0)  # no negative zero
+            if flat.null_count:  # a null number is no number
+                x[~flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dim)] = np.nan
+            ok = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
+            raw = [row.tobytes() for row in x[ok]]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok)), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "digest", "raw"])
+
+    return (rows.mapInArrow(pack, "id string, digest binary, raw binary")
+            .groupBy("id").agg(F.max(F.struct("digest", "raw")).alias("v")).select("id", "v.digest", "v.raw", F.lit(np.dtype(kind).itemsize).alias("width")))
 
 
 class Quantiser:
-    """Codebooks of an additive quantiser; the first names the cells."""
+    """Codebooks of an additive quantiser; the first ``depth`` of them name the cells."""
 
-    def __init__(self, books: list[np.ndarray]):
-        self.books = books
+    def __init__(self, books: list[np.ndarray], depth: int = 1):
+        self.books, self.depth = books, depth
+        self.half = [0.5 * (b ** 2).sum(1) for b in books]
 
     @classmethod
     def fit(cls, x: np.ndarray, cells: int, seed: int = 7) -> "Quantiser":
         rng = np.random.default_rng(seed)
+        first, depth = cells, 1
+        while first > FIRST_WORDS:
+            first, depth = -(-first // EXTRA_WORDS), depth + 1
         residual, books = x.copy(), []
-        for k in (cells, *[EXTRA_WORDS] * EXTRA_BOOKS):
+        for k in (first, *[EXTRA_WORDS] * max(EXTRA_BOOKS, depth - 1)):
             book = _kmeans(residual, min(k, len(x)), rng)
             residual = residual - book[_nearest(residual, book)]
             books.append(book)
-        q = cls(books)
-        # refit the later codebooks together to the codes that beam search gives; the cells stay as they are
+        # all codebooks refitted together to the codes that beam search gives, drawn to where they were
+        q = cls(books, depth)
         codes = q.encode(x)[0]
-        rest = x - books[0][codes[:, 0]]
-        width = [len(b) for b in books[1:]]
-        at = codes[:, 1:] + np.concatenate([[0], np.cumsum(width)[:-1]])
-        design = np.zeros((len(x), sum(width)), np.float32)
-        np.put_along_axis(design, at, 1, axis=1)
-        gram = design.T @ design + 0.1 * np.eye(sum(width), dtype=np.float32)
-        solved = np.linalg.solve(gram, design.T @ rest).astype(np.float32)
-        return cls([books[0], *np.split(solved, np.cumsum(width)[:-1])])
+        width = np.array([len(b) for b in books])
+        at = codes + np.concatenate([[0], np.cumsum(width)[:-1]])
+        total = int(width.sum())
+        gram = np.zeros(total * total)
+        for a in range(len(books)):
+            for b in range(len(books)):
+                gram += np.bincount(at[:, a] * total + at[:, b], minlength=total * total)
+        gram = gram.reshape(total, total)
+        gram[np.diag_indices(total)] += 1.0
+        rest = x - sum(b[codes[:, m]] for m, b in enumerate(books))
+        pull = np.zeros((total, x.shape[1]))
+        for m in range(len(books)):
+            order = np.argsort(at[:, m], kind="stable")
+            used, start = np.unique(at[order, m], return_index=True)
+            pull[used] += np.add.reduceat(rest[order], start, axis=0)
+        moved = np.linalg.solve(gram, pull).astype(np.float32)
+        return cls([b + d for b, d in zip(books, np.split(moved, np.cumsum(width)[:-1]))], depth)
+
+    def beam(self, x: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` best codes of the first ``depth`` codebooks for each vector, best first, and their sums of codewords."""
+        n, dim = x.shape
+        codes, approx = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, dim), np.float32)
+        for book, half in zip(self.books[:depth], self.half):
+            rest = x[:, None, :] - approx
+            cost = (0.5 * (rest * rest).sum(2)[:, :, None] + half - rest @ book.T).reshape(n, -1)
+            b = min(width, cost.shape[1])
+            top = np.argpartition(cost, b - 1, axis=1)[:, :b]
+            top = np.take_along_axis(top, np.argsort(np.take_along_axis(cost, top, 1), axis=1, kind="stable"), 1)
+            back, word = top // len(book), top % len(book)
+            codes = np.concatenate([np.take_along_axis(codes, back[:, :, None], 1), word[:, :, None]], 2)
+            approx = np.take_along_axis(approx, back[:, :, None], 1) + book[word]
+        return codes, approx
+
+    def address(self, codes: np.ndarray) -> np.ndarray:
+        """The cell of codes along the last axis."""
+        cell = np.zeros(codes.shape[:-1], np.int64)
+        for m in range(self.depth):
+            cell = cell * len(self.books[m]) + codes[..., m]
+        return cell
 
     def cells_of(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` best first codewords of each vector, best first."""
-        n = min(n, len(self.books[0]))
-        d = 0.5 * (self.books[0] ** 2).sum(1) - x @ self.books[0].T
-        top = np.argpartition(d, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1)
+        """The ``n`` best cells of each vector, best first."""
+        return self.address(self.beam(x, n, self.depth)[0])
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (one column per codebook) and norms of the approximations, by beam search.
-
-        The beam starts from the best cells, but the code kept is the best of
-        those in the first cell: that is where the vector is stored.
-        """
-        n = len(x)
-        codes = self.cells_of(x, 1)[:, :, None]  # vectors x beam x levels
-        approx = self.books[0][codes[:, :, 0]]
-        for book in self.books[1:]:
-            r = x[:, None, :] - approx
-            cost = (r * r).sum(2)[:, :, None] - 2 * r @ book.T + (book * book).sum(1)
-            flat = cost.reshape(n, -1)
-            b = min(BEAM, flat.shape[1])
-            top = np.argpartition(flat, b - 1, axis=1)[:, :b]
-            back, word = top // len(book), top % len(book)
-            codes = np.concatenate([np.take_along_axis(codes, back[:, :, None], 1), word[:, :, None]], 2)
-            approx = np.take_along_axis(approx, back[:, :, None], 1) + book[word]
-        best = ((x[:, None, :] - approx) ** 2).sum(2).argmin(1)
-        rows = np.arange(n)
-        return codes[rows, best], np.linalg.norm(approx[rows, best], axis=1)
+        """Codes (one column per codebook) and norms of the approximations, by beam search."""
+        codes, approx = self.beam(x, BEAM, len(self.books))
+        return codes[:, 0], np.linalg.norm(approx[:, 0], axis=1)
+
+    def regions(self) -> np.ndarray:
+        """The region of each first codeword: a few near codewords, or one that has many cells itself."""
+        first = self.books[0]
+        if self.depth > 1 or len(first) <= REGION_CELLS:
+            return np.arange(len(first)) if self.depth > 1 else np.zeros(len(first), np.int64)
+        return _nearest(first, _kmeans(first, len(first) // REGION_CELLS, np.random.default_rng(5)))
+
+    def region_of(self, cell: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        inner = int(np.prod([len(b) for b in self.books[1:self.depth]], dtype=np.int64))
+        return regions[cell // inner]
 
     def scores(self, q: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosine of each query with each stored vector, from lookup tables."""
@@ -134,15 +187,34 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return book
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+def _matrix(column, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def _exact_unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled first, so that no square overflows."""
+    y = x.astype(np.float64)
+    y /= np.abs(y).max(1, keepdims=True)
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one in single precision, for whatever is approximate."""
+    return _exact_unit(x).astype(np.float32)
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors as bytes, many to a row: a tenth of what rows of numbers take on the driver."""
-    for pdf in batches:
-        if len(pdf):
-            yield pd.DataFrame({"raw": [np.stack(pdf["u"].to_numpy()).astype(np.float32).tobytes()]})
+def _best_of_cell(model: Quantiser, x: np.ndarray, no: np.ndarray, codes: np.ndarray, norms: np.ndarray, y: np.ndarray, asked: np.ndarray,
+                  k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, stored vector and cosine: the ``k`` best stored vectors of a cell for each query, with all that equal the last of them."""
+    approx = model.scores(y.astype(np.float32), codes, norms)
+    approx[asked[:, None] == no[None, :]] = -2
+    r = min(max(RERANK, 2 * k), len(no))
+    top = np.argpartition(-approx, r - 1, axis=1)[:, :r]
+    cos = np.round(np.einsum("qd,qrd->qr", y, x[top]), 12)
+    cos[asked[:, None] == no[top]] = -2
+    floor = np.partition(cos, r - min(k, r), axis=1)[:, r - min(k, r)]
+    qi, ri = np.nonzero((cos >= floor[:, None] - 1e-9) & (cos >= least))
+    return asked[qi], no[top[qi, ri]], np.minimum(cos[qi, ri], 1.0)
 
 
 def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) -> DataFrame:
@@ -153,84 +225,90 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
     materialised table.
     """
     spark = vectors.sparkSession
-    unit = F.transform("vec", lambda v: v / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, y: s + y * y)))
-    # exact copies: one representative, the k + 1 smallest ids and the number of copies
-    w = Window.partitionBy("vec").orderBy("id")
-    firsts = (vectors.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1)
-              .groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    reps = firsts.select(F.element_at("ids", 1).alias("rep"), "ids", unit.alias("u"))
+    # exact copies: one representative, the k + 1 smallest ids
+    w = Window.partitionBy("digest").orderBy("id")
+    firsts = vectors.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k + 1).groupBy("digest").agg(
+        F.array_sort(F.collect_list("id")).alias("ids"), F.max(F.when(F.col("rn") == 1, F.col("raw"))).alias("raw"))
+    reps = materialise(firsts.withColumn("no", F.monotonically_increasing_id()), "representatives")
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other_id string, cosine double")
-    packed = reps.select("u", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE_VECTORS).select("u").mapInPandas(_packed, "raw binary")
-    sample = np.concatenate([np.frombuffer(r.raw, np.float32) for r in packed.collect()]).reshape(-1, len(reps.first().u))
-    cells = int(min(MAX_CELLS, max(4, 2 ** round(np.log2(max(1, n / PER_CELL))))))
-    model = Quantiser.fit(sample, min(cells, len(sample)))
-    books = spark.sparkContext.broadcast(model.books)  # at most MAX_CELLS + EXTRA_BOOKS * EXTRA_WORDS codewords
+    kind = np.float32 if vectors.first().width == 4 else np.float64
+    sample = [r.raw for r in reps.orderBy("digest").select("raw").limit(SAMPLE_VECTORS).collect()]
+    x = _unit(_matrix(sample, kind))
+    cells = max(1, 2 ** round(np.log2(max(1, n / max(PER_CELL, 4 * k)))))
+    model = Quantiser.fit(x, min(cells, len(x)))
+    # at most FIRST_WORDS codewords, and EXTRA_WORDS in each further codebook
+    shared = spark.sparkContext.broadcast((model.books, model.depth, model.regions()))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = Quantiser(books.value)
+        books, depth, regions = shared.value
+        q = Quantiser(books, depth)
         for pdf in batches:
             for s in range(0, len(pdf), 2048):
                 part = pdf.iloc[s:s + 2048]
-                x = np.stack(part["u"].to_numpy()).astype(np.float32)
-                codes, norms = q.encode(x)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "raw": [row.tobytes() for row in x], "codes": [c.astype(np.int16).tobytes() for c in codes],
-                                    "norm": norms, "own": codes[:, 0], "probes": list(q.cells_of(x, PROBES))})
-
-    # one row per vector; its places in the cells are made from it on the JVM, twice, without encoding twice
-    encoded = materialise(reps.select("rep", "u").mapInPandas(encode, "rep string, raw binary, codes binary, norm float, own int, probes array<int>"), "encoded")
-    stored = encoded.select(F.col("own").alias("cell"), F.lit(True).alias("stored"), "rep", "raw", "codes", "norm")
-    asked = encoded.select(F.explode("probes").alias("cell"), F.lit(False).alias("stored"), "rep", "raw", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).cast("float").alias("norm"))
-    rows = stored.unionByName(asked)
-    # split full cells: at most MAX_CELLS rows of counts, joined, not collected
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count_if("stored") / BLOCK_ROWS).cast("int").alias("sb"),
-                                     F.ceil(F.count_if(~F.col("stored")) / BLOCK_ROWS).cast("int").alias("qb"))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
-    placed = (rows.join(F.broadcast(sizes), "cell")  # one row per cell: at most MAX_CELLS
-              .withColumn("s", F.explode(F.when(F.col("stored"), F.array(own(F.col("sb")))).otherwise(every(F.col("sb")))))
-              .withColumn("q", F.explode(F.when(F.col("stored"), every(F.col("qb"))).otherwise(F.array(own(F.col("qb")))))))
+                y = _unit(_matrix(part["raw"], kind))
+                codes, norms = q.encode(y)
+                probes = q.cells_of(y, PROBES)
+                yield pd.DataFrame({"no": part["no"].to_numpy(), "raw": part["raw"].to_numpy(), "codes": [c.tobytes() for c in codes.astype(np.int16)], "norm": norms,
+                                    "own": q.region_of(q.address(codes), regions).astype(np.int32), "probes": [c.tobytes() for c in probes],
+                                    "regions": list(q.region_of(probes, regions).astype(np.int32))})
+
+    # one row per vector; its places in the regions are made from it on the JVM, without encoding twice
+    encoded = materialise(reps.select("no", "raw").mapInPandas(encode, "no long, raw binary, codes binary, norm float, own int, probes binary, regions array<int>"), "encoded")
+    stored = encoded.select(F.col("own").alias("region"), F.lit(True).alias("stored"), "no", "raw", F.col("codes").alias("places"), "norm")
+    asked = encoded.select(F.explode(F.array_distinct("regions")).alias("region"), F.lit(False).alias("stored"), "no", "raw", F.col("probes").alias("places"), F.lit(0.0).cast("float").alias("norm"))
+    # split full regions: one row of counts for each, joined and not collected
+    sizes = asked.groupBy("region").agg(F.count("*").alias("q")).join(stored.groupBy("region").agg(F.count("*").alias("s")), "region").select(
+        "region", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("sb"), F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("qb"))
+    own = lambda blocks: F.array(F.pmod(F.xxhash64("no"), F.col(blocks)).cast("int"))
+    every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    placed = (stored.unionByName(asked).join(F.broadcast(sizes), "region")  # as many rows as first codewords at most
+              .withColumn("s", F.explode(F.when(F.col("stored"), own("sb")).otherwise(every("sb"))))
+              .withColumn("q", F.explode(F.when(F.col("stored"), every("qb")).otherwise(own("qb"))))
+              .select("region", "s", "q", "stored", "no", "raw", "places", "norm"))
+    least = -1.5 if min_cosine is None else min_cosine - 1e-9
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = Quantiser(books.value)
-        stored, queries = pdf[pdf["stored"]], pdf[~pdf["stored"]]
-        out = {"rep": [], "other": [], "cosine": []}
-        if len(stored) and len(queries):
-            x, reps_s = _matrix(stored["raw"]), stored["rep"].to_numpy()
-            codes = np.frombuffer(b"".join(stored["codes"]), np.int16).reshape(len(stored), -1).astype(np.int64)
-            norms = stored["norm"].to_numpy(np.float32)
-            r = min(RERANK, len(stored))
-            step = max(1, 4_000_000 // len(stored))
-            for s in range(0, len(queries), step):
-                part = queries.iloc[s:s + step]
-                y, reps_q = _matrix(part["raw"]), part["rep"].to_numpy()
-                approx = model.scores(y, codes, norms)
-                approx[reps_q[:, None] == reps_s[None, :]] = -2
-                top = np.argpartition(-approx, r - 1, axis=1)[:, :r]
-                exact = np.einsum("qd,qrd->qr", y.astype(np.float64), x[top].astype(np.float64))
-                exact[reps_q[:, None] == reps_s[top]] = -2
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                cos = np.take_along_axis(exact, order, 1)
-                qi, ri = np.nonzero(cos >= (-1.5 if min_cosine is None else min_cosine - 1e-6))
-                out["rep"] += reps_q[qi].tolist()
-                out["other"] += reps_s[np.take_along_axis(top, order, 1)[qi, ri]].tolist()
-                out["cosine"] += np.minimum(cos[qi, ri], 1.0).tolist()
-        return pd.DataFrame(out, dtype=None if out["rep"] else object)
-
-    found = placed.groupBy("cell", "s", "q").applyInPandas(search, "rep string, other string, cosine double")
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
-    found = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn")
+        books, depth, _ = shared.value
+        q = Quantiser(books, depth)
+        kept = pdf["stored"].to_numpy(bool)
+        stored, asked = pdf[kept], pdf[~kept]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(stored) and len(asked):
+            x, y = _exact_unit(_matrix(stored["raw"], kind)), _exact_unit(_matrix(asked["raw"], kind))
+            no, ask = stored["no"].to_numpy(), asked["no"].to_numpy()
+            codes, norms = _matrix(stored["places"], np.int16).astype(np.int64), stored["norm"].to_numpy(np.float32)
+            probes = _matrix(asked["places"], np.int64)
+            cell = q.address(codes)
+            order = np.argsort(cell, kind="stable")
+            cells, start = np.unique(cell[order], return_index=True)
+            at = np.searchsorted(cells, probes)
+            hit = cells[np.minimum(at, len(cells) - 1)] == probes
+            who = np.nonzero(hit)[0]
+            by = np.argsort(at[hit], kind="stable")
+            asking, turn = np.unique(at[hit][by], return_index=True)
+            for c, mine in zip(asking.tolist(), np.split(who[by], turn[1:])):
+                here = order[start[c]:start[c + 1] if c + 1 < len(start) else None]
+                step = max(1, 2_000_000 // len(here))
+                for s in range(0, len(mine), step):
+                    m = mine[s:s + step]
+                    out.append(_best_of_cell(q, x[here], no[here], codes[here], norms[here], y[m], ask[m], k, least))
+        return pd.DataFrame(dict(zip(("no", "other", "cosine"), (np.concatenate(c) for c in zip(*out)))))
+
+    found = placed.groupBy("region", "s", "q").applyInPandas(search, "no long, other long, cosine double")
+    names = reps.select("no", "ids")
+    found = found.join(names.select(F.col("no").alias("other"), "ids"), "other").select("no", F.round("cosine", 9).alias("near"), "cosine", "ids")
+    best = Window.partitionBy("no").orderBy(F.desc("near"), F.element_at("ids", 1))
+    found = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
     # copies: of another group at most its k smallest ids can count, of the own group the k smallest others
-    near = (found.join(firsts.select(F.element_at("ids", 1).alias("other"), "ids"), "other")
-            .select("rep", "cosine", F.explode(F.slice("ids", 1, k)).alias("other_id"))
-            .unionByName(reps.filter(F.size("ids") > 1).select("rep", F.lit(1.0).alias("cosine"), F.explode("ids").alias("other_id"))))
+    near = (found.select("no", "near", "cosine", F.explode(F.slice("ids", 1, k)).alias("other_id"))
+            .unionByName(names.filter(F.size("ids") > 1).select("no", F.lit(1.0).alias("near"), F.lit(1.0).alias("cosine"), F.explode("ids").alias("other_id"))))
     # the own group's list has k + 1 entries, one of which may be the vector itself
-    lists = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), F.col("other_id").alias("o")))).alias("near"))
-    members = vectors.join(firsts.select("vec", F.element_at("ids", 1).alias("rep")), "vec").select("id", "rep")
-    out = (members.join(lists, "rep")
-           .select("id", F.explode(F.slice(F.filter("near", lambda s: s["o"] != F.col("id")), 1, k)).alias("s"))
-           .select("id", F.col("s.o").alias("other_id"), (-F.col("s.d")).alias("cosine")))
+    lists = near.groupBy("no").agg(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("d"), F.col("other_id").alias("o"), F.col("cosine").alias("c")))).alias("list"))
+    out = (vectors.select("id", "digest").join(reps.select("digest", "no").join(lists, "no").select("digest", "list"), "digest")
+           .select("id", F.explode(F.slice(F.filter("list", lambda s: s["o"] != F.col("id")), 1, k)).alias("s"))
+           .select("id", F.col("s.o").alias("other_id"), F.col("s.c").alias("cosine")))
     return out if min_cosine is None else out.filter(F.col("cosine") >= min_cosine)
 
 
