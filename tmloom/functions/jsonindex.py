@@ -61,6 +61,7 @@ class JsonIndex:
         pos = np.flatnonzero(cls)
         kind = cls[pos]
         slashes = np.flatnonzero(self.buf == 92)
+        self.slashes = np.concatenate([[0], np.cumsum(self.buf == 92)])
         if slashes.size:  # a quote after an odd run of backslashes is escaped
             new = np.concatenate([[True], np.diff(slashes) > 1])
             first = slashes[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -100,6 +101,7 @@ class JsonIndex:
         count = np.diff(self.first)
         ok = (count > 0) & self.even
         self.ok = ok
+        self.close = np.full(m, -1)
         if not m:
             return
         f, last = np.minimum(self.first[:-1], m - 1), np.maximum(self.first[1:] - 1, 0)
@@ -116,6 +118,7 @@ class JsonIndex:
         br = np.flatnonzero((self.up | self.down) & ~bad[self.row])
         order = br[np.lexsort((br, self.depth[br], self.row[br]))]
         o, c = order[0::2], order[1::2]
+        self.close[o] = c
         bad[self.row[o[self.kind[c] != self.kind[o] + 1]]] = True
         blank = np.concatenate([[0], np.cumsum(~_BLANK[self.buf])])
         scalar = np.concatenate([[0], np.cumsum(~(_BLANK | _SCALAR)[self.buf])])
@@ -160,15 +163,18 @@ class JsonIndex:
         return out
 
     def named(self, lo: np.ndarray, hi: np.ndarray, name: str) -> np.ndarray:
-        """Indices of the spans whose bytes are ``name``."""
+        """Indices of the spans that read ``name``, whether or not they have escapes."""
         lit = name.encode()
         i = np.flatnonzero(hi - lo == len(lit))
         for k, byte in enumerate(lit):
             i = i[self.buf[lo[i] + k] == byte]
-        return i
+        longer = np.flatnonzero((hi - lo > len(lit)) & (hi - lo <= 6 * len(lit)))
+        longer = longer[self.slashes[hi[longer]] > self.slashes[lo[longer]]] if longer.size else longer
+        spelt = [k for k in longer.tolist() if self.text(int(lo[k]), int(hi[k])) == name]
+        return np.sort(np.concatenate([i, np.array(spelt, np.int64)])) if spelt else i
 
-    def elements(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the elements of arrays at ``depth``: array token, place, first token (or -1 for a scalar), null."""
+    def elements(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the elements of arrays at ``depth``: array token, place, first token (or -1 for a scalar), null, the token before."""
         here = self.depth == depth
         comma = here & (self.kind == COMMA)
         opens = here & (self.kind == ARR)
@@ -176,7 +182,7 @@ class JsonIndex:
         is_arr = self.kind[np.maximum(inside, 0)] == ARR
         at = np.flatnonzero((opens | (comma & is_arr)) & self.ok[self.row])
         if not at.size:
-            return at, at, at, np.zeros(0, bool)
+            return at, at, at, np.zeros(0, bool), at
         arr = inside[at]
         nxt = np.minimum(at + 1, self.pos.size - 1)
         count = np.cumsum(comma)
@@ -186,7 +192,18 @@ class JsonIndex:
         empty = ~lead & (blank[self.pos[nxt]] == blank[self.pos[at] + 1])  # [] has no element
         null = ~lead & ~empty & self.is_null(self.pos[at] + 1, self.pos[nxt])
         keep = ~empty
-        return arr[keep], place[keep], np.where(lead, nxt, -1)[keep], null[keep]
+        return arr[keep], place[keep], np.where(lead, nxt, -1)[keep], null[keep], at[keep]
+
+    def spans(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the values that follow the tokens ``before``, which are colons, commas or opening brackets."""
+        nxt = np.minimum(before + 1, self.pos.size - 1)
+        end = np.where(self.up[nxt], self.pos[self.close[nxt]] + 1, np.where(self.opening[nxt], self.pos[np.minimum(nxt + 1, self.pos.size - 1)] + 1, self.pos[nxt]))
+        return self.pos[before] + 1, end
+
+    def value(self, lo: int, hi: int) -> str:
+        """The value between two byte positions: a string as it reads, anything else as its JSON text."""
+        raw = self.buf[lo:hi].tobytes().strip()
+        return self.text(lo + self.buf[lo:hi].tobytes().index(34) + 1, lo + self.buf[lo:hi].tobytes().rindex(34)) if raw[:1] == b'"' else raw.decode("utf-8", "replace")
 
     def text(self, lo: int, hi: int) -> str:
         """The string between two byte positions, escapes resolved."""

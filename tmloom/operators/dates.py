@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tmloom.functions.instants import with_instant
 
 
+#: text that encodes JSON is unwrapped so many times at most
+UNWRAPS = 8
+
+
 def readable_json(c: Column) -> Column:
     """The text of a JSON document as a variant: unwrapped if it is a string of JSON, null if unreadable."""
-    bare = F.regexp_replace(c, r"^\x{FEFF}+", "")
-    v = F.try_parse_json(bare)
-    inner = F.try_variant_get(v, "$", "string")
-    return F.when(F.substring(F.ltrim(bare), 1, 1) == '"', F.try_parse_json(inner)).otherwise(v)
+    bare = lambda x: F.regexp_replace(x, r"^\x{FEFF}+", "")
+    inner = lambda t, _: F.when(F.substring(F.ltrim(t), 1, 1) == '"', bare(F.try_variant_get(F.try_parse_json(t), "$", "string"))).otherwise(t)
+    return F.try_parse_json(F.aggregate(F.array_repeat(F.lit(0), UNWRAPS), bare(c), inner))
 
 
 def revision_dates(segments: DataFrame) -> DataFrame:

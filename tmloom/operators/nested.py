@@ -1,7 +1,8 @@
 """Flat tables of nested segment metadata, with parent and child keys.
 
 One pass of the structural index (``functions.jsonindex``) over each Arrow batch
-gives all child tables at once. Only keys and places leave the Python side.
+gives all child tables at once: keys and places, and where values are wanted the span
+of each element. ``flat_table`` makes one typed table of them.
 
 Defined cases: null, empty, unreadable and cut-off texts and texts that are no
 object give no rows; text that encodes JSON once more is read, also behind a
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tmloom.functions.jsonindex import ARR, OBJ, JsonIndex
+from tmloom.operators.dates import UNWRAPS
 
 SCHEMA = "segment_id string, child_table string, parent_key string, child_key string"
+VALUES = SCHEMA + ", value string"
 _ARROW = pa.schema([(c, pa.string()) for c in ("segment_id", "child_table", "parent_key", "child_key")])
 
 
@@ -31,7 +34,7 @@ def unwrap(text: str | None) -> bytes:
     if not text:
         return b""
     text = text.lstrip("﻿")
-    for _ in range(8):
+    for _ in range(UNWRAPS):
         if text.lstrip(" \t\r\n﻿")[:1] != '"':
             break
         try:
@@ -43,8 +46,12 @@ def unwrap(text: str | None) -> bytes:
 
 def nested_rows(texts: list[bytes]) -> list[tuple[int, str, str, str]]:
     """``(row, child_table, parent_key, child_key)`` of every nested element of a batch."""
-    ix = JsonIndex(texts)
-    out: list[tuple[int, str, str, str]] = []
+    return [r[:4] for r in located_rows(JsonIndex(texts))]
+
+
+def located_rows(ix: JsonIndex) -> list[tuple[int, str, str, str, int]]:
+    """``(row, child_table, parent_key, child_key, token before the value)`` of every nested element of a batch."""
+    out: list[tuple[int, str, str, str, int]] = []
     m = ix.pos.size
     if not m:
         return out
@@ -62,23 +69,23 @@ def nested_rows(texts: list[bytes]) -> list[tuple[int, str, str, str]]:
         at[ix.row[i]] = tok
         return at
 
-    def listed(depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the lists or single objects at ``at``: row, place, first token of each element that is not null."""
+    def listed(depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lists or single objects at ``at``: row, place, first token and the token before of each element that is not null."""
         own = at[at >= 0]
         single = own[ix.kind[own] == OBJ]
-        arr, place, tok, null = ix.elements(depth)
+        arr, place, tok, null, before = ix.elements(depth)
         sel = (at[ix.row[arr]] == arr) & ~null if arr.size else np.zeros(0, bool)
         rows = np.concatenate([ix.row[single], ix.row[arr[sel]]])
-        return rows, np.concatenate([np.zeros(single.size, np.int64), place[sel]]), np.concatenate([single, tok[sel]])
+        return rows, np.concatenate([np.zeros(single.size, np.int64), place[sel]]), np.concatenate([single, tok[sel]]), np.concatenate([single - 1, before[sel]])
 
     meta = value_by_row(1, "metadata", None)
     for name in ("revisions", "revision_stages"):
-        rows, place, _ = listed(3, value_by_row(2, name, meta))
-        out += [(r, name, "", str(p)) for r, p in zip(rows.tolist(), place.tolist())]
+        rows, place, _, before = listed(3, value_by_row(2, name, meta))
+        out += [(r, name, "", str(p), b) for r, p, b in zip(rows.tolist(), place.tolist(), before.tolist())]
 
     matches = value_by_row(1, "context_matches", None)
-    rows, place, tok = listed(2, matches)
-    out += [(r, "context_matches", "", str(p)) for r, p in zip(rows.tolist(), place.tolist())]
+    rows, place, tok, before = listed(2, matches)
+    out += [(r, "context_matches", "", str(p), b) for r, p, b in zip(rows.tolist(), place.tolist(), before.tolist())]
     for depth, sel in ((2, (tok >= 0) & (tok == matches[rows])), (3, (tok >= 0) & (tok != matches[rows]))):
         label = np.full(m, -1)
         label[tok[sel]] = place[sel]
@@ -100,17 +107,17 @@ def nested_rows(texts: list[bytes]) -> list[tuple[int, str, str, str]]:
     lone[inside(2, i[idk])] = True
     mapped = ~lone[inside(2, i)] & ~null
     last: dict[tuple[int, str], tuple[int, int]] = {}
-    for r, a, b, t in zip(ix.row[i[mapped]].tolist(), lo[mapped].tolist(), hi[mapped].tolist(), tok[mapped].tolist()):
-        last[r, ix.text(a, b)] = (r, t)
+    for r, a, b, t, k in zip(ix.row[i[mapped]].tolist(), lo[mapped].tolist(), hi[mapped].tolist(), tok[mapped].tolist(), (i[mapped] + 2).tolist()):
+        last[r, ix.text(a, b)] = (k, t)
     depth_of: dict[int, list[int]] = {2: [], 3: []}
-    for (r, name), (_, t) in last.items():
-        out.append((r, "tags", "", name))
+    for (r, name), (k, t) in last.items():
+        out.append((r, "tags", "", name, k))
         if t >= 0:
             entry[t] = len(names)
             depth_of[3].append(t)
         names.append(name)
     # lists of objects with their id, and the lone object
-    arr, _, tok3, _ = ix.elements(2)
+    arr, _, tok3, _, _ = ix.elements(2)
     in_list = (arr == tags[ix.row[arr]]) & (tok3 >= 0) if arr.size else np.zeros(0, bool)
     objects = tok3[in_list]
     for depth, tokens in ((3, objects[ix.kind[objects] == OBJ]), (2, own[lone[own]])):
@@ -126,8 +133,8 @@ def nested_rows(texts: list[bytes]) -> list[tuple[int, str, str, str]]:
                 continue
             a, b = (ix.pos[t] + 1, ix.pos[t + 1]) if t >= 0 else (ix.pos[key + 2] + 1, ix.pos[key + 3])
             name = ix.text(int(a), int(b)) if t >= 0 else ix.text(int(a), int(b)).strip()
-            out.append((int(ix.row[key]), "tags", "", name))
             box = int(inside(depth, key))
+            out.append((int(ix.row[key]), "tags", "", name, box - 1))
             entry[box] = len(names)
             names.append(name)
             depth_of[depth].append(box)
@@ -159,8 +166,8 @@ def _children(ix: JsonIndex, out: list, label: np.ndarray, depth: int, key: str,
     mine = of[ix.inside[depth + 1][c]]
     _, null = ix.value_of(c)
     sel = (mine >= 0) & ~null
-    out += [(r, child_table, parent(p), ix.text(a, b)) for r, p, a, b in
-            zip(ix.row[c[sel]].tolist(), mine[sel].tolist(), clo[sel].tolist(), chi[sel].tolist())]
+    out += [(r, child_table, parent(p), ix.text(a, b), t) for r, p, a, b, t in
+            zip(ix.row[c[sel]].tolist(), mine[sel].tolist(), clo[sel].tolist(), chi[sel].tolist(), (c[sel] + 2).tolist())]
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +178,51 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=_ARROW)
 
 
+def _values(child_table: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ix = batch.column(0).to_pylist(), JsonIndex([unwrap(t) for t in batch.column(1).to_pylist()])
+            # of a key that occurs again the last counts
+            last = {r[:4]: r[4] for r in located_rows(ix) if r[1] == child_table}
+            lo, hi = ix.spans(np.array(list(last.values()), np.int64)) if last else ((), ())
+            cols = ([ids[r] for r, *_ in last], *([k[c] for k in last] for c in (1, 2, 3)), [ix.value(int(a), int(b)) for a, b in zip(lo, hi)])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], schema=_ARROW.append(pa.field("value", pa.string())))
+    return run
+
+
+def _source(segments: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    return segments.select(F.col(id_col).cast("string").alias("segment_id"), F.col(json_col).alias("text")).filter(
+        F.col("text").contains("{") & (F.col("text").contains("tags") | F.col("text").contains("context_matches") | F.col("text").contains("revision") | F.col("text").contains("\\u00")))
+
+
 def flatten_metadata(segments: DataFrame, id_col: str = "id", json_col: str = "metadata_json") -> DataFrame:
     """``segment_id, child_table, parent_key, child_key``: one row per nested element."""
-    src = segments.select(F.col(id_col).cast("string").alias("segment_id"), F.col(json_col).alias("text")).filter(
-        F.col("text").contains("{") & (F.col("text").contains("tags") | F.col("text").contains("context_matches") | F.col("text").contains("revision") | F.col("text").contains("\\u00")))
-    return src.mapInArrow(_flatten, SCHEMA).distinct()
+    return _source(segments, id_col, json_col).mapInArrow(_flatten, SCHEMA).distinct()
+
+
+#: the columns of the flat tables: what the parent and child keys are called, and the fields of an element with their types
+TABLES: dict[str, tuple[str | None, str, dict[str, str]]] = {
+    "tags": (None, "tag_id", {"type": "string", "ref_id": "string", "content": "string"}),
+    "tag_attributes": ("tag_id", "name", {}),
+    "revisions": (None, "pos", {"type": "string", "text": "string", "author": "string", "date": "string"}),
+    "revision_stages": (None, "pos", {"stage": "int", "author": "string", "date": "string", "text": "string"}),
+    "context_matches": (None, "pos", {"id": "string", "type": "string", "category": "string", "filename": "string", "content": "string", "source_text": "string", "note": "string",
+                                      "score": "int", "raw_logit": "double"}),
+    "match_metadata": ("match_pos", "name", {}),
+}
+
+
+def flat_table(segments: DataFrame, child_table: str, id_col: str = "id", json_col: str = "metadata_json") -> DataFrame:
+    """One of ``TABLES`` with values: ``segment_id``, the keys, and the fields, or ``value`` where an element is a plain value.
+
+    A field that an element lacks, or that is not of its type, is null; deliveries of one
+    record give one set of rows.
+    """
+    parent, child, fields = TABLES[child_table]
+    rows = _source(segments, id_col, json_col).mapInArrow(_values(child_table), VALUES).distinct()
+    place = lambda c, name: F.col(c).cast("int").alias(name) if name in ("pos", "match_pos") else F.col(c).alias(name)
+    keys = ["segment_id", *([place("parent_key", parent)] if parent else []), place("child_key", child)]
+    if not fields:
+        return rows.select(*keys, "value")
+    return rows.select(*keys, F.try_parse_json("value").alias("v")).select(
+        "segment_id", child, *[F.try_variant_get("v", f"$.{f}", t).alias(f) for f, t in fields.items()])
