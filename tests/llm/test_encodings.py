@@ -64,3 +64,27 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in N.affected(df).collect()) == [5, 6, 7]
     assert N.affected(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_byte_encodings_read_as_another(model):
+    m, _ = model
+    for garbled, want in (("Mⁿller", "Müller"), ("Stra▀e", "Straße"), ("annйe", "année")):
+        assert N.diagnose([garbled], m)[0][1] == want
+    for w in ("x²yz", "a×bcde", "GmbH®Abc", "A™Bcd", "Δtest", "µmeter", "CO₂equiv", "naïve", "Название", "Αθήνα", "中文", "kW·hour"):
+        assert N.diagnose([w], m)[0] == (N.CLEAN, w), w
+
+
+def test_mixed_and_repeated_chains_are_undone_to_the_end(model):
+    m, _ = model
+    for chain in (("latin-1", "cp437"), ("cp437", "latin-1"), ("latin-1",) * 3, ("cp1252", "cp850")):
+        label, back = N.diagnose([N.garble("Müller", chain)], m)[0]
+        assert back == "Müller" and label.count("+") == len(chain) - 1
+
+
+@pytest.mark.parametrize("word", ["отчёт", "Привет", "έκθεση", "中文", "報告"])
+def test_other_scripts(model, word):
+    m, _ = model
+    assert N.diagnose([word], m)[0][0] == N.CLEAN
+    for codec in ("latin-1", "cp1252", "cp437"):
+        g = N.garble(word, (codec,))
+        assert N.diagnose([g], m)[0][1] == word, codec
