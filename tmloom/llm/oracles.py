@@ -26,7 +26,7 @@ _P5 = """WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM context_ch
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
     n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 3)
-    SELECT DISTINCT least(a, b) AS low_id, greatest(a, b) AS high_id FROM n WHERE c >= 0.85"""
+    """
 
 _WORDS = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
 _RUNS = "SELECT {0}, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM (SELECT {0}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {1})"
@@ -37,6 +37,7 @@ _P7 = f"""WITH i AS (SELECT item_id, w, least(12, len(w)) AS n FROM (SELECT item
 ORACLES = {
     "p2_found": _P2,
     "p2_counts": f"SELECT record_table, keep_id, count(*) + 1 AS n_copies FROM ({_P2}) GROUP BY 1, 2",
-    "p5_found": _P5,
+    "p5_found": _P5 + "SELECT DISTINCT least(a, b) AS low_id, greatest(a, b) AS high_id FROM n WHERE c >= 0.85",
+    "p5_neighbours": _P5 + "SELECT a AS id, b AS other_id, round(c, 4) AS cosine FROM n WHERE c >= 0.85",
     "p7_found": _P7,
 }

@@ -8,7 +8,7 @@ from tmloom.llm.alignment import align, filled_segments
 from tmloom.llm.encodings import affected, repair
 from tmloom.llm.eval_leaks import eval_leaks
 from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
-from tmloom.llm.mixing import mix
+from tmloom.llm.mixing import mix, mix_with_marginals
 from tmloom.llm.neighbours import nearest, similar_pairs, usable
 from tmloom.llm.oracles import ORACLES
 from tmloom.session import materialise, table
@@ -36,8 +36,9 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 3 nearest chunks of every chunk at a cosine of at least 0.85."""
-    return nearest(materialise(usable(table(spark, d, "context_chunks"), "id", "embedding", 64), "vectors"), k=3, min_cosine=0.85)
+    """The 3 nearest chunks of every chunk at a cosine of at least 0.85, which is given to four digits."""
+    near = nearest(materialise(usable(table(spark, d, "context_chunks"), "id", "embedding", 64), "vectors"), k=3, min_cosine=0.85)
+    return near.withColumn("cosine", F.round("cosine", 4))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +64,11 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of the sources, languages and topics."""
+    return mix_with_marginals(table(spark, d, "documents"), table(spark, d, "mix_targets"))[2]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return affected(table(spark, d, "documents"))
 
@@ -71,6 +77,6 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p8_marginals, p9_found, p9_restored)}
 
 __all__ = ["ORACLES", "QUERIES"]
