@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Iterable
 
@@ -51,42 +52,61 @@ def side(text: str, new: bool) -> str:
 def accumulate(stages: list[tuple[str, str, str]]) -> str:
     """One document of several authors' changes in turn.
 
-    ``stages`` are (text, author, date), the base first. A word keeps the mark of the
-    stage that inserted it; a word deleted later is kept inside a deletion mark of the
-    later stage, around its insertion mark if it has one.
+    ``stages`` are (text, author, date), the base first. Every word that ever stood in the
+    text has a stage it came in with and, it may be, a stage it went out with. The words that
+    are there before a stage are compared with its text: what is gone goes out with this
+    stage, and what is new comes in behind the last word before it. A word that came in and
+    went out has its insertion mark inside the deletion mark.
     """
-    # each fragment: text, stage that inserted it (0: base), stage that deleted it (0: none)
-    frags: list[list] = [[stages[0][0] or "", 0, 0]] if stages else []
+    if not stages:
+        return ""
+    words = [(w, 0) for w in _TOKEN.findall(stages[0][0] or "")]
+    came, gone = [0] * len(words), {}
+    order = list(range(len(words)))  # all words ever, by number, in the order of the document
     for n, (text, _, _) in enumerate(stages[1:], 1):
-        current = "".join(f[0] for f in frags if not f[2])
-        out: list[list] = []
-        ops = list(opcodes(current, text or ""))
-        at, used = 0, 0  # fragment and how much of it is used
-
-        def take(length: int, deleted_by: int) -> None:
-            nonlocal at, used
-            while length > 0 or (at < len(frags) and frags[at][2]):
-                f = frags[at]
-                if f[2]:
-                    out.append(f)
-                    at, used = at + 1, 0
-                    continue
-                part = f[0][used:used + length]
-                out.append([part, f[1], deleted_by])
-                used += len(part)
-                length -= len(part)
-                if used == len(f[0]):
-                    at, used = at + 1, 0
-
-        for op, gone, come in ops:
-            take(len(gone), 0 if op == "equal" else n)
-            if op != "equal" and come:
-                out.append([come, n, 0])
-        take(0, 0)
-        out += [[f[0][used:] if k == 0 else f[0], f[1], f[2]] for k, f in enumerate(frags[at:])]
-        frags = [f for f in out if f[0]]
+        alive = [k for k in order if k not in gone]
+        fresh = _TOKEN.findall(text or "")
+        behind: dict[int, list[int]] = {}
+        for op, a, b, c, d in difflib.SequenceMatcher(None, [words[k][0] for k in alive], fresh).get_opcodes():
+            if op == "equal":
+                continue
+            gone |= dict.fromkeys(alive[a:b], n)
+            anchor = alive[b - 1] if b else -1
+            for w in fresh[c:d]:
+                behind.setdefault(anchor, []).append(len(words))
+                words.append((w, n))
+                came.append(n)
+        order = behind.get(-1, []) + [x for k in order for x in (k, *behind.get(k, ()))]
     mark = lambda tag, n, t: f'<{tag} author="{attr(stages[n][1] or "")}" date="{attr(stages[n][2] or "")}">{t}</{tag}>' if n else t
-    return "".join(mark("del", f[2], mark("ins", f[1], f[0])) for f in frags)
+    out = []
+    for (inside, outside), run in itertools.groupby(order, key=lambda k: (came[k], gone.get(k, 0))):
+        out.append(mark("del", outside, mark("ins", inside, "".join(words[k][0] for k in run))))
+    return "".join(out)
+
+
+def letter_changes(old: str | None, new: str | None) -> str | None:
+    """What changed letter by letter as HTML; null if nothing did. Equal runs of under three letters between changes are part of these."""
+    a, b = old or "", new or ""
+    if a == b:
+        return None
+    steps: list[list[str]] = []
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        kept = op == "equal" and (j - i > 2 or i == 0 or j == len(a))
+        if kept or not steps or steps[-1][0] == "equal":
+            steps.append(["equal" if kept else "change", a[i:j], b[k:m]])
+        else:
+            steps[-1][1] += a[i:j]
+            steps[-1][2] += b[k:m]
+    part = lambda tag, t: f"<{tag}>{attr(t)}</{tag}>" if t else ""
+    return "".join(attr(x) if op == "equal" else part("del", x) + part("ins", y) for op, x, y in steps)
+
+
+def attributes(c: Column) -> Column:
+    """The attributes of an insert or delete mark as a map, entities resolved."""
+    from tmloom.functions.text import unescaped
+
+    value = lambda n: F.regexp_extract_all(c, F.lit(r'([A-Za-z_-]+)="([^"]*)"'), F.lit(n))
+    return F.map_from_arrays(value(1), F.transform(value(2), unescaped))
 
 
 def _markups(old: pd.Series, new: pd.Series) -> pd.Series:

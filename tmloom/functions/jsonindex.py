@@ -201,9 +201,12 @@ class JsonIndex:
         return self.pos[before] + 1, end
 
     def value(self, lo: int, hi: int) -> str:
-        """The value between two byte positions: a string as it reads, anything else as its JSON text."""
+        """The value between two byte positions: a string as it reads, anything else as its JSON text without needless blanks."""
         raw = self.buf[lo:hi].tobytes().strip()
-        return self.text(lo + self.buf[lo:hi].tobytes().index(34) + 1, lo + self.buf[lo:hi].tobytes().rindex(34)) if raw[:1] == b'"' else raw.decode("utf-8", "replace")
+        if raw[:1] == b'"':
+            return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
+        text = raw.decode("utf-8", "replace")
+        return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":")) if raw[:1] in (b"{", b"[") else text
 
     def text(self, lo: int, hi: int) -> str:
         """The string between two byte positions, escapes resolved."""

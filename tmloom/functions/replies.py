@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, functions as F
 
@@ -11,37 +12,53 @@ _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 _PAIR = re.compile(r'"([^"\\]+)"\s*:\s*"((?:[^"\\]|\\.)*)"')
 
 
+#: a string whose end is a quote before a sign of structure, or one that is cut off; or any other character
+_LEXEME = re.compile(r'"((?:[^"\\]|\\.|"(?!\s*(?:[,:}\]]|$)))*)("|$)|([{}\[\]])|([^"{}\[\]]+)', re.S)
+_CLOSING = {"{": "}", "[": "]"}
+
+
 def repaired(text: str) -> str:
     """JSON text with bare line breaks and quotes in strings escaped, and cut-off ends closed."""
-    out, stack, inside, i = [], [], False, 0
-    while i < len(text):
-        ch = text[i]
-        if inside:
-            if ch == "\\" and i + 1 < len(text):
-                out.append(text[i:i + 2])
-                i += 2
-                continue
-            if ch == '"':
-                rest = text[i + 1:].lstrip()
-                if not rest or rest[0] in ",:}]":
-                    inside = False
-                    out.append(ch)
-                else:
-                    out.append('\\"')
-            else:
-                out.append({"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(ch, ch))
+    out, due = [], []
+    for m in _LEXEME.finditer(text):
+        body, end, bracket, other = m.groups()
+        if bracket:
+            if bracket in _CLOSING:
+                due.append(_CLOSING[bracket])
+            elif due:
+                due.pop()
+            out.append(bracket)
+        elif other is not None:
+            out.append(other)
         else:
-            if ch == '"':
-                inside = True
-            elif ch in "{[":
-                stack.append("}" if ch == "{" else "]")
-            elif ch in "}]" and stack:
-                stack.pop()
-            out.append(ch)
-        i += 1
-    body = "".join(out) + ('"' if inside else "")
-    body = re.sub(r",\s*$", "", body) + "".join(reversed(stack))
-    return re.sub(r",(\s*[}\]])", r"\1", body)
+            inner = re.sub(r'\\.|"', lambda q: q.group() if len(q.group()) > 1 else '\\"', body or "", flags=re.S)
+            out.append('"' + inner.translate({10: "\\n", 13: "\\r", 9: "\\t"}) + '"')
+    whole = re.sub(r",\s*$", "", "".join(out)) + "".join(reversed(due))
+    return re.sub(r",(\s*[}\]])", r"\1", whole)
+
+
+# fixed values: what the fields of an answer are called
+_ID_FIELDS = ("id", "segment_id")
+_TEXT_FIELDS = ("target", "translation", "target_text", "text")
+
+
+def _answers(found) -> Iterator[tuple[str, str]]:
+    """Pairs of id and text of a parsed reply: a map, a list of objects with their id, or either under one name."""
+    if isinstance(found, list):
+        for x in found:
+            if isinstance(x, dict):
+                key = next((x[f] for f in _ID_FIELDS if f in x), None)
+                text = next((x[f] for f in _TEXT_FIELDS if isinstance(x.get(f), str)), None)
+                if key is not None and text is not None:
+                    yield str(key), text
+    elif isinstance(found, dict):
+        if any(f in found for f in _ID_FIELDS):
+            yield from _answers([found])
+        for k, v in found.items():
+            if isinstance(v, str):
+                yield str(k), v
+            elif isinstance(v, (list, dict)):
+                yield from _answers(v)
 
 
 def parsed(reply: str | None, ids: list[str]) -> dict[str, str]:
@@ -50,17 +67,17 @@ def parsed(reply: str | None, ids: list[str]) -> dict[str, str]:
         return {}
     fence = _FENCE.search(reply)
     body = (fence.group(1) if fence else reply).strip()
-    lo, hi = body.find("{"), body.rfind("}")
+    lo = min((k for k in (body.find("{"), body.find("[")) if k >= 0), default=-1)
+    hi = max(body.rfind("}"), body.rfind("]"))
     for cand in ([body[lo:hi + 1]] if 0 <= lo < hi else []) + ([body[lo:]] if lo >= 0 else []):
         for text in (cand, repaired(cand)):
             try:
                 found = json.loads(text, strict=False)
             except ValueError:
                 continue
-            if isinstance(found, dict):
-                got = {str(k): v for k, v in found.items() if isinstance(v, str) and str(k) in ids}
-                if got:
-                    return got
+            got = {k: v for k, v in _answers(found) if k in ids}
+            if got:
+                return got
     got = {k: json.loads(f'"{v}"', strict=False) for k, v in _PAIR.findall(body) if k in ids}
     if got:
         return got

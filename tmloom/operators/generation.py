@@ -71,23 +71,32 @@ def generated(df: DataFrame, model: Model = echo, size: int = 15, pause: float =
     return df.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text").mapInPandas(run, SCHEMA)
 
 
-def sequential(df: DataFrame, step: Callable[[str, list[tuple[str, str]]], str], block: int = 2048, memory: int = 5) -> DataFrame:
-    """``id, output``: rows in order within a (group, block), each seeing the last ``memory`` results.
+def sequential(df: DataFrame, step: Callable[[str, list[tuple[str, str]]], str], memory: int = 5) -> DataFrame:
+    """``id, output``: the rows of a group in order, each seeing the last ``memory`` results.
 
-    ``df`` has ``group, idx, id, text``. The order is serial by nature; blocks of places
-    keep a task bounded, and the memory starts anew with each block.
+    ``df`` has ``group, idx, id, text``. A text that a group has several times is answered
+    once. The order is serial by nature, so a group's rows pass through one task; they are
+    sorted outside memory and stream through it, and only the last results and the answers to
+    repeated texts are held.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done: list[tuple[str, str]] = []
-        seen: dict[str, str] = {}
-        rows = []
-        for i, t in pdf.sort_values(["idx", "id"])[["id", "text"]].itertuples(index=False):
-            out = seen.get(t)
-            if out is None:
-                out = seen[t] = step(t, done[-memory:])
-            done.append((t, out))
-            rows.append((i, out))
-        return pd.DataFrame(rows, columns=["id", "output"])
-
-    return (df.filter("group is not null and idx is not null and text is not null").withColumn("b", F.floor(F.col("idx") / block))
-            .groupBy("group", "b").applyInPandas(run, "id string, output string"))
+    rows = df.filter("group is not null and idx is not null and text is not null").select("group", "idx", "id", "text")
+    often = rows.groupBy("group", "text").agg((F.count("*") > 1).alias("again"))
+    placed = rows.join(often, ["group", "text"]).repartition("group").sortWithinPartitions("group", "idx", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, done, seen = None, [], {}
+        for pdf in batches:
+            out = []
+            for g, i, t, again in pdf[["group", "id", "text", "again"]].itertuples(index=False):
+                if g != group:
+                    group, done, seen = g, [], {}
+                answer = seen.get(t) if again else None
+                if answer is None:
+                    answer = step(t, list(done))
+                    if again:
+                        seen[t] = answer
+                done = [*done, (t, answer)][-memory:]
+                out.append((i, answer))
+            yield pd.DataFrame(out, columns=["id", "output"])
+
+    return placed.mapInPandas(run, "id string, output string")

@@ -21,9 +21,28 @@ WORD = r"[\p{L}\p{N}]+"
 SHORTEST = 4
 
 
+# fixed values: endings that go, first to last, in words of four letters or more (pattern, what stays)
+ENDINGS = ((r"([a-z]{2})ies$", r"\1y"), (r"(ss|sh|ch|x|z)es$", r"\1"), (r"([^su])s$", r"\1"), (r"([a-z]{2})'$", r"\1"))
+IRREGULAR = {"children": "child", "men": "man", "women": "woman", "people": "person", "indices": "index", "criteria": "criterion", "data": "datum", "annexes": "annex"}
+
+
 def lemma(word: Column) -> Column:
-    """The offline stand-in for a language's lemma: lower case, without a plural s."""
-    return F.regexp_replace(F.lower(word), r"([^s])s$", "$1")
+    """The offline stand-in for a language's lemma: lower case, irregular plurals by a list, else the ending of the plural off."""
+    low = F.lower(word)
+    cut = low
+    for pattern, stays in ENDINGS:
+        cut = F.regexp_replace(cut, pattern, stays.replace("\\", "$"))
+    known = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    return F.coalesce(known[low], F.when(F.length(low) >= 4, cut).otherwise(low))
+
+
+def lemma_sql(word: str) -> str:
+    """``lemma`` in SQL."""
+    cut = f"lower({word})"
+    for pattern, stays in ENDINGS:
+        cut = f"regexp_replace({cut}, '" + pattern.replace("'", "''") + f"', '{stays}')"
+    whens = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in IRREGULAR.items())
+    return f"(CASE lower({word}) {whens} ELSE CASE WHEN length({word}) >= 4 THEN {cut} ELSE lower({word}) END END)"
 
 
 def lemma_words(c: Column) -> Column:
@@ -45,12 +64,17 @@ def _runs(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
     return words.join(sizes, "scope").select("id", "scope", F.explode(runs).alias("r")).select("id", "scope", "r.at", "r.run")
 
 
+def matcher(terms: DataFrame) -> DataFrame:
+    """``term_id, scope, phrase, n_words``: the terms as they are matched; those without words are left out."""
+    return terms.select("term_id", "scope", lemma_words(F.col("term")).alias("w")).filter(F.size("w") > 0).select("term_id", "scope", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n_words"))
+
+
 def phrase_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """``id, term_id, at``: terms of the scope in the segment, and the word they begin at.
 
     ``segments`` has ``id, scope, source``; ``terms`` has ``term_id, scope, term``.
     """
-    t = terms.select("term_id", "scope", lemma_words(F.col("term")).alias("w")).select("term_id", "scope", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).withColumn("m", F.length("run")).filter("m > 0")
+    t = matcher(terms).select("term_id", "scope", F.col("phrase").alias("run"), F.col("n_words").alias("n"), F.length("phrase").alias("m"))
     w = segments.filter("source is not null and scope is not null").select("id", "scope", lemma_words(F.col("source")).alias("w"))
     return _runs(w, t, 100.0).join(t.drop("n", "m"), ["scope", "run"]).groupBy("id", "term_id").agg(F.min("at").alias("at"))
 
@@ -70,6 +94,12 @@ def fuzzy_hits(segments: DataFrame, terms: DataFrame, hits: DataFrame, least: fl
     return cand.groupBy("id", "term_id").agg(F.min(F.struct("at", "ratio")).alias("f")).select("id", "term_id", F.col("f.at").alias("at"), F.round("f.ratio", 2).alias("ratio"))
 
 
+def upserted(entries: DataFrame, changed: DataFrame) -> DataFrame:
+    """``term_id, scope, term, lemmas``: the entries with those in ``changed`` new or replaced; the matched words are made anew."""
+    rows = entries.join(changed.select("term_id").distinct(), "term_id", "left_anti").unionByName(changed.select(*entries.columns))
+    return rows.select("term_id", "scope", "term", lemma_words(F.col("term")).alias("lemmas"))
+
+
 def acceptable(source: Column, target: Column) -> Column:
     """Whether an extracted pair is a term: both sides there, longer than two letters, not the same, not both an abbreviation."""
     s, t = T.strip(source), T.strip(target)

@@ -48,9 +48,60 @@ def copied_source(segments: DataFrame) -> DataFrame:
 
 
 def cleared(segments: DataFrame, drafts: tuple[str, ...] = ("draft", "mt_draft", "error")) -> DataFrame:
-    """Targets of draft rows removed."""
+    """Targets of draft rows removed, and what a model noted beside them (columns ``ai_*``); the rows are plain drafts again."""
     draft = F.coalesce(F.col("status").isin(*drafts), F.lit(False))
-    return segments.withColumn("target", F.when(~draft, F.col("target")))
+    gone = [c for c in segments.columns if c == "target" or c.startswith("ai_")]
+    return segments.select(*[(F.when(~draft, F.col(c)) if c in gone else F.when(draft, "draft").otherwise(F.col(c)) if c == "status" else F.col(c)).alias(c) for c in segments.columns])
+
+
+def copied_comments(segments: DataFrame) -> DataFrame:
+    """The targets of comments (``is_comment``) set to their source; new and drafted ones count as translated."""
+    c = F.col("is_comment")
+    return segments.withColumn("target", F.when(c, F.col("source")).otherwise(F.col("target"))).withColumn(
+        "status", F.when(c & F.col("status").isin("new", "draft"), "translated").otherwise(F.col("status")))
+
+
+def guarded(segments: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updated rows (``updates``: ``id, new_target``) with ``rejected``: those of ``fixed`` rows keep their target."""
+    return segments.join(updates, "id").withColumn("rejected", F.col("fixed")).withColumn("target", F.when(F.col("fixed"), F.col("target")).otherwise(F.col("new_target"))).drop("new_target")
+
+
+def written_back(segments: DataFrame, drafts: DataFrame) -> DataFrame:
+    """``segments`` with ``draft`` from ``drafts`` (``id, draft``); a target is filled only where there is none."""
+    j = segments.join(drafts, "id", "left")
+    return j.withColumn("target", F.when((F.coalesce("target", F.lit("")) == "") & F.col("draft").isNotNull(), F.col("draft")).otherwise(F.col("target")))
+
+
+def drafted(rows: DataFrame, modes: tuple[str, ...] = ("copy_source", "analyze", "draft", "translate")) -> DataFrame:
+    """``rows`` (``source, target, draft``) once for each mode: what it makes of the target and the draft."""
+    m = F.col("mode")
+    out = rows.withColumn("mode", F.explode(F.array(*[F.lit(x) for x in modes])))
+    return out.withColumn("target", F.when(m == "copy_source", F.col("source")).when(m == "translate", F.coalesce("draft", "target")).otherwise(F.col("target"))).withColumn(
+        "draft", F.when(m.isin("draft", "translate"), F.col("draft")))
+
+
+#: the columns that hold ids, by table; a table lives as long as the project or file that it names
+REFERENCES = {"projects": ("id",), "project_files": ("id", "project_id"), "segments": ("id", "project_id", "file_id"), "translation_units": ("id", "project_id"),
+              "context_chunks": ("id", "file_id"), "ai_usage_logs": ("id", "project_id", "segment_id")}
+
+
+def duplicated_tables(tables: dict[str, DataFrame], scope: str) -> dict[str, DataFrame]:
+    """All tables of projects as copies: every id mapped by the same rule, so references hold among the copies."""
+    return {name: duplicated(df, scope, {c: None for c in REFERENCES[name] if c in df.columns}) for name, df in tables.items()}
+
+
+def deleted_tables(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """What stays of all tables when the projects in ``gone`` (a column ``id``) go with all that hangs on them."""
+    out = {}
+    for name, df in tables.items():
+        if name == "projects":
+            out[name] = without(df, "id", gone)
+        elif "project_id" in df.columns:
+            out[name] = without(df, "project_id", gone)
+        else:
+            lost = tables["project_files"].join(gone.select(F.col("id").alias("project_id")).distinct(), "project_id", "left_semi").select("id")
+            out[name] = without(df, "file_id", lost)
+    return out
 
 
 def fingerprint(rows: DataFrame, group: str, order: list[str], parts: list[str], bucket: int = 1024) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tmloom.functions import scoring, text as T
 from tmloom.operators.ordered import positions
+from tmloom.session import materialise
 
 
 def exact_lookup(segments: DataFrame, units: DataFrame, keep: int = 5, strict: bool = False) -> DataFrame:
@@ -68,11 +69,17 @@ def first_occurrences(segments: DataFrame) -> DataFrame:
 
 
 def propagate(segments: DataFrame, overwrite: bool = False) -> DataFrame:
-    """``id, new_target``: rows that take over the first translation of their source in the project."""
+    """``id, new_target``: rows that take over the first translation of their source in the project.
+
+    Where ``segments`` has a column ``fixed`` (locked, skipped or excluded rows), such rows
+    stay as they are; their translations may still be taken over.
+    """
     done = segments.filter("target is not null and target <> '' and source is not null").groupBy("project_id", "source").agg(F.min(F.struct("idx", "id", "target")).alias("f"))
     hit = segments.join(done, ["project_id", "source"]).filter(F.col("id") != F.col("f.id"))
     if not overwrite:
         hit = hit.filter("target is null or target = ''")
+    if "fixed" in segments.columns:
+        hit = hit.filter("not coalesce(fixed, false)")
     return hit.select("id", F.col("f.target").alias("new_target"))
 
 
@@ -103,7 +110,7 @@ def reinitialise(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     shape = lambda df, name: df.filter("source is not null and project_id is not null and idx is not null").select(
         "project_id", F.coalesce("file_id", F.lit("")).alias("file"), "idx", F.col("id").alias(name), T.strip(F.col("source")).alias("key"), T.match_key(F.col("source")).alias("norm"))
-    o, n, found = shape(old, "old_id"), shape(new, "new_id"), None
+    o, n, found = materialise(shape(old, "old_id"), "old"), materialise(shape(new, "new_id"), "new"), None
     for tier, (column, orphans, unique) in enumerate((("key", False, False), ("key", True, False), ("norm", False, True), ("norm", True, True)), 1):
         left_o = o.filter(F.col("file") == "") if orphans else o.filter(F.col("file") != "")
         left_n = n
@@ -116,7 +123,7 @@ def reinitialise(old: DataFrame, new: DataFrame) -> DataFrame:
         else:
             at = lambda df, name: positions(df, by, "idx", name, "place").select(*by, "place", name)
             hit = at(left_n, "new_id").join(at(left_o, "old_id"), [*by, "place"])
-        hit = hit.select("new_id", "old_id", F.lit(tier).alias("tier"))
+        hit = materialise(hit.select("new_id", "old_id", F.lit(tier).alias("tier")), "tier")  # read again by every later tier
         found = hit if found is None else found.unionByName(hit)
     return found
 

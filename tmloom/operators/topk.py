@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 QUERY_BLOCK = 4096
 
 
-def usable(df: DataFrame, vec_id: str, vector: str, dim: int) -> DataFrame:
+def usable(df: DataFrame, vec_id: str, vector: str, dim: int, scope: str | None = None) -> DataFrame:
+    """``id, vec`` and, if asked for, ``scope``: the usable vectors, one row an id."""
     ok = (F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0)
-    return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("vec")).dropDuplicates(["id"])
+    return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(vec_id).alias("id"), F.col(vector).cast("array<double>").alias("vec"), *([F.col(scope).alias("scope")] if scope else [])).dropDuplicates(["id"])
 
 
 def _unit(rows) -> np.ndarray:
@@ -29,37 +30,69 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosine_topk(queries: DataFrame, stored: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """``query_id, id, cosine, rank``; both sides are results of ``usable`` with a numeric query id."""
+class _Best:
+    """The ``k`` best ids of each query so far; only what may still be among them is kept."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -2.0)
+        self.query, self.score, self.name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
+
+    def add(self, score: np.ndarray, names: np.ndarray) -> None:
+        """``score`` is queries x rows; scores under -1 are no candidates."""
+        floor = self.least
+        if score.shape[1] > self.k:
+            floor = np.maximum(floor, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1])
+        q, r = np.nonzero((score >= floor[:, None]) & (score >= -1.5))
+        query, value, name = np.concatenate([self.query, q]), np.concatenate([self.score, score[q, r]]), np.concatenate([self.name, names[r]])
+        # equal similarities are told apart by id, as in the final order
+        order = np.lexsort((name, -value, query))
+        query, value, name = query[order], value[order], name[order]
+        start = np.searchsorted(query, np.arange(len(self.least)))
+        keep = np.arange(len(query)) - start[query] < self.k
+        self.query, self.score, self.name = query[keep], value[keep], name[keep]
+        last = np.searchsorted(self.query, np.arange(len(self.least)), "right") - 1
+        full = np.bincount(self.query, minlength=len(self.least)) == self.k
+        self.least[full] = self.score[last[full]]
+
+
+def cosine_topk(queries: DataFrame, stored: DataFrame, k: int, blocks: int | None = None, scoped: bool = False) -> DataFrame:
+    """``query_id, id, cosine, rank``; both sides are results of ``usable``.
+
+    With ``scoped`` both sides have a column ``scope``, and only rows of a query's own scope count;
+    a row never finds itself then.
+    """
     spark = queries.sparkSession
     n = queries.count() if blocks is None else 0
     blocks = blocks or max(1, -(-n // QUERY_BLOCK))
+    kind = queries.schema["id"].dataType.simpleString()
+    schema = f"query_id {kind}, id string, cosine double"
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         rows = part.collect()  # at most about QUERY_BLOCK rows
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast(([r.id for r in rows], _unit([r.vec for r in rows])))
+        shared = spark.sparkContext.broadcast(([r.id for r in rows], _unit([r.vec for r in rows]), np.array([r.scope for r in rows]) if scoped else None))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best = np.full((len(ids), 0), 0.0)
-            best_id = np.empty((len(ids), 0), dtype=object)
+            ids, q, scopes = shared.value
+            best = _Best(len(ids), k)
             for pdf in batches:
+                if scoped:
+                    pdf = pdf[pdf["scope"].isin(set(scopes.tolist()))]
                 for s in range(0, len(pdf), 2048):
                     chunk = pdf.iloc[s:s + 2048]
-                    score = np.concatenate([best, q @ _unit(chunk["vec"]).T], axis=1)
-                    names = np.concatenate([best_id, np.broadcast_to(chunk["id"].to_numpy(dtype=object), (len(ids), len(chunk)))], axis=1)
-                    # rounding first, so that equal similarities are told apart by id as in the final order
-                    order = np.lexsort((names.astype(str), -np.round(score, 9)), axis=1)[:, :k]
-                    best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-            if best.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(np.array(ids), best.shape[1]), "id": best_id.ravel(), "cosine": best.ravel()})
-
-        part_out = stored.mapInPandas(run, "query_id long, id string, cosine double")
+                    score = np.round(q @ _unit(chunk["vec"]).T, 12)
+                    names = chunk["id"].to_numpy(dtype=str)
+                    if scoped:
+                        score[(scopes[:, None] != chunk["scope"].to_numpy(dtype=str)[None, :]) | (np.array(ids, dtype=str)[:, None] == names[None, :])] = -9
+                    best.add(np.where(score > -2, np.round(score, 9), score), names)
+            if len(best.query):
+                yield pd.DataFrame({"query_id": np.array(ids, dtype=object)[best.query], "id": best.name, "cosine": best.score})
+
+        part_out = stored.select("id", "vec", *(["scope"] if scoped else [])).mapInPandas(run, schema)
         out = part_out if out is None else out.unionByName(part_out)
     if out is None:
-        return spark.createDataFrame([], "query_id long, id string, cosine double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
+        return spark.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

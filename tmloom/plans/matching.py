@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tmloom.functions import scoring as S, text as T
 from tmloom.functions.keys import norm_key
 from tmloom.operators import ordered as O, tm
-from tmloom.plans.base import CHUNK, SEG, TU, Registry, chunks, clean_sql, collapse_sql, k, segments, strip_sql, tags_sql, units
+from tmloom.operators.nested import flat_table
+from tmloom.plans.base import CHUNK, META, SEG, TU, Registry, chunks, clean_sql, collapse_sql, json_list, k, segments, strip_sql, tags_sql, units
 from tmloom.session import table
 
 Q = Registry()
@@ -146,13 +147,15 @@ def revision_clusters(spark, d):
     return O.sessions(e, ["user_id"], "ts", "event_id", 300, "event_type").select("event_id", "user_id", "session")
 
 
-@Q.add(f"""SELECT a.id, b.id AS earlier_id, greatest(99 - (a.position - b.position - 1) * 5, 70)::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, id) AS position FROM {CHUNK} WHERE chunk_index IS NOT NULL AND file_id IS NOT NULL) a
-       JOIN (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index, id) AS position FROM {CHUNK} WHERE chunk_index IS NOT NULL AND file_id IS NOT NULL) b ON a.file_id = b.file_id AND b.position BETWEEN a.position - 8 AND a.position - 1""")
+_ST = f"(SELECT id AS segment_id, i - 1 AS stage, x ->> '$.text' AS text FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT id, {json_list('$.metadata.revision_stages')} AS l FROM {META})) WHERE json_type(x) <> 'NULL')"
+
+
+@Q.add(f"SELECT a.segment_id, a.stage::INTEGER AS stage, b.stage::INTEGER AS earlier, greatest(99 - (a.stage - b.stage - 1) * 5, 70)::INTEGER AS score FROM {_ST} a JOIN {_ST} b ON a.segment_id = b.segment_id AND b.stage < a.stage AND {strip_sql('b.text')} <> ''")
 def chain_scores(spark, d):
-    """Scores of up to eight earlier stages by their distance."""
-    p = O.positions(chunks(spark, d), ["file_id"], "chunk_index", "id").select("file_id", "position", "id")
-    later = p.select("file_id", F.col("id").alias("earlier_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("distance"), "position").withColumn("position", F.col("position") + F.col("distance"))
-    return p.join(later, ["file_id", "position"]).select("id", "earlier_id", S.chain_score(F.col("distance")).alias("score"))
+    """The earlier stages of a segment as matches for each later one, scored by their distance; blank ones are none."""
+    s = flat_table(table(spark, d, "segments"), "revision_stages").select("segment_id", F.col("pos").alias("stage"), "text")
+    b = s.filter(T.strip(F.col("text")) != "").select("segment_id", F.col("stage").alias("earlier"))
+    return s.select("segment_id", "stage").join(b, "segment_id").filter("earlier < stage").select("segment_id", "stage", "earlier", S.chain_score(F.col("stage") - F.col("earlier")).alias("score"))
 
 
 @Q.add(ORACLES["rematch_versions"].replace("SELECT new_id, old_id, 'exact' AS tier FROM f UNION ALL", "SELECT tier, count(*) AS rows FROM (SELECT new_id, old_id, 'exact' AS tier FROM f UNION ALL") + ") GROUP BY 1")

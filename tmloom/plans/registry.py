@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tmloom.plans import matching, problems, reports, retrieval, revisions, texts
+from tmloom.plans import matching, problems, reports, retrieval, revisions, texts, workbench
 
-MODULES = (problems, texts, matching, retrieval, reports, revisions)
-FLAGSHIP = "tm_exact_lookup"
+MODULES = (problems, texts, matching, retrieval, reports, revisions, workbench)
+FLAGSHIP = "match_picks"
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from tmloom.functions import text as T
 from tmloom.functions.keys import norm_key
 from tmloom.operators import fuzzy, glossary, matches as M, topk
 from tmloom.operators.dates import readable_json
-from tmloom.plans.base import META, PROJECT, SEG, Registry, clean_sql, json_list, projects, segments, strip_sql, tags_sql
+from tmloom.plans.base import META, PROJECT, SEG, TU, Registry, clean_sql, json_list, projects, segments, strip_sql, tags_sql, units
 from tmloom.session import table
 
 Q = Registry()
@@ -63,8 +63,8 @@ def nested_projection(spark, d):
 
 
 @Q.add(f"""WITH r AS (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT id, {json_list('$.metadata.revisions')} AS l FROM {META}))
-       SELECT id, coalesce(string_agg(x ->> '$.text', ' ' ORDER BY pos) FILTER (x ->> '$.type' IN ('normal', 'del')), '') AS original_text,
-       coalesce(string_agg(x ->> '$.text', ' ' ORDER BY pos) FILTER (x ->> '$.type' IN ('normal', 'ins')), '') AS final_text,
+       SELECT id, coalesce(string_agg(x ->> '$.text', '' ORDER BY pos) FILTER (x ->> '$.type' IN ('normal', 'del')), '') AS original_text,
+       coalesce(string_agg(x ->> '$.text', '' ORDER BY pos) FILTER (x ->> '$.type' IN ('normal', 'ins')), '') AS final_text,
        coalesce(bool_or(x ->> '$.type' IN ('ins', 'del')), false) AS changed FROM r GROUP BY id""")
 def revision_texts(spark, d):
     """The text before and after all tracked changes."""
@@ -72,7 +72,7 @@ def revision_texts(spark, d):
         "id", F.try_variant_get(readable_json(F.col("metadata_json")), "$.metadata.revisions", "variant").alias("m"))
     items = F.coalesce(F.try_variant_get("m", "$", "array<variant>"), F.when(F.schema_of_variant("m").startswith("OBJECT"), F.array("m")))
     part = F.transform(items, lambda x: F.struct(F.try_variant_get(x, "$.type", "string").alias("t"), F.try_variant_get(x, "$.text", "string").alias("x")))
-    text = lambda *kinds: F.array_join(F.transform(F.filter("p", lambda y: y["t"].isin(*kinds)), lambda y: y["x"]), " ")
+    text = lambda *kinds: F.array_join(F.transform(F.filter("p", lambda y: y["t"].isin(*kinds)), lambda y: y["x"]), "")
     return v.select("id", part.alias("p")).filter(F.size("p") > 0).select(
         "id", text("normal", "del").alias("original_text"), text("normal", "ins").alias("final_text"), F.exists("p", lambda y: F.coalesce(y["t"].isin("ins", "del"), F.lit(False))).alias("changed"))
 
@@ -108,18 +108,37 @@ def _terms(spark, d):
     return projects(spark, d).filter("project_name is not null").select(F.col("id").alias("term_id"), F.col("id").alias("scope"), F.array_join(F.slice(words, 1, 2), " ").alias("term"))
 
 
+_ENTRY = f"""(SELECT term_id, scope, term FROM {_TERM} UNION ALL SELECT 'n' || id, id, project_name FROM {PROJECT} WHERE project_name IS NOT NULL
+        UNION ALL SELECT 'u' || id, project_id, array_to_string(list_slice(regexp_extract_all(source_text, '[\\p{{L}}\\p{{N}}]+'), 1, 6), ' ') FROM {TU} WHERE lower(origin_type) = 'mandatory' AND project_id IS NOT NULL AND source_text IS NOT NULL)"""
+
+
+def _entries(spark, d):
+    """Terms of one word to many: the names of projects, their first two words, and the first six words of mandatory units."""
+    p = projects(spark, d).filter("project_name is not null").select(F.concat(F.lit("n"), "id").alias("term_id"), F.col("id").alias("scope"), F.col("project_name").alias("term"))
+    words = F.regexp_extract_all("source_text", F.lit(glossary.WORD), F.lit(0))
+    u = units(spark, d).filter("lower(origin_type) = 'mandatory' and project_id is not null and source_text is not null").select(
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("term_id"), F.col("project_id").alias("scope"), F.array_join(F.slice(words, 1, 6), " ").alias("term"))
+    return _terms(spark, d).unionByName(p).unionByName(u)
+
+
 def _scoped(spark, d):
     return segments(spark, d).select("id", F.col("project_id").alias("scope"), "source")
 
 
-_LEM = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_replace(lower(w), '([^s])s$', '\\1'))"
+_LEM = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda w: " + glossary.lemma_sql("w").replace("{", "{{").replace("}", "}}") + ")"
 
 
-@Q.add(f"""WITH t AS (SELECT term_id, scope, array_to_string({_LEM.format('term')}, ' ') AS phrase FROM {_TERM}), w AS (SELECT id, project_id AS scope, {_LEM.format(tags_sql('source'))} AS w FROM {SEG} WHERE source IS NOT NULL),
-       r AS (SELECT id, scope, i - 1 AS word_at, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS n), unnest(range(1, len(w) + 1)) AS u(i) WHERE i + n - 1 <= len(w))
+@Q.add(f"""WITH t AS (SELECT term_id, scope, array_to_string({_LEM.format('term')}, ' ') AS phrase FROM {_ENTRY}), n AS (SELECT DISTINCT scope, len(string_split(phrase, ' ')) AS n FROM t), w AS (SELECT id, project_id AS scope, {_LEM.format(tags_sql('source'))} AS w FROM {SEG} WHERE source IS NOT NULL),
+       r AS (SELECT id, scope, i - 1 AS word_at, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM w JOIN n USING (scope), unnest(range(1, len(w) + 1)) AS u(i) WHERE i + n - 1 <= len(w))
        SELECT id, term_id, min(word_at)::INTEGER AS word_at FROM r JOIN t USING (scope, phrase) WHERE phrase <> '' GROUP BY 1, 2""")
 def glossary_phrase_hits(spark, d):
-    return glossary.phrase_hits(_scoped(spark, d), _terms(spark, d)).withColumnRenamed("at", "word_at")
+    return glossary.phrase_hits(_scoped(spark, d), _entries(spark, d)).withColumnRenamed("at", "word_at")
+
+
+@Q.add(f"""SELECT term_id, scope, array_to_string(l, ' ') AS phrase, len(l)::INTEGER AS n_words FROM (SELECT term_id, scope, {_LEM.format('term')} AS l FROM {_ENTRY}) WHERE len(l) > 0""")
+def glossary_matcher(spark, d):
+    """The terms as they are matched."""
+    return glossary.matcher(_entries(spark, d))
 
 
 @Q.add()
@@ -139,8 +158,8 @@ def auto_glossary_filter(spark, d):
 
 
 @Q.add(f"""WITH g AS (SELECT id AS segment_id, project_id AS scope, lower({strip_sql('split_part(source, chr(32), 1)')}) AS term FROM {SEG} WHERE source IS NOT NULL AND project_id IS NOT NULL),
-       m AS (SELECT DISTINCT scope, lower({strip_sql('term')}) AS term FROM {_TERM}), a AS (SELECT * FROM g WHERE term LIKE 't%')
-       SELECT g.segment_id, g.scope, g.term FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.scope = g.scope AND m.term = g.term) AND NOT EXISTS (SELECT 1 FROM a WHERE a.scope = g.scope AND a.term = g.term AND a.segment_id <> g.segment_id)""")
+       m AS (SELECT DISTINCT scope, lower({strip_sql('term')}) AS term FROM {_TERM}), a AS (SELECT scope, term, min(segment_id) AS lo, max(segment_id) AS hi FROM g GROUP BY 1, 2)
+       SELECT g.segment_id, g.scope, g.term FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.scope = g.scope AND m.term = g.term) AND NOT EXISTS (SELECT 1 FROM a WHERE a.scope = g.scope AND a.term = g.term AND (a.lo <> g.segment_id OR a.hi <> g.segment_id))""")
 def glossary_new_terms(spark, d):
     g = segments(spark, d).filter("source is not null and project_id is not null").select(
         F.col("id").alias("segment_id"), F.col("project_id").alias("scope"), F.lower(T.strip(F.split_part("source", F.lit(" "), F.lit(1)))).alias("term"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tmloom.functions import diff, text as T
-from tmloom.functions.instants import with_instant
 from tmloom.functions.similarity import indel_ratio
-from tmloom.operators.dates import readable_json, revision_dates
+from tmloom.operators import revisions as V
+from tmloom.operators.dates import readable_json
 from tmloom.plans.base import SEG, Registry, segments, tags_sql
 from tmloom.sources.tmx import tmx_units
 from tmloom.session import table
@@ -40,14 +40,8 @@ def tc_accumulated(spark, d):
 @Q.add()
 def revision_sessions(spark, d):
     """Revisions of a segment in sessions: one author, gaps under five minutes, by normalised instants."""
-    v = table(spark, d, "segments").select("id", "metadata_json")
-    dated = with_instant(revision_dates(v).filter("origin = 'revision'"), "text", "zone", "locale")
-    dated = dated.groupBy("record_id", "pos").agg(F.min("utc_us").alias("utc_us")).filter("utc_us is not null")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("record_id").orderBy("utc_us", "pos")  # one segment's revisions: a handful of rows
-    start = F.coalesce(F.col("utc_us") - F.lag("utc_us").over(w) >= 300_000_000, F.lit(True)).cast("int")
-    return dated.withColumn("start", start).select("record_id", "pos", "utc_us", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
+    s = V.with_sessions(V.fragments(table(spark, d, "segments"), normalised=True)).filter("session is not null")
+    return s.select(F.col("segment_id").alias("record_id"), "pos", "author", F.col("us").alias("utc_us"), "session")
 
 
 @Q.add()

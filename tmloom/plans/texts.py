@@ -28,12 +28,19 @@ def fn_hashes(spark, d):
                                      F.lower(T.collapse(T.strip_tags(c))).alias("glossary_text"))
 
 
-@Q.add("SELECT doc_id, len(s) AS n_sentences, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS n_sentence_chars FROM (SELECT doc_id, "
-       f"list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)"
-       .replace("list_sum(list_transform(s, lambda x: length(x)))::BIGINT", "coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::BIGINT"))
+def _cut_sql(c: str) -> str:
+    for pattern, put in T.SENTENCE_STEPS:
+        c = f"regexp_replace({c}, '" + pattern.replace("'", "''") + "', '" + put.replace("$", "\\") + "', 'g')"
+    return f"string_split({c}, chr(30))"
+
+
+@Q.add(f"""SELECT doc_id, len(s) AS n_sentences, coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)::BIGINT AS n_sentence_chars, array_to_string(s, '|') AS sentences, array_to_string(p, '') = text AS lossless
+       FROM (SELECT doc_id, text, p, list_filter(list_transform(p, lambda x: {strip_sql('x')}), lambda x: x <> '') AS s FROM (SELECT doc_id, text, {_cut_sql('text')} AS p FROM documents WHERE text IS NOT NULL))""")
 def fn_sentences(spark, d):
-    s = table(spark, d, "documents").filter("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_sentence_chars"))
+    c = F.col("text")
+    s = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", T.sentence_parts(c).alias("p"), T.sentences(c).alias("s"))
+    return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_sentence_chars"),
+                    F.array_join("s", "|").alias("sentences"), (F.array_join("p", "") == c).alias("lossless"))
 
 
 @Q.add(f"SELECT id, len(regexp_extract_all(source, '{T.TOKEN}')) AS n_tokens, len(list_filter(regexp_split_to_array({strip_sql(tags_sql('source'))}, '{T.WS}+'), lambda x: x <> '')) AS n_words, "
@@ -141,9 +148,9 @@ def archive_folders(spark, d):
         F.coalesce("target_lang", F.lit("(unsorted)")).alias("folder"), "n_projects", "first_name", F.col("target_lang").isNull().alias("last"))
 
 
-@Q.add(f"SELECT id, project_id, file_id, idx, source FROM {SEG} WHERE file_id IS NOT NULL AND project_id IS NOT NULL ORDER BY project_id, idx, id")
+@Q.add(f"SELECT id, project_id, file_id, idx, source FROM {SEG} WHERE project_id IS NOT NULL ORDER BY project_id, idx, id")
 def segments_ordered(spark, d):
-    return segments(spark, d).filter("file_id is not null and project_id is not null").select("id", "project_id", "file_id", "idx", "source").orderBy("project_id", "idx", "id")
+    return segments(spark, d).filter("project_id is not null").select("id", "project_id", "file_id", "idx", "source").orderBy("project_id", "idx", "id")
 
 
 @Q.add(f"SELECT id, project_name, created_at FROM {PROJECT} ORDER BY created_at DESC, id LIMIT 50 OFFSET 10")

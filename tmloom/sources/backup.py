@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tmloom.functions import text as T
 from tmloom.operators.lifecycle import derived_id
 
 #: columns that hold ids, per table, with the table they refer to
@@ -59,6 +60,12 @@ def restore_backup(spark: SparkSession, path: str, name: str) -> dict[str, DataF
     return out
 
 
+def last_fingerprint(spark: SparkSession, path: str) -> str | None:
+    """The fingerprint in the newest ``*.hash`` file under ``path``; null if there is none."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.hash").load(path)
+    return f.agg(F.max_by(T.strip(F.decode("content", "UTF-8")), F.struct("modificationTime", "path")).alias("h")).first().h
+
+
 def list_backups(spark: SparkSession, path: str) -> DataFrame:
     """``path, project, saved_at``: the files under ``path``, newest first; the name is read from the right."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("saved_at"), "length")

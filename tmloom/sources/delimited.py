@@ -13,9 +13,9 @@ from tmloom.functions import text as T
 
 # fixed values: header names of the two terms and the note
 HEADERS = {
-    "source": ("source", "source_term", "term", "de", "quelle", "ausgangssprache"),
-    "target": ("target", "target_term", "translation", "en", "ziel", "zielsprache"),
-    "note": ("note", "context", "context_note", "comment", "kommentar"),
+    "source": ("source", "source_term", "term", "original", "lemma", "en", "english", "englisch", "quelle", "ausgangssprache"),
+    "target": ("target", "target_term", "translation", "de", "deutsch", "german", "ziel", "zielsprache"),
+    "note": ("note", "notes", "context", "context_note", "comment", "comments", "description", "kommentar"),
 }
 
 

@@ -1,13 +1,13 @@
 """Translation-memory exchange files as a source and a sink.
 
-A file is parsed as a stream on an executor, so one task holds one unit at a time.
-Defined cases: units without both sides are skipped; a file that cannot be parsed
-gives the units before the damage and one error row.
+A file is read unit by unit: the text source splits it at the end of each unit, so it may
+be of any size and many tasks share it. Defined cases: units without both sides are
+skipped; a unit that cannot be parsed gives one error row, and the others are read.
 """
 
 from __future__ import annotations
 
-import io
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -30,46 +30,57 @@ def inline_text(seg: ET.Element) -> str:
     return "".join(out)
 
 
-def units(data: bytes, source: str = "en", target: str = "de") -> Iterator[tuple[str, str]]:
-    """(source, target) of each complete unit; without the languages, the first two variants."""
-    for _, tu in ET.iterparse(io.BytesIO(data)):
-        if tu.tag.rpartition("}")[2] != "tu":
-            continue
-        found, order = {}, []
-        for tuv in tu.iter():
-            if tuv.tag.rpartition("}")[2] == "tuv":
-                seg = next((x for x in tuv if x.tag.rpartition("}")[2] == "seg"), None)
-                if seg is not None:
-                    text, lang = inline_text(seg), (tuv.get(_LANG) or tuv.get("lang") or "").lower()
-                    order.append(text)
-                    for want in (source, target):
-                        if lang.startswith(want):
-                            found.setdefault(want, text)
-        a, b = found.get(source), found.get(target)
-        if a is None and b is None and len(order) >= 2:
-            a, b = order[0], order[1]
-        if a and b and a.strip() and b.strip():
-            yield " ".join(a.split()), b
-        tu.clear()
+def unit(tu: ET.Element, source: str = "en", target: str = "de") -> tuple[str, str] | None:
+    """(source, target) of a unit, or null if a side is missing; without the languages, the first two variants."""
+    found, order = {}, []
+    for tuv in tu.iter():
+        if tuv.tag.rpartition("}")[2] == "tuv":
+            seg = next((x for x in tuv if x.tag.rpartition("}")[2] == "seg"), None)
+            if seg is not None:
+                text, lang = inline_text(seg), (tuv.get(_LANG) or tuv.get("lang") or "").lower()
+                order.append(text)
+                for want in (source, target):
+                    if lang.startswith(want):
+                        found.setdefault(want, text)
+    a, b = found.get(source), found.get(target)
+    if a is None and b is None and len(order) >= 2:
+        a, b = order[0], order[1]
+    return (" ".join(a.split()), b) if a and b and a.strip() and b.strip() else None
+
+
+_START = re.compile(r"<tu(?=[\s>])")
 
 
 def read_tmx(spark: SparkSession, path: str, source: str = "en", target: str = "de") -> DataFrame:
-    """``path, pos, source_text, target_text, error`` of the units of all files under ``path``."""
+    """``path, pos, source_text, target_text, error`` of the units of all files under ``path``; ``pos`` grows within a file."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, data in zip(pdf["path"], pdf["content"]):
-                rows = []
+            rows = []
+            for p, n, text in pdf.itertuples(index=False):
+                m = _START.search(text)
+                if not m:
+                    continue  # what stands before the first unit or after the last
                 try:
-                    for n, (a, b) in enumerate(units(data, source, target)):
-                        rows.append((p, n, a, b, None))
-                        if len(rows) == 5000:
-                            yield pd.DataFrame(rows, columns=["path", "pos", "source_text", "target_text", "error"])
-                            rows = []
+                    sides = unit(ET.fromstring(text[m.start():] + "</tu>"), source, target)
+                    if sides:
+                        rows.append((p, n, *sides, None))
                 except ET.ParseError as e:
-                    rows.append((p, None, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=["path", "pos", "source_text", "target_text", "error"]).astype(object)
+                    rows.append((p, n, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "pos", "source_text", "target_text", "error"]).astype({"path": object, "source_text": object, "target_text": object, "error": object, "pos": "int64"})
+
+    # every unit is one record of the text source, so a large file is read by many tasks and never whole
+    text = spark.read.option("lineSep", "</tu>").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("pos"), "value")
+    return text.mapInPandas(parse, SCHEMA)
+
+
+def to_units(rows: DataFrame, project_id: str, origin: str = "optional") -> DataFrame:
+    """Units of a translation memory: ``project_id, source_hash, source_text, target_text, origin_type``; nothing is merged."""
+    return rows.filter("error is null").select(F.lit(project_id).alias("project_id"), T.tm_key(F.col("source_text")).alias("source_hash"), "source_text", "target_text", F.lit(origin).alias("origin_type"))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SCHEMA)
+def to_chunks(rows: DataFrame, file_id: str) -> DataFrame:
+    """The same units as chunks of context: ``file_id, content, rich_content, chunk_index``, the target as rich content."""
+    return rows.filter("error is null").select(F.lit(file_id).alias("file_id"), F.col("source_text").alias("content"), F.col("target_text").alias("rich_content"), F.col("pos").alias("chunk_index"))
 
 
 def tmx_units(df: DataFrame, source_lang: str = "en", target_lang: str = "de") -> DataFrame:
@@ -78,8 +89,8 @@ def tmx_units(df: DataFrame, source_lang: str = "en", target_lang: str = "de") -
     return df.filter("source <> '' and target <> ''").select(F.concat(F.lit("<tu>"), side(source_lang, "source"), side(target_lang, "target"), F.lit("</tu>")).alias("line"))
 
 
-def write_tmx(df: DataFrame, path: str, source_lang: str = "en", target_lang: str = "de") -> None:
-    """A directory of well-formed files, one per partition, in the order of the input."""
+def write_tmx(df: DataFrame, path: str, source_lang: str = "en", target_lang: str = "de", single: bool = False) -> None:
+    """A directory of well-formed files, one per partition, or a ``single`` one, in the order of the input."""
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<tmx version="1.4"><header srclang="{source_lang}" datatype="plaintext" segtype="sentence" adminlang="en" o-tmf="tmloom" creationtool="tmloom" creationtoolversion="1"/><body>'
 
     def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,4 +99,5 @@ def write_tmx(df: DataFrame, path: str, source_lang: str = "en", target_lang: st
             yield pdf
         yield pd.DataFrame({"line": ["</body></tmx>"]})
 
-    tmx_units(df, source_lang, target_lang).mapInPandas(wrap, "line string").write.mode("overwrite").text(path)
+    lines = tmx_units(df, source_lang, target_lang)
+    (lines.coalesce(1) if single else lines).mapInPandas(wrap, "line string").write.mode("overwrite").text(path)

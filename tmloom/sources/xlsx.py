@@ -24,7 +24,6 @@ _COLUMNS = ["path", "sheet", "row", "col", "sentence_index", "is_tail", "text",
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _NUMBER = re.compile(r"[.,\s€$%]")
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
 def _place(ref: str) -> tuple[int, int]:
@@ -36,7 +35,7 @@ def _place(ref: str) -> tuple[int, int]:
 
 
 def sentences(text: str) -> list[str]:
-    return [s.strip() for s in _SENTENCE.findall(text) if s.strip()]
+    return [s.strip() for s in T.split_sentences(text) if s.strip()]
 
 
 def cells(data: bytes) -> Iterator[tuple[str, int, int, str]]:

@@ -35,6 +35,25 @@ def first_deliveries(stream: DataFrame, key: str, arrived: str, watermark: str =
     return stream.withWatermark(arrived, watermark).dropDuplicatesWithinWatermark([key])
 
 
+def new_files(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
+    """The segments of documents as they arrive in a folder; the query's checkpoint knows those already read."""
+    from tmloom.sources.ingest import SCHEMA, parsed_batches
+
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return raw.select("path", "content").mapInPandas(parsed_batches, SCHEMA)
+
+
+def conversations(turns: DataFrame) -> DataFrame:
+    """``conv_id, turn, history``: what was said before each turn of a conversation, in order, as it is replayed to a model.
+
+    ``turns`` has ``conv_id, turn, role, text``.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)  # a conversation is short
+    return turns.select("conv_id", "turn", F.collect_list(F.struct("role", "text")).over(w).alias("history"))
+
+
 def changed_rows(stream: DataFrame, key: str, digest: str):
     """Rows whose digest differs from the last one seen for their key, as a stateful operator."""
     import pandas as pd
