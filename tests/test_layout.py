@@ -24,4 +24,5 @@ def test_entry_without_the_package(monkeypatch):
 
 def test_flagship(spark):
     entry = importlib.import_module("__spark_entry__")
-    assert entry.entry(spark).columns == ["id", "unit_id", "target_text", "score", "rank"]
+    df = entry.entry(spark)
+    assert df.columns == ["id", "part", "kind", "ref_id", "score", "rank"] and df.count() > 0

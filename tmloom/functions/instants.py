@@ -35,7 +35,7 @@ ABBREVIATIONS = {
     "mesz": 120, "eet": 120, "eest": 180, "bst": 60, "est": -300, "edt": -240, "cst": -360, "cdt": -300,
 }
 
-_CLOCK = r"(?<h{0}>\d{{1,2}}):(?<mi{0}>\d{{2}})(?::(?<s{0}>\d{{2}})(?:[.,](?<f{0}>\d{{1,9}}))?)?"
+_CLOCK = r"(?<h{0}>\d{{1,2}}):(?<mi{0}>\d{{2}})(?::(?<s{0}>\d{{2}})(?:[.,](?<f{0}>\d+))?)?"
 _ZONE = (r"(?:\s*(?:(?<zs{0}>[+-])(?<zh{0}>\d{{2}}):?(?<zm{0}>\d{{2}})?(?:\[[^\]]*\])?|\[?(?<zn{0}>[A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)\]?"
          r"|\[?(?<za{0}>[A-Za-z]{{1,5}})\]?))?")
 _NAMES = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
@@ -45,7 +45,7 @@ BRANCHES = (
     # 2024-03-05T06:07[:08[.9]] with or without zone
     r"(?<y1>\d{4})-(?<mo1>\d{2})-(?<d1>\d{2})(?:[Tt]|\s+)" + _CLOCK.format(1) + _ZONE.format(1),
     # 20240305T060708
-    r"(?<y2>\d{4})(?<mo2>\d{2})(?<d2>\d{2})[Tt](?<h2>\d{2})(?<mi2>\d{2})(?:(?<s2>\d{2})(?:[.,](?<f2>\d{1,9}))?)?" + _ZONE.format(2),
+    r"(?<y2>\d{4})(?<mo2>\d{2})(?<d2>\d{2})[Tt](?<h2>\d{2})(?<mi2>\d{2})(?:(?<s2>\d{2})(?:[.,](?<f2>\d+))?)?" + _ZONE.format(2),
     # 5.3.2024, 06:07[:08] [Uhr]
     r"(?<d3>\d{1,2})\.(?<mo3>\d{1,2})\.(?<y3>\d{4}),?\s+" + _CLOCK.format(3) + r"(?:\s*[Uu]hr)?" + _ZONE.format(3),
     # 03/05/2024 6:07[:08] [AM]
@@ -77,12 +77,13 @@ def known_zones() -> tuple[str, ...]:
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, by integer arithmetic."""
+    """Days since 1970-01-01 of a proleptic Gregorian date of the year 1 or later, by integer arithmetic."""
+    div = lambda a, n: F.call_function("div", a, F.lit(n))
     yy = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(yy / 400)
+    era = div(yy, 400)
     yoe = yy - era * 400
-    doy = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    return (era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468).cast("bigint")
+    doy = div(153 * (m + F.when(m > 2, -3).otherwise(9)) + 2, 5) + d - 1
+    return (era * 146097 + yoe * 365 + div(yoe, 4) - div(yoe, 100) + doy - 719468).cast("bigint")
 
 
 def _as_zone(us: Column, zone: Column, safe: Column) -> Column:
@@ -98,7 +99,9 @@ def with_instant(df: DataFrame, text: str, zone: str, locale: str, out: str = "u
     """
     t = "__instant_"
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    df = df.select(*keep, F.when(F.col(text).rlike(PATTERN), F.split(F.regexp_replace(F.col(text), PATTERN, REWRITE), SEP, -1)).alias(t + "g"))
+    # a text that does not match stays as it is and gives one part; one with the separator in it is no date
+    rewritten = F.split(F.regexp_replace(F.when(~F.contains(F.col(text), F.lit(SEP)), F.col(text)), PATTERN, REWRITE), SEP, -1)
+    df = df.select(*keep, rewritten.alias(t + "p")).select(*keep, F.when(F.size(t + "p") == len(_GROUPS), F.col(t + "p")).alias(t + "g"))
     g = lambda role: F.col(t + "g")[_AT[role]]
     num = lambda role: F.when(g(role) != "", g(role).cast("int"))
     loc = F.lower(F.regexp_replace(F.trim(F.col(locale)), "_", "-"))

@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from tmloom.functions.keys import first_delivery, norm_key
 
 
+SALTS = 8
+
+
 @dataclass(frozen=True)
 class Reference:
     """A foreign key: child table, its id, key and event-time column, and the parent table."""
@@ -68,8 +71,10 @@ def orphans(child: DataFrame, parent: DataFrame, deletions: DataFrame, ref: Refe
         F.lit(None).cast("timestamp_ntz").alias("p_arrived"))
     early = keys.join(parents, "ref_key").filter(F.col("first_child") < F.col("p_arrived")).select(
         "ref_key", F.lit("late").alias("reason"), F.col("p_arrived").cast("timestamp_ntz"))
-    verdict = absent.unionByName(early)
-    return (kids.join(verdict, "ref_key")
+    # a key may have a third of all children: these are spread over SALTS tasks, and the verdict of each key goes to all
+    verdict = absent.unionByName(early).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = kids.withColumn("salt", F.pmod(F.xxhash64("child_id"), F.lit(SALTS)).cast("int"))
+    return (salted.join(verdict, ["ref_key", "salt"])
             .filter((F.col("reason") != "late") | (F.col("arrived") < F.col("p_arrived")))
             .select(F.lit(ref.child).alias("child_table"), "child_id", "reason",
                     F.date_format("event_time", "yyyy-MM").alias("period"), "ref_key"))

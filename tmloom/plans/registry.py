@@ -5,7 +5,7 @@ from __future__ import annotations
 from tmloom.plans import matching, problems, reports, retrieval, revisions, texts, workbench
 
 MODULES = (problems, texts, matching, retrieval, reports, revisions, workbench)
-FLAGSHIP = "match_picks"
+FLAGSHIP = "combined_retrieval"
 
 
 def queries() -> dict:
