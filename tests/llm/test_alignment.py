@@ -114,3 +114,31 @@ def test_merges_of_four():
     tgt = A.pd.DataFrame({"idx": range(1 + len(other)), "words": [merged, *other]})
     assert {(a, b) for a, b, _ in A.Pairs(src, tgt, {}).links() if b == 0} == {(k, 0) for k in range(4)}
     assert {(a, b) for a, b, _ in A.Pairs(tgt, src, {}).links() if a == 0} == {(0, k) for k in range(4)}
+
+
+def test_languages_are_found(spark):
+    """Files in two languages: each language is one group, whatever words they share."""
+    de, fr, it = "der die und ist wird den ein von EUR".split(), "le la les et est une pour des EUR".split(), "il gli con per una sono EUR del che".split()
+    rng = random.Random(5)
+    rows = []
+    for f in range(60):
+        own = (de, fr, it)[f % 3]
+        for k in range(6):
+            rows.append((f"f{f}", k, "the one", " ".join(rng.sample(own, 5)) + f" name{f}x{k}", None))
+    got = A.with_language(A.sentences(spark.createDataFrame(rows, SCHEMA))).select("file", "lang").distinct().collect()
+    by = {r.file: r.lang for r in got}
+    assert len(got) == 60 and [len({by[f"f{f}"] for f in range(60) if f % 3 == n}) for n in range(3)] == [1, 1, 1] and len(set(by.values())) == 3
+
+
+def test_a_chapter_moved_far(spark, monkeypatch):
+    """The target side of a long document turned by half of its length; with so many sentences the places must be many too."""
+    monkeypatch.setitem(globals(), "PLACE", [f"{a}{b}" for a in PLACE for b in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "wo", "xa", "ze")])
+    rows, want = corpus(1, 3000)
+    n = max(r[1] for r in rows) + 1
+    tgt = [r[3] for r in rows]
+    last = max(k for k, t in enumerate(tgt) if t is not None) + 1
+    turn = last // 2
+    moved = [(f, k, s, tgt[(k + turn) % last] if k < last else None, x) for k, (f, _, s, _, x) in enumerate(rows)]
+    want = {(f, i, (j - turn) % last) for f, i, j in want}
+    precision, recall = scores(spark, moved, want)
+    assert precision >= 0.95 and recall >= 0.9

@@ -12,7 +12,9 @@ link of its neighbour if that covers it (merged and split sentences).
 A document is aligned as a whole, however far its sentences were moved: the inverted
 index gives the pairs of the whole document that have a word in common, ``BLOCK`` source
 sentences at a time, and only pairs with a score that matters are kept. A task holds
-the words of one document; the table is joined to them and never sent whole.
+the words of one document; the table is joined to them and never sent whole. There is a
+table for each language of the target side; which languages there are is found in the
+documents (``with_language``).
 
 Defined cases: null and blank sentences and rows without a document or place are no
 sentences; a sentence delivered several times is one; of two texts at one place the
@@ -44,17 +46,9 @@ NEAR = 0.3
 REACH = 3
 #: what is left of a score if both sentences have numbers and share none
 CLASH = 0.5
-
-# fixed values: frequent function words that tell languages apart
-STOPWORDS = {
-    "de": "der die das und ist wird den dem ein eine von für mit im zu",
-    "fr": "le la les des du et est un une pour à de dans",
-    "en": "the of and is to in for with on by",
-    "es": "el los las y es una por con en del",
-    "pt": "o os as e é uma por com em do da",
-    "it": "il lo gli e è una per con in della",
-}
-
+#: so many words tell languages apart, and groups of them so much alike are one language
+COMMON = 200
+GROUP_LIKENESS = 0.25
 
 def sentence_words(text: Column) -> Column:
     """The distinct words of a sentence in a form both languages share.
@@ -79,13 +73,50 @@ def sentences(chunks: DataFrame, file_id: str = "file_id", place: str = "chunk_i
             .select("file", "side", "idx", sentence_words(F.col("text")).alias("words")).filter(F.size("words") > 0))
 
 
+def word_groups(files: dict[str, int], both: dict[tuple[str, str], int], least: float = GROUP_LIKENESS) -> dict[str, int]:
+    """Words by language: those that stand in the same files, by average linkage of the cosines of their sets of files."""
+    words = sorted(files, key=lambda w: (-files[w], w))
+    at = {w: k for k, w in enumerate(words)}
+    like = np.zeros((len(words), len(words)))
+    for (a, b), n in both.items():
+        like[at[a], at[b]] = like[at[b], at[a]] = n / np.sqrt(files[a] * files[b])
+    np.fill_diagonal(like, -1)
+    size, group = np.ones(len(words)), [[k] for k in range(len(words))]
+    while len(words) and like.max() >= least:
+        a, b = sorted(divmod(int(like.argmax()), len(words)))
+        like[a] = (size[a] * like[a] + size[b] * like[b]) / (size[a] + size[b])
+        like[:, a] = like[a]
+        like[[a, b], [a, b]] = -1
+        like[b], like[:, b] = -1, -1
+        size[a] += size[b]
+        group[a], group[b] = group[a] + group[b], []
+    return {words[k]: n for n, g in enumerate(g for g in group if len(g) > 1) for k in g}
+
+
 def with_language(sents: DataFrame) -> DataFrame:
-    """``file, lang, side, idx, words``: ``lang`` is the language of the target side of the file by its function words."""
-    hits = [F.sum(F.when(F.col("side") == "t", F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in ws.split()])))).otherwise(0)).alias(l)
-            for l, ws in STOPWORDS.items()]
-    best = F.array_max(F.array(*[F.struct(F.col(l).alias("n"), F.lit(l).alias("l")) for l in STOPWORDS]))["l"]
-    about = sents.groupBy("file").agg(*hits).select("file", best.alias("lang"))
-    return sents.join(about, "file").select("file", "lang", "side", "idx", "words")
+    """``file, lang, side, idx, words``: ``lang`` is the language of the target side of the file, as a number.
+
+    Languages are not given: of the words that stand on the target side and seldom on the
+    source side of the same files, the ``COMMON`` in most files fall into groups that stand
+    in the same files, and a file belongs to the group of which it has the greatest part.
+    A file that has none of them is of a language without a number.
+    """
+    held = (sents.select("file", "side", F.explode("words").alias("word")).filter(~F.col("word").rlike("[0-9]"))
+            .groupBy("file", "word").agg(F.bool_or(F.col("side") == "t").alias("t"), F.bool_or(F.col("side") == "s").alias("s")).filter("t"))
+    seen = held.groupBy("word").agg(F.count("*").alias("n"), F.count_if("s").alias("s")).filter(F.col("s") * 10 <= F.col("n"))
+    top = {r.word: r.n for r in seen.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
+    own = held.filter(F.col("word").isin(list(top))).groupBy("file").agg(F.array_sort(F.collect_list("word")).alias("w"))  # at most COMMON words
+    pair = own.select(F.explode("w").alias("a"), "w").select("a", F.explode("w").alias("b")).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    groups = word_groups(top, {(r.a, r.b): r.n for r in pair.collect()})  # at most half of COMMON squared rows
+    words: dict[int, list[str]] = {}
+    for w, g in groups.items():
+        words.setdefault(g, []).append(w)
+    if not words:
+        return sents.select("file", F.lit("").alias("lang"), "side", "idx", "words")
+    part = lambda ws: F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in ws]))) / F.lit(len(ws))
+    best = F.array_max(F.array(*[F.struct(part(ws).alias("s"), F.lit(-g).alias("g")) for g, ws in words.items()]))
+    about = own.select("file", best.alias("b")).filter("b.s > 0").select("file", (-F.col("b.g")).cast("string").alias("lang"))
+    return sents.join(about, "file", "left").select("file", F.coalesce("lang", F.lit("")).alias("lang"), "side", "idx", "words")
 
 
 def has_digit(word: str) -> bool:
