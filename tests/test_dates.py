@@ -16,6 +16,8 @@ CASES = [
     ("2024-01-02T03:04:05Z", None, None, us(2024, 1, 2, 3, 4, 5)),
     ("2024-01-02t03:04z", None, None, us(2024, 1, 2, 3, 4)),
     (" 2024-01-02 03:04:05,123456789 ", "UTC", None, us(2024, 1, 2, 3, 4, 5, 123456)),
+    ("2024-01-02T03:04:05.123456789012345Z", None, None, us(2024, 1, 2, 3, 4, 5, 123456)),
+    ("2024-01-02T03:04:05Z\x01", None, None, None),
     ("2024-01-02T03:04:05.5+05:45", None, None, us(2024, 1, 1, 21, 19, 5, 500000)),
     ("2024-01-02 03:04-05", None, None, us(2024, 1, 2, 8, 4)),
     ("20220327T020502Z", None, None, us(2022, 3, 27, 2, 5, 2)),
