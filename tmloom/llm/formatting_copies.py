@@ -156,7 +156,8 @@ def formatting_copies(records: DataFrame, partitions: int | None = None) -> Data
     """
     n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["rtable", "scope", "canon", "id"]
-    scanned = records.select(order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN)
+    # range partitioning reads its input twice; the canonical forms are made once
+    scanned = materialise(records.select(order), "canonical").repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_scan, _SCAN)
     # both readers below must see the same partition edges, so the scan is written once
     scanned = materialise(scanned, "runs")
     edges = scanned.filter(F.col("kind").isin("first", "last"))
@@ -172,6 +173,16 @@ def formatting_copies(records: DataFrame, partitions: int | None = None) -> Data
     return closed.unionByName(opened)
 
 
+def collapsed(records: DataFrame, copies: DataFrame) -> DataFrame:
+    """``record_table, keep_id, text, n_copies``: every text once, under the smallest id of its group, with its exact number of records.
+
+    ``records`` has ``rtable, id, text``, ``copies`` is the result of ``formatting_copies``.
+    """
+    texts = records.groupBy(F.col("rtable").alias("record_table"), F.col("id").alias("keep_id")).agg(F.min("text").alias("text"))
+    left = texts.join(copies.select("record_table", F.col("copy_id").alias("keep_id")), ["record_table", "keep_id"], "left_anti")
+    return left.join(copy_counts(copies), ["record_table", "keep_id"], "left").select("record_table", "keep_id", "text", F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
 def copy_counts(copies: DataFrame) -> DataFrame:
     """``record_table, keep_id, n_copies``: one representative per group with its exact number of records."""
     return copies.groupBy("record_table", "keep_id").agg((F.count("*") + 1).alias("n_copies"))

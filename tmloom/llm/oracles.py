@@ -37,6 +37,9 @@ _P7 = f"""WITH i AS (SELECT item_id, w, least(12, len(w)) AS n FROM (SELECT item
 ORACLES = {
     "p2_found": _P2,
     "p2_counts": f"SELECT record_table, keep_id, count(*) + 1 AS n_copies FROM ({_P2}) GROUP BY 1, 2",
+    "p2_collapsed": f"""SELECT record_table, id AS keep_id, t AS text, n AS n_copies FROM (SELECT record_table, id, scope, canon, count(*) OVER w AS n, id = min(id) OVER w AS keep
+        FROM ({_records('segments', 'source_content')} UNION ALL {_records('translation_units', 'source_text')}) WINDOW w AS (PARTITION BY record_table, scope, canon))
+        JOIN (SELECT 'segments' AS record_table, id, min(source_content) AS t FROM segments GROUP BY id UNION ALL SELECT 'translation_units', id::VARCHAR, min(source_text) FROM translation_units GROUP BY id) USING (record_table, id) WHERE keep""",
     "p5_found": _P5 + "SELECT DISTINCT least(a, b) AS low_id, greatest(a, b) AS high_id FROM n WHERE c >= 0.85",
     "p5_neighbours": _P5 + "SELECT a AS id, b AS other_id, round(c, 4) AS cosine FROM n WHERE c >= 0.85",
     "p7_found": _P7,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tmloom.llm.alignment import align, filled_segments
 from tmloom.llm.encodings import affected, repair
 from tmloom.llm.eval_leaks import eval_leaks
-from tmloom.llm.formatting_copies import copy_counts, formatting_copies, keyed_records
+from tmloom.llm.formatting_copies import collapsed, copy_counts, formatting_copies, keyed_records
 from tmloom.llm.mixing import mix, mix_with_marginals
 from tmloom.llm.neighbours import nearest, similar_pairs, usable
 from tmloom.llm.oracles import ORACLES
@@ -35,6 +35,13 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copy_counts(p2_found(spark, d))
 
 
+def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One record for every text, with its number of copies."""
+    texts = [table(spark, d, t).filter(F.col(c).isNotNull()).select(F.lit(t).alias("rtable"), F.col("id").cast("string").alias("id"), F.col(c).alias("text"))
+             for t, c in (("segments", "source_content"), ("translation_units", "source_text"))]
+    return collapsed(texts[0].unionByName(texts[1]), materialise(p2_found(spark, d), "copies"))
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 3 nearest chunks of every chunk at a cosine of at least 0.85, which is given to four digits."""
     near = nearest(materialise(usable(table(spark, d, "context_chunks"), "id", "embedding", 64), "vectors"), k=3, min_cosine=0.85)
@@ -77,6 +84,6 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p8_marginals, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_counts, p2_collapsed, p5_found, p5_neighbours, p7_found, p7_similar, p8_shares, p8_mix, p8_marginals, p9_found, p9_restored)}
 
 __all__ = ["ORACLES", "QUERIES"]
