@@ -72,3 +72,20 @@ def test_repair_balances():
             continue
         parts = tags.repair([body[:cut[0]], body[cut[0]:cut[1]], body[cut[1]:]])
         assert all(tags.balanced(x) for x in parts)
+
+
+def test_errors_marks_and_prompts(spark):
+    from pyspark.sql import functions as F
+
+    from tmloom.functions import replies, text as T
+
+    errors = ["429 quota exceeded", "429 too many", "503 unavailable", "Connection reset", "bad key", None]
+    got = [r.c for r in spark.createDataFrame([(n, e) for n, e in enumerate(errors)], "n int, e string").orderBy("n").select(T.error_class(F.col("e")).alias("c")).collect()]
+    assert got == ["quota", "transient", "transient", "transient", "other", "other"]
+    m = spark.createDataFrame([("a <ins>b</ins> <del>c</del>",)], "m string").select(diff.annotated(F.col("m"), 'A "B"', "d")).first()[0]
+    assert m == 'a <ins author="A &quot;B&quot;" date="d">b</ins> <del author="A &quot;B&quot;" date="d">c</del>'
+    p = spark.createDataFrame([("src", ["m1", "m2", "m3", "m4"], [], "")], "s string, m array<string>, t array<string>, b string").select(
+        replies.prompt(F.col("s"), F.col("m"), F.col("t"), F.col("b"), "Be brief")).first()[0]
+    assert p == "Be brief\n\nMatches:\nm1\nm2\nm3\n\nText: src"
+    assert replies.parsed('[{"id": 1, "target": "a"}, {"segment_id": "2", "translation": "b"}]', ["1", "2"]) == {"1": "a", "2": "b"}
+    assert replies.parsed('{"items": [{"id": "1", "target": "a"}]}', ["1"]) == {"1": "a"} and replies.parsed("[1, 2", ["1", "2"]) == {}

@@ -72,10 +72,18 @@ def test_streams(spark, sf, tmp_path):
     q.stop()
     batch = usage.hourly(spark.read.parquet(f"{sf}/events.parquet"))
     assert spark.table("hourly").count() == batch.count()
-    rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "key string, digest string")
+    rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("c", None), ("c", None)], "key string, digest string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = usage.changed_rows(spark.readStream.schema("key string, digest string").parquet(str(tmp_path / "in")), "key", "digest")
     q = s.writeStream.outputMode("append").format("memory").queryName("changed").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("changed").collect())) == [("a", "1"), ("b", "2")]
+    assert sorted(map(tuple, spark.table("changed").collect())) == [("a", "1"), ("b", "2"), ("c", None)]
+
+
+def test_sequential_goes_on_over_long_groups(spark):
+    """What a row sees does not depend on how many rows came before it."""
+    rows = spark.createDataFrame([("g", i, f"{i:05d}", f"t{i}" if i != 4000 else "t0") for i in range(4001)] + [("h", 0, "h", "t0")], "group string, idx int, id string, text string").repartition(5)
+    step = lambda t, seen: f"{t}<{seen[-1][0] if seen else ''}"
+    out = {r.id: r.output for r in generation.sequential(rows, step, memory=2).collect()}
+    assert out["00000"] == "t0<" and out["02048"] == "t2048<t2047" and out["03999"] == "t3999<t3998" and out["04000"] == "t0<" and out["h"] == "t0<"

@@ -153,3 +153,25 @@ def test_conversation_history(spark):
     df = spark.createDataFrame([("c", 0, "user", "a"), ("c", 1, "bot", "b"), ("c", 2, "user", "c"), ("d", 0, "user", "x")], "conv_id string, turn int, role string, text string")
     got = {(r.conv_id, r.turn): [h.text for h in r.history] for r in usage.conversations(df).collect()}
     assert got == {("c", 0): [], ("c", 1): ["a"], ("c", 2): ["a", "b"], ("d", 0): []}
+
+
+def test_variants_results_and_tags(spark):
+    from tmloom.operators import matches as M
+    old = [("a", "mt", "pre"), ("b", "mt", "post"), ("c", "tm", None)]
+    df = spark.createDataFrame([(old, [("n", "mt", "pre")])], "old array<struct<match_id string, kind string, variant string>>, fresh array<struct<match_id string, kind string, variant string>>")
+    got = df.select(M.with_variant(V.F.col("old"), V.F.col("fresh"), "pre").alias("m")).first().m
+    assert [x.match_id for x in got] == ["b", "c", "n"]
+    s = spark.createDataFrame([("a", "x", "draft"), ("b", "y", "draft")], "id string, target string, status string")
+    r = spark.createDataFrame([("a", "new"), ("b", " ")], "id string, output string")
+    assert {tuple(x) for x in L.results_written(s, r).select("id", "target", "status").collect()} == {("a", "new", "mt_draft"), ("b", "y", "draft")}
+    assert tags.accepted("<1>a</1>", "<1>b</1>") == "<1>b</1>" and tags.accepted("<1>a</1>", "<1>b") is None and tags.accepted("<1>a</1>", None) is None
+    j = spark.createDataFrame([('{"a": 1, "b": [1]}', '{"b": null, "c": "x"}'), (None, '{"c": 1}'), ('{"a": 1}', "cut{")], "o string, u string")
+    import json
+    assert [json.loads(x[0]) for x in j.select(L.merged_json(V.F.col("o"), V.F.col("u"))).collect()] == [{"a": 1, "b": None, "c": "x"}, {"c": 1}, {"a": 1}]
+
+
+def test_default_model(spark):
+    from tmloom.sources import catalogue
+    m = spark.createDataFrame([(0, "big", "mt"), (1, "flash-1", "mt"), (2, "back", "bg")], "pos int, id string, usage string")
+    assert catalogue.default_model(m, "flash-1") == "flash-1" and catalogue.default_model(m, "back", "flash") == "flash-1" and catalogue.default_model(m, "no") == "big"
+    assert catalogue.default_model(m.limit(0)) is None

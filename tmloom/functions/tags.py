@@ -142,3 +142,9 @@ def balanced(text: str) -> bool:
         elif not stack or stack.pop() != t:
             return False
     return not stack
+
+
+def accepted(source: str, reply: str | None) -> str | None:
+    """A text that tags were put back into, if it has all tags of the source and is balanced; else null."""
+    ids = lambda t: {(slash, n, single) for slash, n, single in _TAG.findall(t)}
+    return reply if reply and ids(source) <= ids(reply) and balanced(reply) else None

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tmloom.functions.similarity import indel_ratio
+from tmloom.session import materialise
 
 GRAM = 4
 MIN_LENGTH = 5
@@ -85,13 +86,13 @@ def prefix_length(n: Column, least: float, q: int) -> Column:
 def _pairs(u: DataFrame, least: float, q: int, low: int, high: int | None) -> DataFrame:
     """``scope, id, other_id``: pairs of the band that share a run of their prefixes."""
     n = F.length("text")
-    runs = u.filter(in_band(n, least, low, high)).select("scope", "id", n.alias("n"), prefix_length(n, least, q).alias("p"), F.explode(grams(F.col("text"), q)).alias("g"))
+    listed = u.filter(in_band(n, least, low, high)).select("scope", "id", n.alias("n"), prefix_length(n, least, q).alias("p"), grams(F.col("text"), q).alias("all"))
+    runs = materialise(listed, "grams").select("scope", "id", "n", "p", F.size("all").alias("total"), F.explode("all").alias("g"))
     freq = runs.groupBy("scope", "g").agg(F.count("*").alias("df"))
-    ranked = runs.join(freq.filter("df > 1"), ["scope", "g"]).groupBy("scope", "id", "n", "p").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"), F.count("*").alias("shared"))
-    own = runs.groupBy("scope", "id").agg(F.count("*").alias("total"))
+    ranked = runs.join(freq.filter("df > 1"), ["scope", "g"]).groupBy("scope", "id", "n", "p", "total").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"), F.count("*").alias("shared"))
     # runs no other text has come first in the order; they use up the prefix without giving candidates
     left = F.greatest(F.col("p") - (F.col("total") - F.col("shared")), F.lit(0)).cast("int")
-    prefix = ranked.join(own, ["scope", "id"]).select("scope", "id", "n", F.explode(F.slice("gs", 1, left)).alias("s")).select("scope", "id", "n", F.col("s.g").alias("g"))
+    prefix = materialise(ranked.select("scope", "id", "n", F.explode(F.slice("gs", 1, left)).alias("s")).select("scope", "id", "n", F.col("s.g").alias("g")), "prefixes")
     b = prefix.select("scope", F.col("id").alias("other_id"), F.col("n").alias("m"), "g")
     total = F.col("n") + F.col("m")
     here = total >= low if high is None else (total >= low) & (total < high)
@@ -123,7 +124,7 @@ def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataF
 
     ``texts`` has ``id, scope, text``; equal texts of a scope are one text under their smallest id.
     """
-    u = texts.filter(F.col("text").isNotNull() & F.col("scope").isNotNull() & (F.length("text") >= MIN_LENGTH)).groupBy("scope", "text").agg(F.min("id").alias("id"))
+    u = materialise(texts.filter(F.col("text").isNotNull() & F.col("scope").isNotNull() & (F.length("text") >= MIN_LENGTH)).groupBy("scope", "text").agg(F.min("id").alias("id")), "texts")
     pairs = reduce(DataFrame.unionByName, [_pairs(u, least, *band) for band in bands(least, MIN_LENGTH)])
     t = u.select("scope", "id", "text")
     full = pairs.join(t, ["scope", "id"]).join(t.select("scope", F.col("id").alias("other_id"), F.col("text").alias("other")), ["scope", "other_id"])

@@ -72,6 +72,21 @@ def written_back(segments: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.withColumn("target", F.when((F.coalesce("target", F.lit("")) == "") & F.col("draft").isNotNull(), F.col("draft")).otherwise(F.col("target")))
 
 
+def results_written(segments: DataFrame, results: DataFrame, status: str = "mt_draft") -> DataFrame:
+    """``segments`` with the outputs of ``results`` (``id, output``); blank outputs change nothing, others set the status."""
+    j = segments.join(results.filter(F.trim("output") != ""), "id", "left")
+    there = F.col("output").isNotNull()
+    return j.withColumn("target", F.coalesce("output", "target")).withColumn("status", F.when(there, status).otherwise(F.col("status"))).drop("output")
+
+
+def merged_json(old: Column, update: Column) -> Column:
+    """A JSON object with the keys of another put in or replaced; an unreadable update changes nothing, an unreadable object counts as empty."""
+    a, b = (F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>") for c in (old, update))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    a, b = F.coalesce(a, empty), F.coalesce(b, empty)
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
+
+
 def drafted(rows: DataFrame, modes: tuple[str, ...] = ("copy_source", "analyze", "draft", "translate")) -> DataFrame:
     """``rows`` (``source, target, draft``) once for each mode: what it makes of the target and the draft."""
     m = F.col("mode")

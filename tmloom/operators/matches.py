@@ -57,3 +57,15 @@ def first_of(matches: Column, test) -> Column:
 def replaced(old: Column, fresh: Column) -> Column:
     """The old machine translations, followed by the fresh matches."""
     return F.concat(F.filter(old, lambda m: m["kind"] == "mt"), fresh)
+
+
+def with_variant(old: Column, fresh: Column, variant: str) -> Column:
+    """``old`` with the machine translation of one variant (before or after changes) replaced; those of other variants and all else stay."""
+    return F.concat(F.filter(old, lambda m: ~((m["kind"] == "mt") & m["variant"].eqNullSafe(F.lit(variant)))), fresh)
+
+
+def shortcuts(matches: Column) -> Column:
+    """What the keys of an editor insert: the first and second machine translation (else the first match), and the first three others."""
+    mt, other = F.filter(matches, lambda m: m["kind"] == "mt"), F.filter(matches, lambda m: m["kind"] != "mt")
+    at = lambda c, n: F.get(c, F.lit(n))["match_id"]
+    return F.struct(F.coalesce(at(mt, 0), at(matches, 0)).alias("first_mt"), at(mt, 1).alias("second_mt"), *[at(other, n).alias(f"other_{n + 1}") for n in range(3)])

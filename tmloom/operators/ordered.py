@@ -22,9 +22,23 @@ def _bucketed(df: DataFrame, group: list[str], order: str, size: int) -> DataFra
     return df.filter(keep).withColumn("__bucket", F.floor(F.col(order) / size))
 
 
-def positions(df: DataFrame, group: list[str], order: str, tie: str, out: str = "position", size: int = BUCKET) -> DataFrame:
-    """``df`` with the zero-based place of each row in its group."""
-    b = _bucketed(df, group, order, size)
+def spread(df: DataFrame, group: list[str], order: str, size: int = BUCKET) -> int:
+    """The width of a bucket that holds about ``size`` rows of the largest group; ``size`` where its order values lie close.
+
+    One pass over the groups; only the largest group's density comes to the driver.
+    """
+    span = df.filter(F.col(order).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), (F.max(order) - F.min(order) + 1).alias("s"))
+    most = span.agg(F.max(F.struct("n", "s")).alias("m")).first().m
+    return size if most is None else max(size, int(size * (most.s / most.n)))
+
+
+def positions(df: DataFrame, group: list[str], order: str, tie: str, out: str = "position", size: int | None = BUCKET) -> DataFrame:
+    """``df`` with the zero-based place of each row in its group.
+
+    Where order values may lie far apart, ``size`` None takes the width of the buckets from
+    them, so that a group never has a bucket for each row.
+    """
+    b = _bucketed(df, group, order, spread(df, group, order) if size is None else size)
     before = b.groupBy(*group, "__bucket").agg(F.count("*").alias("__n")).withColumn(
         "__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(order, tie)) - 1
@@ -56,8 +70,9 @@ def framed(df: DataFrame, group: list[str], order: str, frames: dict[str, tuple[
 def last_values(df: DataFrame, group: list[str], order: str, tie: str, value: Column, k: int, out: str, size: int = BUCKET) -> DataFrame:
     """``df`` with the last ``k`` values that are not null before each row, in order."""
     b = _bucketed(df, group, order, size).withColumn("__v", value)
-    w = Window.partitionBy(*group, "__bucket").orderBy(order, tie)
-    b = b.withColumn("__own", F.collect_list("__v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # the k values before a row, one by one, so that no list of all earlier ones is ever made
+    over = f"over (partition by {', '.join(f'`{c}`' for c in [*group, '__bucket'])} order by `{order}`, `{tie}`)"
+    b = b.withColumn("__own", F.array_compact(F.array(*[F.expr(f"lag(__v, {n}) ignore nulls {over}") for n in range(k, 0, -1)])))
     item = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"), F.col("__v").alias("v"))
     tails = b.groupBy(*group, "__bucket").agg(F.array_sort(F.collect_list(F.when(F.col("__v").isNotNull(), item))).alias("__all")).select(
         *group, "__bucket", F.transform(F.slice("__all", F.greatest(F.size("__all") - k + 1, F.lit(1)), k), lambda s: s["v"]).alias("__tail"))

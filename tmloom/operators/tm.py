@@ -92,7 +92,7 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     exact = T.strip(F.col("source"))
     side = lambda df, name: positions(df.filter("source is not null").select("project_id", "idx", F.col("id").alias(name), exact.alias("key"), T.match_key(F.col("source")).alias("norm")),
-                                      ["project_id", "key"], "idx", name, "place")
+                                      ["project_id", "key"], "idx", name, "place", size=None)
     o, n = side(old, "old_id"), side(new, "new_id")
     first = n.join(o.select("project_id", "key", "place", "old_id"), ["project_id", "key", "place"]).select("project_id", "new_id", "old_id", F.lit("exact").alias("tier"))
     single = lambda df, name: df.join(first.select(name), name, "left_anti").groupBy("project_id", "norm").agg(F.count("*").alias("c"), F.min(name).alias(name)).filter("c = 1").drop("c")

@@ -39,7 +39,7 @@ _CAND = f"""(SELECT project_id, {clean_sql('source_text')} AS key, id, target_te
 @Q.add(f"""SELECT project_id, key, arg_max(id, prio * 1e12 - pos) AS id, max(prio)::INTEGER AS prio, min(pos)::BIGINT AS first_position, count(*) AS candidates
        FROM {_CAND} GROUP BY 1, 2""")
 def tm_priority_distinct(spark, d):
-    u = O.positions(units(spark, d).withColumn("n", F.col("id")), ["project_id"], "n", "id", "pos").select(
+    u = O.positions(units(spark, d).withColumn("n", F.col("id")), ["project_id"], "n", "id", "pos", size=None).select(
         "project_id", T.clean(F.col("source_text")).alias("key"), "id", (F.col("pos") + 1).alias("pos"), tm.priority(F.lower("origin_type"), F.lit(False)).alias("prio"))
     best = tm.priority_distinct(u, ["project_id", "key"], "prio", "pos")
     n = u.groupBy("project_id", "key").agg(F.count("*").alias("candidates"))

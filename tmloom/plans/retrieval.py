@@ -100,6 +100,12 @@ def tag_subset(spark, d):
     return segments(spark, d).filter("source is not null and target is not null").select("id", (missing == 0).alias("complete"), missing.alias("n_missing"))
 
 
+@Q.add(f"""SELECT id, coalesce(list(match_id ORDER BY pos) FILTER (kind = 'mt'), list(match_id ORDER BY pos))[1] AS first_mt, (list(match_id ORDER BY pos) FILTER (kind = 'mt'))[2] AS second_mt,
+       (list(match_id ORDER BY pos) FILTER (kind <> 'mt'))[1] AS other_1, (list(match_id ORDER BY pos) FILTER (kind <> 'mt'))[2] AS other_2, (list(match_id ORDER BY pos) FILTER (kind <> 'mt'))[3] AS other_3 FROM {_M} GROUP BY id""")
+def match_shortcuts(spark, d):
+    return _lists(spark, d).filter(F.size("matches") > 0).select("id", M.shortcuts(F.col("matches")).alias("s")).select("id", "s.*")
+
+
 _TERM = f"(SELECT id AS term_id, id AS scope, array_to_string(list_slice(regexp_extract_all(project_name, '[\\p{{L}}\\p{{N}}]+'), 1, 2), ' ') AS term FROM {PROJECT} WHERE project_name IS NOT NULL)"
 
 
@@ -135,6 +141,13 @@ def glossary_phrase_hits(spark, d):
     return glossary.phrase_hits(_scoped(spark, d), _entries(spark, d)).withColumnRenamed("at", "word_at")
 
 
+@Q.add(f"SELECT term_id, scope, term FROM {_ENTRY} WHERE contains(lower(term), 'report') OR contains(lower(term_id), 'report')")
+def glossary_search(spark, d):
+    """Entries with a text in them, letter case aside."""
+    hit = F.lower("term").contains("report") | F.lower("term_id").contains("report")
+    return _entries(spark, d).filter(hit)
+
+
 @Q.add(f"""SELECT term_id, scope, array_to_string(l, ' ') AS phrase, len(l)::INTEGER AS n_words FROM (SELECT term_id, scope, {_LEM.format('term')} AS l FROM {_ENTRY}) WHERE len(l) > 0""")
 def glossary_matcher(spark, d):
     """The terms as they are matched."""
@@ -143,8 +156,9 @@ def glossary_matcher(spark, d):
 
 @Q.add()
 def glossary_fuzzy_hits(spark, d):
-    s, t = _scoped(spark, d), _terms(spark, d)
-    return glossary.fuzzy_hits(s, t, glossary.phrase_hits(s, t))
+    """Terms without a hit of their own that sound like a run of as many words, at 95 percent or more."""
+    s, t = _scoped(spark, d), _entries(spark, d)
+    return glossary.fuzzy_hits(s, t, glossary.phrase_hits(s, t), least=95.0)
 
 
 @Q.add(f"""SELECT id, term, target_term FROM (SELECT id, {strip_sql('split_part(source, chr(32), 1)')} AS term, {strip_sql('split_part(target, chr(32), 1)')} AS target_term FROM {SEG} WHERE source IS NOT NULL AND target IS NOT NULL)

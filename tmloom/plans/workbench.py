@@ -317,6 +317,15 @@ def update_guarded(spark, d):
     return L.guarded(_flagged(spark, d), u).select("id", "target", "rejected")
 
 
+@Q.add("""SELECT p.id, len(json_keys(json_merge_patch(CASE WHEN json_valid(p.config) AND json_type(p.config) = 'OBJECT' THEN p.config ELSE '{}' END, '{"ai_settings": 1, "patched": {"by": "x"}}'))) AS n_keys,
+       json_merge_patch(CASE WHEN json_valid(p.config) AND json_type(p.config) = 'OBJECT' THEN p.config ELSE '{}' END, '{"ai_settings": 1, "patched": {"by": "x"}}') ->> '$.patched.by' AS patched FROM (SELECT DISTINCT lower(trim(id)) AS id, config FROM projects) p""")
+def settings_patch(spark, d):
+    """Stored settings with some keys put in or replaced."""
+    merged = L.merged_json(F.col("config"), F.lit('{"ai_settings": 1, "patched": {"by": "x"}}'))
+    v = projects(spark, d).select("id", F.parse_json(merged).alias("v"))
+    return v.select("id", F.size(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))).cast("bigint").alias("n_keys"), F.try_variant_get("v", "$.patched.by", "string").alias("patched"))
+
+
 @Q.add(f"SELECT id, CASE WHEN coalesce(target, '') = '' AND {strip_sql('source')} <> '' THEN 'DE: ' || source ELSE target END AS target, CASE WHEN {strip_sql('source')} <> '' THEN 'DE: ' || source END AS draft FROM {SEG}")
 def write_back_drafts(spark, d):
     """A draft for every row by the stand-in model; the target is filled only where there was none."""

@@ -17,7 +17,8 @@ IDS = {
     "projects": {"id": "projects"},
     "project_files": {"id": "project_files", "project_id": "projects"},
     "segments": {"id": "segments", "project_id": "projects", "file_id": "project_files"},
-    "translation_units": {"project_id": "projects"},
+    "translation_units": {"id": "translation_units", "project_id": "projects"},
+    "glossary_entries": {"id": "glossary_entries", "project_id": "projects", "segment_id": "segments"},
     "context_chunks": {"id": "context_chunks", "file_id": "project_files"},
     "ai_usage_logs": {"id": "ai_usage_logs", "project_id": "projects", "segment_id": "segments"},
 }
@@ -26,7 +27,7 @@ IDS = {
 def write_backup(tables: dict[str, DataFrame], project_ids: DataFrame, path: str) -> None:
     """The rows of the projects in ``project_ids`` (a column ``id``), a folder per table."""
     chosen = {"projects": tables["projects"].join(project_ids.select("id").distinct(), "id", "left_semi")}
-    for name in ("project_files", "segments", "translation_units", "ai_usage_logs"):
+    for name in ("project_files", "segments", "translation_units", "glossary_entries", "ai_usage_logs"):
         if name in tables:
             chosen[name] = tables[name].join(project_ids.select(F.col("id").alias("project_id")).distinct(), "project_id", "left_semi")
     if "context_chunks" in tables and "project_files" in chosen:
@@ -53,7 +54,9 @@ def restore_backup(spark: SparkSession, path: str, name: str) -> dict[str, DataF
                     df = df.withColumn(column, F.lit(None).cast("string"))
                     continue
                 df = df.join(known, F.col(column) == F.col("__known"), "left").withColumn(column, F.col("__known")).drop("__known")
-            df = df.withColumn(column, F.when(F.col(column).isNotNull(), derived_id(f"{name}/{parent}", F.col(column))))
+            # whole-number ids, which nothing refers to, stay whole numbers
+            fresh = F.xxhash64(F.lit(f"{name}/{parent}"), column) if dict(df.dtypes)[column] == "bigint" else derived_id(f"{name}/{parent}", F.col(column))
+            df = df.withColumn(column, F.when(F.col(column).isNotNull(), fresh))
         if t == "projects" and "project_name" in columns:
             df = df.withColumn("project_name", F.concat(F.lit(f"{name} "), F.coalesce("project_name", F.lit(""))))
         out[t] = df.select(columns)

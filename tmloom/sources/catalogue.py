@@ -16,3 +16,12 @@ def read_models(spark: SparkSession, path: str) -> DataFrame:
 def selectable(models: DataFrame, hidden: str = "bg") -> DataFrame:
     """The models that a user may choose."""
     return models.filter(F.coalesce(F.col("usage") != hidden, F.lit(True)))
+
+
+def default_model(models: DataFrame, preferred: str | None = None, part: str | None = None) -> str | None:
+    """The preferred model if it may be chosen, else the first whose id holds ``part``, else the first; null if there is none.
+
+    The catalogue is a short list.
+    """
+    ids = [r.id for r in selectable(models).orderBy("pos").collect()]
+    return next((i for i in ids if i == preferred), None) or next((i for i in ids if part and part in i), None) or (ids[0] if ids else None)

@@ -180,7 +180,10 @@ class Document:
 
     def _container(self, node: ET.Element, kind: str, ref=None, place=(None, None, None), table=None) -> Iterator[tuple]:
         table = table if table is not None else [0]
-        for x in _children(node):
+        inner = list(_children(node))
+        if kind in ("header", "footer") or place[0] is not None:  # cells and headers: their paragraphs first, then their tables
+            inner.sort(key=lambda x: x.tag == _W + "tbl")
+        for x in inner:
             if x.tag == _W + "p":
                 yield x, kind, ref, place
                 for b, box in enumerate(y for r in x.iter(_W + "r") for y in _boxes(r)):

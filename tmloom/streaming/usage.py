@@ -54,22 +54,33 @@ def conversations(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.collect_list(F.struct("role", "text")).over(w).alias("history"))
 
 
-def changed_rows(stream: DataFrame, key: str, digest: str):
-    """Rows whose digest differs from the last one seen for their key, as a stateful operator."""
+def changed_rows(stream: DataFrame, key: str, digest: str, forget_after: str | None = None):
+    """Rows whose digest differs from the last one seen for their key, as a stateful operator.
+
+    With ``forget_after`` (a duration) a key not seen for so long is forgotten, and its next
+    row counts as changed; without it the state has one digest for each key for ever.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    schema = stream.schema
-
     def keep(k, parts, state):
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, last = (True, state.get[0]) if state.exists else (False, None)
         for pdf in parts:
-            rows = []
-            for r in pdf.to_dict("records"):
-                if r[digest] != last:
-                    rows.append(r)
-                    last = r[digest]
-            yield pd.DataFrame(rows, columns=schema.fieldNames())
+            if not len(pdf):
+                continue
+            before = pdf[digest].shift()
+            differs = (pdf[digest] != before) & ~(pdf[digest].isna() & before.isna())
+            first = pdf[digest].iloc[0]
+            differs.iloc[0] = not known or not (first == last or (pd.isna(first) and last is None))
+            known, last = True, None if pd.isna(pdf[digest].iloc[-1]) else pdf[digest].iloc[-1]
+            yield pdf[differs]
         state.update((last,))
+        if forget_after:
+            state.setTimeoutDuration(forget_ms)
 
-    return stream.groupBy(key).applyInPandasWithState(keep, schema, "digest string", "append", GroupStateTimeout.NoTimeout)
+    forget_ms = int(pd.Timedelta(forget_after).total_seconds() * 1000) if forget_after else 0
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(keep, stream.schema, "digest string", "append", timeout)
