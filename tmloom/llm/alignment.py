@@ -24,6 +24,7 @@ place; documents with one side only, and empty input, give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ from tmloom.session import materialise
 #: at most so many source sentences, and about so many scores and their parts, are computed at a time
 BLOCK = 512
 CELLS = 4_000_000
+#: documents are handed to Python about so many sentences at a time
+TURN = 4096
 ROUNDS = 3
 MIN_ASSOCIATION = 0.2
 LINK = 0.42
@@ -119,8 +122,19 @@ def with_language(sents: DataFrame) -> DataFrame:
     return sents.join(about, "file", "left").select("file", F.coalesce("lang", F.lit("")).alias("lang"), "side", "idx", "words")
 
 
-def has_digit(word: str) -> bool:
-    return any(ch.isdigit() for ch in word)
+def coded(sents: DataFrame) -> DataFrame:
+    """``sents`` with numbers for words: 62 bits of a hash, and one bit each for a digit in the word and for more than one letter.
+
+    Tables of numbers are joined, sorted and handed to Python in a fraction of the time that words take.
+    """
+    code = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-4).cast("long")).bitwiseOR(F.when(w.rlike(r"\p{Nd}"), 1).otherwise(0) + F.when(F.length(w) > 1, 2).otherwise(0))
+    return sents.withColumn("words", F.transform("words", code))
+
+
+def places(codes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of ``asked`` stands in the sorted ``codes``, -1 if nowhere."""
+    at = np.searchsorted(codes, asked)
+    return np.where(codes[np.minimum(at, codes.size - 1)] == asked, at, -1) if codes.size else np.full(asked.size, -1)
 
 
 def spread(start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,18 +162,17 @@ class Side:
     A word weighs more the fewer sentences have it; one in more than half of them nothing.
     """
 
-    def __init__(self, sentences: list):
-        self.vocab: dict[str, int] = {}
+    def __init__(self, sentences: list[np.ndarray]):
         self.n = len(sentences)
-        self.word = np.array([self.vocab.setdefault(w, len(self.vocab)) for ws in sentences for w in ws], np.int64)
+        self.codes, self.word = np.unique(np.concatenate(sentences), return_inverse=True)
         self.sent = np.repeat(np.arange(self.n), [len(ws) for ws in sentences])
         self.first = starts(self.sent, self.n)
         order = np.argsort(self.word, kind="stable")
-        self.posting, self.start = self.sent[order], starts(self.word[order], len(self.vocab))
+        self.posting, self.start = self.sent[order], starts(self.word[order], self.codes.size)
         df = np.diff(self.start)
         self.weight = np.where(df <= max(2, self.n / 2), np.log1p(self.n / np.maximum(df, 1)), 0)
         self.total = np.maximum(np.bincount(self.sent, self.weight[self.word], self.n), 1e-9)
-        self.digit = np.array([has_digit(w) for w in self.vocab], bool)
+        self.digit = (self.codes & 1) == 1
         self.numbers = np.bincount(self.sent, self.digit[self.word], self.n) > 0
 
 
@@ -172,15 +185,15 @@ class Pairs:
     reaches the least that anything asks of it.
     """
 
-    def __init__(self, src: pd.DataFrame, tgt: pd.DataFrame, table: dict[str, list[tuple[str, float]]]):
-        src, tgt = src.sort_values("idx"), tgt.sort_values("idx")
-        self.i, self.j = src["idx"].to_numpy(), tgt["idx"].to_numpy()
-        s, t = self.s, self.t = Side(src["words"].tolist()), Side(tgt["words"].tolist())
-        self.same = np.array([t.vocab.get(w, -1) for w in s.vocab])
-        known = [(k, o, 1.0) for k, o in enumerate(self.same.tolist()) if o >= 0]
-        known += [(k, t.vocab[o], v) for w, k in s.vocab.items() for o, v in table.get(w, ()) if o in t.vocab]
-        ns, nt = len(s.vocab), len(t.vocab)
-        key, value = greatest(np.array([k * nt + o for k, o, _ in known], np.int64), np.array([v for *_, v in known], np.float64))
+    def __init__(self, i: np.ndarray, src: list[np.ndarray], j: np.ndarray, tgt: list[np.ndarray], table: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.i, self.j = i, j
+        s, t = self.s, self.t = Side(src), Side(tgt)
+        self.same = places(t.codes, s.codes)
+        ns, nt = s.codes.size, t.codes.size
+        own = np.flatnonzero(self.same >= 0)
+        word, other = places(s.codes, table[0]), places(t.codes, table[1])
+        held = (word >= 0) & (other >= 0)
+        key, value = greatest(np.concatenate([own * nt + self.same[own], word[held] * nt + other[held]]), np.concatenate([np.ones(own.size), table[2][held]]))
         v, w = key // nt, key % nt
         # the target words that the words of each source sentence stand for, in the order of the sentences
         at, place = spread(starts(v, ns), s.word)
@@ -280,47 +293,56 @@ class Pairs:
 
 
 LINK_SCHEMA = "file string, i long, j long, g double"
-COUNT_SCHEMA = "lang string, word string, other string, n double"
+COUNT_SCHEMA = "lang string, word long, other long, n double"
+#: the partner of a word in the counts of the word alone
+ALONE = 0
 
 
-def _pairs_of(sents: pd.DataFrame, table: pd.DataFrame | None) -> Pairs | None:
-    src, tgt = sents[sents["side"] == "s"], sents[sents["side"] == "t"]
-    if src.empty or tgt.empty:
-        return None
-    known: dict[str, list[tuple[str, float]]] = {}
+def _documents(sents: pd.DataFrame, table: pd.DataFrame | None) -> Iterator[tuple[str, str, Pairs]]:
+    """File, language and pairs of each document among the rows that has both sides."""
+    sents = sents.sort_values(["file", "side", "idx"])
+    file, lang, idx = sents["file"].to_numpy(), sents["lang"].to_numpy(), sents["idx"].to_numpy(np.int64)
+    source, words = sents["side"].to_numpy() == "s", sents["words"].tolist()
+    held, of = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(0, object)
     if table is not None:
-        for w, o, q in zip(table["word"], table["other"], table["q"]):
-            known.setdefault(w, []).append((o, q))
-    return Pairs(src, tgt, known)
+        table = table.sort_values("file", kind="stable")
+        held, of = tuple(table[c].to_numpy(t) for c, t in (("word", np.int64), ("other", np.int64), ("q", np.float64))), table["file"].to_numpy()
+    edge = np.flatnonzero(np.r_[True, file[1:] != file[:-1], True]) if len(file) else np.zeros(1, np.int64)
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        mid = lo + int(source[lo:hi].sum())  # s sorts before t
+        if lo < mid < hi:
+            a, b = np.searchsorted(of, file[lo]), np.searchsorted(of, file[lo], "right")
+            yield file[lo], lang[lo], Pairs(idx[lo:mid], words[lo:mid], idx[mid:hi], words[mid:hi], tuple(c[a:b] for c in held))
 
 
 def _counts(sents: pd.DataFrame, table: pd.DataFrame | None, least: float) -> pd.DataFrame:
-    """How often words stand in linked sentences: together, and (with an empty partner) alone."""
-    file = _pairs_of(sents, table)
-    pairs = file.mutual(least) if file else []
-    if table is not None:
-        pairs = pairs + file.near(pairs, NEAR_SEED) if file else []
+    """How often words stand in linked sentences, by language: together, and (with the partner ``ALONE``) by themselves."""
+    parts = [_counts_of(lang, doc, doc.mutual(least), table is not None) for _, lang, doc in _documents(sents, table)]
+    return pd.concat(parts) if parts else pd.DataFrame({"lang": np.zeros(0, object), "word": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n": np.zeros(0)})
+
+
+def _counts_of(lang: str, file: Pairs, pairs: list[tuple[int, int]], near: bool) -> pd.DataFrame:
+    if near:
+        pairs = pairs + file.near(pairs, NEAR_SEED)
     if not pairs:
-        return pd.DataFrame([], columns=["lang", "word", "other", "n"])
+        return pd.DataFrame({"lang": np.zeros(0, object), "word": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "n": np.zeros(0)})
     s, t = file.s, file.t
     k, p = spread(s.first, np.array([a for a, _ in pairs]))
     n, o = spread(t.first, np.array([b for _, b in pairs])[k])
-    both, together = np.unique(s.word[p][n] * len(t.vocab) + t.word[o], return_counts=True)
-    r, c = both // len(t.vocab), both % len(t.vocab)
-    ws, wt = np.array(list(s.vocab), dtype=object), np.array(list(t.vocab), dtype=object)
+    both, together = np.unique(s.word[p][n] * t.codes.size + t.word[o], return_counts=True)
+    r, c = both // t.codes.size, both % t.codes.size
     # numbers of more than one digit only ever stand for themselves
-    fixed = lambda vocab: np.array([len(w) > 1 and has_digit(w) for w in vocab], bool)
-    learned = (ws[r] != wt[c]) & ~fixed(ws)[r] & ~fixed(wt)[c]
+    fixed = lambda codes: (codes & 3) == 3
+    learned = (s.codes[r] != t.codes[c]) & ~fixed(s.codes[r]) & ~fixed(t.codes[c])
     r, c, together = r[learned], c[learned], together[learned]
     a, n_a = np.unique(s.word[p], return_counts=True)
     b, n_b = np.unique(t.word[spread(t.first, np.array([b for _, b in pairs]))[1]], return_counts=True)
-    return pd.DataFrame({"lang": sents["lang"].iloc[0], "word": np.concatenate([ws[r], ws[a], np.full(b.size, "", dtype=object)]),
-                         "other": np.concatenate([wt[c], np.full(a.size, "", dtype=object), wt[b]]), "n": np.concatenate([together, n_a, n_b]).astype(float)})
+    return pd.DataFrame({"lang": lang, "word": np.concatenate([s.codes[r], s.codes[a], np.full(b.size, ALONE)]),
+                         "other": np.concatenate([t.codes[c], np.full(a.size, ALONE), t.codes[b]]), "n": np.concatenate([together, n_a, n_b]).astype(float)})
 
 
 def _links(sents: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    file = _pairs_of(sents, table)
-    rows = [(sents["file"].iloc[0], int(file.i[a]), int(file.j[b]), g) for a, b, g in file.links()] if file else []
+    rows = [(name, int(file.i[a]), int(file.j[b]), g) for name, _, file in _documents(sents, table) for a, b, g in file.links()]
     return pd.DataFrame(rows, columns=["file", "i", "j", "g"])
 
 
@@ -328,19 +350,22 @@ def _table(counts: DataFrame) -> DataFrame:
     """``lang, word, other, q``: Dice association of source and target words over linked sentences."""
     n = counts.groupBy("lang", "word", "other").agg(F.sum("n").alias("n")).filter("n >= 2")
     n = materialise(n, "counts")
-    alone = lambda empty, c, out: n.filter(F.col(empty) == "").select("lang", c, F.col("n").alias(out))
-    return (n.filter("word <> '' and other <> ''").join(alone("other", "word", "ns"), ["lang", "word"]).join(alone("word", "other", "nt"), ["lang", "other"])
+    alone = lambda empty, c, out: n.filter(F.col(empty) == ALONE).select("lang", c, F.col("n").alias(out))
+    return (n.filter((F.col("word") != ALONE) & (F.col("other") != ALONE)).join(alone("other", "word", "ns"), ["lang", "word"]).join(alone("word", "other", "nt"), ["lang", "other"])
             .select("lang", "word", "other", (2 * F.col("n") / (F.col("ns") + F.col("nt"))).alias("q")).filter(F.col("q") >= MIN_ASSOCIATION))
 
 
 def align(chunks: DataFrame, **columns: str) -> DataFrame:
     """``file, i, j, g``: the links between source and target sentences, with their score."""
-    sents = materialise(with_language(sentences(chunks, **columns)), "sentences")
+    sents = materialise(coded(with_language(materialise(sentences(chunks, **columns), "words"))), "sentences")
     vocab = materialise(sents.filter("side = 's'").select("file", "lang", F.explode("words").alias("word")).distinct(), "vocabulary")
-    by = sents.groupBy("file")
+    # some small documents share a task's turn; a document is never cut
+    turns = max(1, sents.count() // TURN)
+    turn = F.pmod(F.xxhash64("file"), F.lit(turns)).cast("int").alias("turn")
+    by = sents.groupBy(turn)
     counts = by.applyInPandas(lambda s: _counts(s, None, SEED_LINK), COUNT_SCHEMA)
     for last in (False,) * (ROUNDS - 1) + (True,):
-        known = vocab.join(_table(counts), ["lang", "word"]).select("file", "word", "other", "q").groupBy("file")
+        known = vocab.join(_table(counts), ["lang", "word"]).select("file", "word", "other", "q").groupBy(turn)
         if last:
             links = by.cogroup(known).applyInPandas(_links, LINK_SCHEMA)
         else:
