@@ -175,3 +175,19 @@ def test_default_model(spark):
     m = spark.createDataFrame([(0, "big", "mt"), (1, "flash-1", "mt"), (2, "back", "bg")], "pos int, id string, usage string")
     assert catalogue.default_model(m, "flash-1") == "flash-1" and catalogue.default_model(m, "back", "flash") == "flash-1" and catalogue.default_model(m, "no") == "big"
     assert catalogue.default_model(m.limit(0)) is None
+
+
+def test_empty_tables_and_nulls(spark):
+    s = spark.createDataFrame(segments(spark, 30), SEG)
+    none = s.limit(0)
+    units = spark.createDataFrame([(1, "p0", "the report", "x", "user", "clash"), (2, "p0", None, "x", None, None), (3, "p0", "the report", "", "mandatory", None)],
+                                  "id long, project_id string, source_text string, target_text string, origin_type string, source string")
+    chunks = spark.createDataFrame([("c", "f", None, None, 0), ("d", None, "the report", None, None)], "id string, file_id string, content string, rich_content string, chunk_index int")
+    files = spark.createDataFrame([("f", "p0", None)], "id string, project_id string, category string")
+    terms = spark.createDataFrame([("t", "p0", "..."), ("u", None, "report")], "term_id string, scope string, term string")
+    q = spark.createDataFrame([("q", "p0", "f", 1, "the report", None, None)], SEG)
+    got = R.combined(q, s, units, chunks, files, terms, R.internal_by_vector(q, s)).collect()
+    assert [(r.kind, r.ref_id, r.score, r["rank"]) for r in got if r.part == 1] == [("tm", "1", 99, 1)] and not [r for r in got if r.part == 3]
+    assert R.combined(none, s, units, chunks, files, terms, R.internal_by_vector(none, s)).count() == 0
+    assert R.combined(q, none, units.limit(0), chunks.limit(0), files.limit(0), terms.limit(0), R.internal_by_vector(q, none)).count() == 0
+    assert R.fuzzy_search(none, s).count() == 0 and R.fuzzy_search(q, none).count() == 0
