@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tmloom.llm import alignment as A
 
 SCHEMA = "file_id string, chunk_index int, source_segment string, target_segment string, extra string"
@@ -110,9 +112,11 @@ def test_merges_of_four():
     parts[0] += [f"more{k}" for k in range(20)]  # the first is the mutual one
     merged = [w for p in parts for w in p]
     other = [[f"o{i}x{k}" for k in range(4)] for i in range(12)]
-    src = A.pd.DataFrame({"idx": range(4 + len(other)), "words": parts + other})
-    tgt = A.pd.DataFrame({"idx": range(1 + len(other)), "words": [merged, *other]})
-    assert {(a, b) for a, b, _ in A.Pairs(src, tgt, {}).links() if b == 0} == {(k, 0) for k in range(4)}
+    number: dict[str, int] = {}
+    codes = lambda sents: [np.array([number.setdefault(w, 4 * len(number) + 4) for w in ws]) for ws in sents]
+    src, tgt, none = codes(parts + other), codes([merged, *other]), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    doc = A.Pairs(np.arange(len(src)), src, np.arange(len(tgt)), tgt, none)
+    assert {(a, b) for a, b, _ in doc.links() if b == 0} == {(k, 0) for k in range(4)}
     assert {(a, b) for a, b, _ in A.Pairs(tgt, src, {}).links() if a == 0} == {(0, k) for k in range(4)}
 
 
