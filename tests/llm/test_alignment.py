@@ -117,7 +117,8 @@ def test_merges_of_four():
     src, tgt, none = codes(parts + other), codes([merged, *other]), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     doc = A.Pairs(np.arange(len(src)), src, np.arange(len(tgt)), tgt, none)
     assert {(a, b) for a, b, _ in doc.links() if b == 0} == {(k, 0) for k in range(4)}
-    assert {(a, b) for a, b, _ in A.Pairs(tgt, src, {}).links() if a == 0} == {(0, k) for k in range(4)}
+    turned = A.Pairs(np.arange(len(tgt)), tgt, np.arange(len(src)), src, none)
+    assert {(a, b) for a, b, _ in turned.links() if a == 0} == {(0, k) for k in range(4)}
 
 
 def test_languages_are_found(spark):
