@@ -68,3 +68,19 @@ def test_unusable(spark):
     assert sorted((r.id, r.other_id) for r in got) == [("a", "h"), ("h", "a")]
     empty = spark.createDataFrame([], SCHEMA)
     assert V.nearest(materialise(V.usable(empty, "id", "embedding", 2), "test"), 3).count() == 0
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    """Cells named by two codebooks, as many for each vector as large tables have: the neighbours are still found."""
+    monkeypatch.setattr(V, "PER_CELL", 1)
+    monkeypatch.setattr(V, "FIRST_WORDS", 32)
+    rng, n = np.random.default_rng(2), 6000
+    centre = rng.normal(size=(n // 4, 64))
+    x = (centre[rng.integers(0, len(centre), n)] + rng.normal(size=(n, 64)) * 0.41).astype(np.float32)
+    ids = [f"v{i:05d}" for i in range(n)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(ids[r], ids[c]) for r, row in enumerate(np.argpartition(-s, 3, axis=1)[:, :3]) for c in row if s[r, c] >= 0.85}
+    got = {(r.id, r.other_id) for r in search(spark, ids, x, 3, 0.85).collect()}
+    assert len(want) > 10_000 and len(got & want) >= 0.995 * len(want)

@@ -3,18 +3,20 @@
 Method: a vector is approximated by a sum of codewords, one from each of several
 full-dimensional codebooks. Codebooks are trained on residuals and then refitted
 together by least squares; a vector is encoded by beam search over all of them. The
-first codewords of a code are its address, and name the cell the vector is stored in;
-the same beam over a query names the cells it is compared in. Within a cell all stored
-vectors are scored from lookup tables of inner products, with the stored norms of their
-approximations, and the best (``RERANK`` or twice ``k``, if that is more) are scored
-exactly.
+first codewords of a code are its address: the best address names the cell the vector is
+stored in, and the best ones of the same beam the cells it is compared in. Within a cell
+all stored vectors are scored from lookup tables of inner products, with the stored norms
+of their approximations, and the best (``RERANK`` or twice ``k``, if that is more) are
+scored exactly. A pair so found counts for both of its vectors, whichever asked.
 
 The codebooks are fitted on at most ``SAMPLE_VECTORS`` vectors in the order of their
 digests; every vector is stored and every vector is a query. The number of cells follows
 the number of vectors, about ``PER_CELL`` (or four times ``k``) in a cell: beyond
-``FIRST_WORDS`` cells the address takes in a further codebook, so that the work for a
-vector stays the same at every size. Cells with near codewords form a region, and a
-query goes once to each region that has one of its cells. A region with more than
+``FIRST_WORDS`` cells the address takes in a further codebook. Of more cells a neighbour
+can be in more, so the number a query is compared in grows with them (``probes``): with
+the same number at every size neighbours would be missed in large tables. Cells with near
+codewords form a region, and a query goes once to each region that has one of its cells,
+with these. A region with more than
 ``BLOCK_ROWS`` stored vectors or queries is split into blocks, and every block of stored
 vectors meets every block of queries, so no task holds more than two blocks. Exact
 copies are collapsed before the search and expanded after it.
@@ -48,10 +50,17 @@ FIRST_WORDS = 4096
 EXTRA_BOOKS = 3
 EXTRA_WORDS = 128
 BEAM = 4
-PROBES = 8
+#: a vector is compared in the number of cells to this power
+PROBED = 0.375
+LEAST_PROBES = 8
 RERANK = 48
-BLOCK_ROWS = 8192
-REGION_CELLS = 16
+BLOCK_ROWS = 65_536
+REGION_CELLS = 32
+
+
+def probes(cells: int) -> int:
+    """The number of cells that a vector is compared in, of so many."""
+    return max(LEAST_PROBES, int(np.ceil(cells ** PROBED)))
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, dim: int) -> DataFrame:
@@ -119,11 +128,15 @@ class Quantiser:
         moved = np.linalg.solve(gram, pull).astype(np.float32)
         return cls([b + d for b, d in zip(books, np.split(moved, np.cumsum(width)[:-1]))], depth)
 
-    def beam(self, x: np.ndarray, width: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` best codes of the first ``depth`` codebooks for each vector, best first, and their sums of codewords."""
+    def beam(self, x: np.ndarray, width: int, depth: int, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` best codes of the first ``depth`` codebooks for each vector, best first, and their sums of codewords.
+
+        With ``begun`` only codes that begin with those of that row.
+        """
         n, dim = x.shape
-        codes, approx = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, dim), np.float32)
-        for book, half in zip(self.books[:depth], self.half):
+        codes = np.zeros((n, 1, 0), np.int64) if begun is None else begun[:, None, :]
+        approx = sum((self.books[m][codes[:, :, m]] for m in range(codes.shape[2])), np.zeros((n, 1, dim), np.float32))
+        for book, half in list(zip(self.books, self.half))[codes.shape[2]:depth]:
             rest = x[:, None, :] - approx
             cost = (0.5 * (rest * rest).sum(2)[:, :, None] + half - rest @ book.T).reshape(n, -1)
             b = min(width, cost.shape[1])
@@ -141,15 +154,16 @@ class Quantiser:
             cell = cell * len(self.books[m]) + codes[..., m]
         return cell
 
-    def cells_of(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` best cells of each vector, best first."""
-        return self.address(self.beam(x, n, self.depth)[0])
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Codes (one column per codebook) and norms of the approximations, by beam search."""
-        codes, approx = self.beam(x, BEAM, len(self.books))
+        codes, approx = self.beam(x, BEAM, len(self.books), begun)
         return codes[:, 0], np.linalg.norm(approx[:, 0], axis=1)
 
+    def placed(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``n`` best cells of each vector, best first, and its code and norm in the first of them."""
+        addresses = self.beam(x, n, self.depth)[0]
+        return self.address(addresses), *self.encode(x, addresses[:, 0])
+
     def regions(self) -> np.ndarray:
         """The region of each first codeword: a few near codewords, or one that has many cells itself."""
         first = self.books[0]
@@ -166,7 +180,7 @@ class Quantiser:
         total = np.zeros((len(q), len(codes)), np.float32)
         for m, book in enumerate(self.books):
             used, at = np.unique(codes[:, m], return_inverse=True)
-            total += (q @ book[used].T)[:, at]
+            total += q @ book[used].T if len(used) == 1 else (q @ book[used].T)[:, at]
         return total / np.maximum(norms, 1e-9)
 
 
@@ -205,7 +219,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _best_of_cell(model: Quantiser, x: np.ndarray, no: np.ndarray, codes: np.ndarray, norms: np.ndarray, y: np.ndarray, asked: np.ndarray,
                   k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, stored vector and cosine: the ``k`` best stored vectors of a cell for each query, with all that equal the last of them."""
+    """Vector, other and cosine, both ways: of the pairs of queries and stored vectors of a cell the ``k`` best of each, with all that equal the last of them."""
     approx = model.scores(y.astype(np.float32), codes, norms)
     approx[asked[:, None] == no[None, :]] = -2
     r = min(max(RERANK, 2 * k), len(no))
@@ -214,7 +228,16 @@ def _best_of_cell(model: Quantiser, x: np.ndarray, no: np.ndarray, codes: np.nda
     cos[asked[:, None] == no[top]] = -2
     floor = np.partition(cos, r - min(k, r), axis=1)[:, r - min(k, r)]
     qi, ri = np.nonzero((cos >= floor[:, None] - 1e-9) & (cos >= least))
-    return asked[qi], no[top[qi, ri]], np.minimum(cos[qi, ri], 1.0)
+    # the same pairs as the stored vectors see them
+    si, sj = np.nonzero((cos >= least) & (cos > -2))
+    who, c = top[si, sj], cos[si, sj]
+    order = np.lexsort((-c, who))
+    who, c, si = who[order], c[order], si[order]
+    start = np.flatnonzero(np.diff(who, prepend=-1))
+    size = np.diff(np.append(start, len(who)))
+    keep = c >= np.repeat(c[start + np.minimum(k, size) - 1], size) - 1e-9
+    who, c, si = who[keep], c[keep], si[keep]
+    return np.concatenate([asked[qi], no[who]]), np.concatenate([no[top[qi, ri]], asked[si]]), np.minimum(np.concatenate([cos[qi, ri], c]), 1.0)
 
 
 def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) -> DataFrame:
@@ -237,7 +260,7 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
     sample = [r.raw for r in reps.orderBy("digest").select("raw").limit(SAMPLE_VECTORS).collect()]
     x = _unit(_matrix(sample, kind))
     cells = max(1, 2 ** round(np.log2(max(1, n / max(PER_CELL, 4 * k)))))
-    model = Quantiser.fit(x, min(cells, len(x)))
+    model, ask_in = Quantiser.fit(x, cells), probes(cells)
     # at most FIRST_WORDS codewords, and EXTRA_WORDS in each further codebook
     shared = spark.sparkContext.broadcast((model.books, model.depth, model.regions()))
 
@@ -245,19 +268,21 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
         books, depth, regions = shared.value
         q = Quantiser(books, depth)
         for pdf in batches:
-            for s in range(0, len(pdf), 2048):
-                part = pdf.iloc[s:s + 2048]
-                y = _unit(_matrix(part["raw"], kind))
-                codes, norms = q.encode(y)
-                probes = q.cells_of(y, PROBES)
-                yield pd.DataFrame({"no": part["no"].to_numpy(), "raw": part["raw"].to_numpy(), "codes": [c.tobytes() for c in codes.astype(np.int16)], "norm": norms,
-                                    "own": q.region_of(q.address(codes), regions).astype(np.int32), "probes": [c.tobytes() for c in probes],
-                                    "regions": list(q.region_of(probes, regions).astype(np.int32))})
+            for s in range(0, len(pdf), 512):
+                part = pdf.iloc[s:s + 512]
+                cells, codes, norms = q.placed(_unit(_matrix(part["raw"], kind)), ask_in)
+                at = q.region_of(cells, regions)
+                asked = []
+                for row, region in zip(cells, at):
+                    order = np.argsort(region, kind="stable")
+                    names, start = np.unique(region[order], return_index=True)
+                    asked.append([{"region": r, "cells": c.tobytes()} for r, c in zip(names.tolist(), np.split(row[order].astype(np.int32), start[1:]))])
+                yield pd.DataFrame({"no": part["no"].to_numpy(), "raw": part["raw"].to_numpy(), "codes": [c.tobytes() for c in codes.astype(np.int16)], "norm": norms, "own": at[:, 0].astype(np.int32), "asked": asked})
 
     # one row per vector; its places in the regions are made from it on the JVM, without encoding twice
-    encoded = materialise(reps.select("no", "raw").mapInPandas(encode, "no long, raw binary, codes binary, norm float, own int, probes binary, regions array<int>"), "encoded")
+    encoded = materialise(reps.select("no", "raw").mapInPandas(encode, "no long, raw binary, codes binary, norm float, own int, asked array<struct<region int, cells binary>>"), "encoded")
     stored = encoded.select(F.col("own").alias("region"), F.lit(True).alias("stored"), "no", "raw", F.col("codes").alias("places"), "norm")
-    asked = encoded.select(F.explode(F.array_distinct("regions")).alias("region"), F.lit(False).alias("stored"), "no", "raw", F.col("probes").alias("places"), F.lit(0.0).cast("float").alias("norm"))
+    asked = encoded.select(F.explode("asked").alias("a"), "no", "raw").select("a.region", F.lit(False).alias("stored"), "no", "raw", F.col("a.cells").alias("places"), F.lit(0.0).cast("float").alias("norm"))
     # split full regions: one row of counts for each, joined and not collected
     sizes = asked.groupBy("region").agg(F.count("*").alias("q")).join(stored.groupBy("region").agg(F.count("*").alias("s")), "region").select(
         "region", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("sb"), F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("qb"))
@@ -279,13 +304,14 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
             x, y = _exact_unit(_matrix(stored["raw"], kind)), _exact_unit(_matrix(asked["raw"], kind))
             no, ask = stored["no"].to_numpy(), asked["no"].to_numpy()
             codes, norms = _matrix(stored["places"], np.int16).astype(np.int64), stored["norm"].to_numpy(np.float32)
-            probes = _matrix(asked["places"], np.int64)
+            cells_of = asked["places"].map(len).to_numpy() // 4
+            sought = np.frombuffer(b"".join(asked["places"]), np.int32)
             cell = q.address(codes)
             order = np.argsort(cell, kind="stable")
             cells, start = np.unique(cell[order], return_index=True)
-            at = np.searchsorted(cells, probes)
-            hit = cells[np.minimum(at, len(cells) - 1)] == probes
-            who = np.nonzero(hit)[0]
+            at = np.searchsorted(cells, sought)
+            hit = cells[np.minimum(at, len(cells) - 1)] == sought
+            who = np.repeat(np.arange(len(asked)), cells_of)[hit]
             by = np.argsort(at[hit], kind="stable")
             asking, turn = np.unique(at[hit][by], return_index=True)
             for c, mine in zip(asking.tolist(), np.split(who[by], turn[1:])):
@@ -297,6 +323,8 @@ def nearest(vectors: DataFrame, k: int = 3, min_cosine: float | None = None) ->
         return pd.DataFrame(dict(zip(("no", "other", "cosine"), (np.concatenate(c) for c in zip(*out)))))
 
     found = placed.groupBy("region", "s", "q").applyInPandas(search, "no long, other long, cosine double")
+    # a pair is found once by each of its vectors, and in every block
+    found = found.groupBy("no", "other").agg(F.max("cosine").alias("cosine"))
     names = reps.select("no", "ids")
     found = found.join(names.select(F.col("no").alias("other"), "ids"), "other").select("no", F.round("cosine", 9).alias("near"), "cosine", "ids")
     best = Window.partitionBy("no").orderBy(F.desc("near"), F.element_at("ids", 1))
