@@ -82,3 +82,17 @@ def test_too_many_sources(spark, monkeypatch):
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
     with pytest.raises(ValueError):
         M.mix(spark.createDataFrame([], DOCS), t)
+
+
+def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
+    """All rows go into the model, which is the same however they lie."""
+    rows = [(i, ([f"The parliament debated the agricultural subsidy number {i}", f"Photosynthesis in chloroplasts, experiment {i}"][i % 2]), "en", "big", None) for i in range(2100)]
+    table = lambda r, n: spark.createDataFrame(r, DOCS).repartition(n)
+    topics = lambda r, n: {x.doc_id: x.topic for x in M.weighed(table(r, n), ["big"]).collect()}
+    got = topics(rows, 1)
+    assert got == topics(rows[::-1], 5)
+    assert not {got[i] for i in range(0, 2100, 2)} & {got[i] for i in range(1, 2100, 2)}
+    asked, fit = [], M.fit_topics
+    monkeypatch.setattr(M, "fit_topics", lambda f, *a: asked.append(len(f) if isinstance(f, np.ndarray) else f.count()) or fit(f, *a))
+    M.weighed(table(rows, 2), ["big"])
+    assert asked == [2100]

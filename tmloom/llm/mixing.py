@@ -18,9 +18,11 @@ reported (``marginals``).
 Only counts per cell and a histogram per source reach the driver: at most (sources x
 ``LANGUAGES`` x ``TOPICS``) and (sources x ``BINS``) rows, and at most ``SOURCES`` sources
 are taken. Languages beyond the most frequent ``LANGUAGES`` - 1 rake together as one. The
-topic model is fitted on at most ``SAMPLE_DOCS`` documents in hash order; its features
-are the token ids that the weighing makes anyway. The tokenizer's file is read on the
-driver and goes to the executors with the job.
+topic model is fitted on all eligible documents: its features are the token ids that the
+weighing makes anyway, and every round of the k-means sums the features of all of them by
+topic, in whole numbers, so that the order of the rows doesn't matter; only sums, at most
+``TOPICS`` x ``TOPIC_DIM`` rows, reach the driver. The tokenizer's file is read on the driver
+and goes to the executors with the job.
 
 Defined cases: sources match without regard to letter case, blanks around and the
 kind of separator; a null or unlisted source and a null or empty text take no part;
@@ -48,7 +50,9 @@ TOPIC_DIM = 512
 TOPIC_FROM = 2000
 #: more sources than this are refused: their table is broadcast
 SOURCES = 10_000
-SAMPLE_DOCS = 2000
+#: features are summed in whole numbers of this part
+UNIT = 1 << 20
+TOPIC_ROUNDS = 10
 BINS = 4096
 ROUNDS = 100
 
@@ -73,27 +77,54 @@ def token_ids(tok, texts: list[str]) -> list[list[int]]:
     return [e.ids for s in range(0, len(texts), 256) for e in encode(texts[s:s + 256], add_special_tokens=False)]
 
 
-def topic_features(ids: list[list[int]]) -> np.ndarray:
-    """Length-one hashed bags of the rarer tokens, a row for each text."""
+def topic_features(ids: list[list[int]]) -> list[tuple[bytes, bytes]]:
+    """Hashed bags of the rarer tokens, places and counts for each text."""
     n = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((t for row in ids for t in row), np.int64, int(n.sum()))
     row = np.repeat(np.arange(len(ids)), n)
     keep = flat >= TOPIC_FROM
-    bucket = (flat[keep] * 2654435761 >> 7) % TOPIC_DIM
-    v = np.bincount(row[keep] * TOPIC_DIM + bucket, minlength=len(ids) * TOPIC_DIM).reshape(len(ids), TOPIC_DIM).astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-
-
-def fit_topics(x: np.ndarray, k: int = TOPICS, rounds: int = 10) -> np.ndarray:
-    """Centroids of a spherical k-means over the features."""
-    if not len(x):
-        return np.zeros((1, TOPIC_DIM), np.float32)
-    rng = np.random.default_rng(11)
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    at, count = np.unique(row[keep] * TOPIC_DIM + (flat[keep] * 2654435761 >> 7) % TOPIC_DIM, return_counts=True)
+    cut = np.searchsorted(at, np.arange(1, len(ids)) * TOPIC_DIM)
+    place, count = (at % TOPIC_DIM).astype(np.uint16), count.astype(np.uint32)
+    return [(p.tobytes(), c.tobytes()) for p, c in zip(np.split(place, cut), np.split(count, cut))] if ids else []
+
+
+def topics_of(places: pd.Series, counts: pd.Series, topics: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest of the ``topics`` for each text (the first for one without rarer tokens); topic, place and value of all features, scaled to length one."""
+    n = places.map(len).to_numpy(np.int64) // 2
+    place, count = np.frombuffer(b"".join(places), np.uint16), np.frombuffer(b"".join(counts), np.uint32).astype(np.float64)
+    full = np.flatnonzero(n)
+    out = np.zeros(len(n), np.int32)
+    if not len(full):
+        return out, np.zeros(0, np.int32), place, count
+    start = np.cumsum(n[full]) - n[full]
+    value = count / np.repeat(np.sqrt(np.add.reduceat(count ** 2, start)), n[full])
+    out[full] = np.add.reduceat(value[:, None] * topics.T[place], start, axis=0).argmax(1)
+    return out, np.repeat(out, n), place, value
+
+
+def fit_topics(features: DataFrame, k: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """Centroids of a spherical k-means over ``places, counts`` of all texts, begun from fixed directions."""
+    c = np.random.default_rng(11).normal(size=(k, TOPIC_DIM))
+    last = None
     for _ in range(rounds):
-        a = (x @ c.T).argmax(1)
-        c = np.stack([x[a == j].sum(0) if (a == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        def sums(batches: Iterator[pd.DataFrame], c: np.ndarray = c) -> Iterator[pd.DataFrame]:
+            total = np.zeros(k * TOPIC_DIM, np.int64)
+            for pdf in batches:
+                _, topic, place, value = topics_of(pdf["places"], pdf["counts"], c)
+                np.add.at(total, topic.astype(np.int64) * TOPIC_DIM + place, np.rint(value * UNIT).astype(np.int64))
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "total": total[at]})
+
+        total = np.zeros(k * TOPIC_DIM, np.int64)
+        for r in features.select("places", "counts").mapInPandas(sums, "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).collect():  # at most k x TOPIC_DIM rows
+            total[r["at"]] = r["total"]
+        if last is not None and (total == last).all():
+            break
+        last, means = total, total.reshape(k, TOPIC_DIM).astype(np.float64)
+        used = means.any(1)
+        c = c.copy()
+        c[used] = means[used] / np.linalg.norm(means[used], axis=1, keepdims=True)
     return c
 
 
@@ -104,20 +135,24 @@ def weighed(documents: DataFrame, listed: list[str], tokenizer: str = TOKENIZER)
     docs = (documents.filter(F.col("text") != "").select("doc_id", source_key(F.col("source")).alias("source"),
                                                          F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), "text")
             .join(F.broadcast(names), "source", "left_semi"))  # at most SOURCES rows
-    sample = [r.text for r in docs.select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("text").collect()]
     with open(tokenizer, encoding="utf-8") as f:
-        raw = f.read()
-    topics = fit_topics(topic_features(token_ids(load_tokenizer(raw), sample)))
-    shared = spark.sparkContext.broadcast((raw, topics))  # a vocabulary and TOPICS centroids
+        shared = spark.sparkContext.broadcast(f.read())  # a vocabulary
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, topics = shared.value
-        tok = load_tokenizer(raw)
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = load_tokenizer(shared.value)
         for pdf in batches:
             ids = token_ids(tok, pdf["text"].tolist())
-            yield pdf[["doc_id", "source", "lang"]].assign(topic=(topic_features(ids) @ topics.T).argmax(1).astype(np.int32), tokens=[len(x) for x in ids])
+            bags = topic_features(ids)
+            yield pdf[["doc_id", "source", "lang"]].assign(tokens=[len(x) for x in ids], places=[p for p, _ in bags], counts=[c for _, c in bags])
+
+    read = materialise(docs.select("doc_id", "source", "lang", "text").mapInPandas(tokenise, "doc_id long, source string, lang string, tokens long, places binary, counts binary"), "tokenised")
+    topics = fit_topics(read)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["doc_id", "source", "lang"]].assign(topic=topics_of(pdf["places"], pdf["counts"], topics)[0], tokens=pdf["tokens"])
 
-    return docs.select("doc_id", "source", "lang", "text").mapInPandas(run, "doc_id long, source string, lang string, topic int, tokens long")
+    return read.mapInPandas(label, "doc_id long, source string, lang string, topic int, tokens long")
 
 
 def source_totals(available: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: float | None) -> np.ndarray:
