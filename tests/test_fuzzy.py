@@ -2,7 +2,10 @@
 
 import random
 
-from tmloom.functions.similarity import ratio
+import numpy as np
+
+from tmloom.functions.similarity import lcs_length, ratio
+from tmloom.operators import fuzzy
 from tmloom.operators.fuzzy import similar_texts
 
 
@@ -47,3 +50,26 @@ def test_pairs_at_the_bound_and_without_a_long_run(spark):
         assert least != 90.0 or {"p0", "p1", "p2", "p3"} <= {w[0] for w in want}
         got = {tuple(r) for r in similar_texts(spark.createDataFrame(rows, "id string, scope string, text string"), least, keep=1000).collect()}
         assert got == want
+
+
+def test_one_mould_leaves_no_candidates_on_disk(spark, monkeypatch):
+    """Texts of one mould in several blocks: the same as all pairs, and only the texts themselves are written."""
+    rng = random.Random(4)
+    texts = sorted({f"Travel to {rng.choice(['Lotos', 'Tamvezor', 'Ölren'])} took {rng.randint(1, 9999)} hours{rng.choice(['', ', despite the late start', ', as agreed'])}." for _ in range(150)})
+    first = {t: f"i{k:03d}" for k, t in enumerate(texts)}
+    want = set()
+    for t, i in first.items():
+        near = sorted((-ratio(t, x), j) for x, j in first.items() if x != t and ratio(t, x) >= 90)
+        want |= {("p", i, j, int(-r)) for r, j in near[:5]}
+    monkeypatch.setattr(fuzzy, "BLOCK_ROWS", 40, raising=False)
+    written, write = [], fuzzy.materialise
+    monkeypatch.setattr(fuzzy, "materialise", lambda df, label: written.append(label) or write(df, label))
+    got = {tuple(r) for r in similar_texts(spark.createDataFrame([(i, "p", t) for t, i in first.items()], "id string, scope string, text string")).collect()}
+    assert got == want and written == ["texts"]
+
+
+def test_common_letters_of_many_pairs():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcß ") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 1100)]
+    a, b = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    assert fuzzy._common(texts, a, b).tolist() == [lcs_length(texts[i], texts[j]) for i, j in zip(a, b)]

@@ -1,13 +1,18 @@
-"""Fuzzy self-join of texts by insertion-deletion similarity.
-
-Candidates come from a prefix filter: a text of length L that is at least r percent
-like another differs from it in at most D insertions and deletions, and each of these
-touches at most q of its q-letter runs, so of its runs ordered from rare to frequent
-the first q*D + 1 hold one that the other text has among its own first, if the two have
-any in common. That they have is certain for pairs of some total length on; shorter
-pairs meet by shorter runs (``bands``). Only pairs that share such a run meet; a length
-band and the engine's bounded edit distance thin them out before the exact similarity
-is computed.
+"""Fuzzy joins of texts by insertion-deletion similarity.
+
+The self-join compares all texts of a scope in blocks and writes no candidates: a task
+holds two blocks, bounds by the length, the runs and the counts of letters leave few of
+their pairs, and for these the longest common subsequence is computed, for all at once.
+Only the best of each text leave the task. The work grows with the square of a scope.
+
+The join of texts with others (``similar_pairs``) takes candidates from a prefix filter:
+a text of length L that is at least r percent like another differs from it in at most D
+insertions and deletions, and each of these touches at most q of its q-letter runs, so of
+its runs ordered from rare to frequent the first q*D + 1 hold one that the other text has,
+if the two have any in common. That they have is certain for pairs of some total length
+on; shorter pairs meet by shorter runs (``bands``). Only pairs that share such a run meet;
+a length band and the engine's bounded edit distance thin them out before the exact
+similarity is computed.
 
 Equal texts are collapsed first. Defined cases: null and short texts take no part;
 a text never matches itself or an equal one; ties order by text id.
@@ -18,15 +23,25 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tmloom.functions.similarity import indel_ratio
+from tmloom.functions.similarity import indel_ratio, lcs_length
 from tmloom.session import materialise
 
 GRAM = 4
 MIN_LENGTH = 5
 #: bounds are rounded down from a little above, so that none comes out one too low; the exact similarity decides
 SLACK = 1e-6
+#: texts in a block of the self-join, of which a task holds two; texts compared at once
+BLOCK_ROWS = 4096
+TILE = 512
+#: letters of the runs that are counted in the self-join, and the number of their hash values
+RUN = 3
+BUCKETS = 512
+#: longer texts are compared one by one
+LONG = 1024
 
 
 def most_edits(total: Column, least: float) -> Column:
@@ -83,20 +98,99 @@ def prefix_length(n: Column, least: float, q: int) -> Column:
     return most_edits(n + longest(n, least), least) * q + 1
 
 
-def _pairs(u: DataFrame, least: float, q: int, low: int, high: int | None) -> DataFrame:
-    """``scope, id, other_id``: pairs of the band that share a run of their prefixes."""
-    n = F.length("text")
-    listed = u.filter(in_band(n, least, low, high)).select("scope", "id", n.alias("n"), prefix_length(n, least, q).alias("p"), grams(F.col("text"), q).alias("all"))
-    runs = materialise(listed, "grams").select("scope", "id", "n", "p", F.size("all").alias("total"), F.explode("all").alias("g"))
-    freq = runs.groupBy("scope", "g").agg(F.count("*").alias("df"))
-    ranked = runs.join(freq.filter("df > 1"), ["scope", "g"]).groupBy("scope", "id", "n", "p", "total").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"), F.count("*").alias("shared"))
-    # runs no other text has come first in the order; they use up the prefix without giving candidates
-    left = F.greatest(F.col("p") - (F.col("total") - F.col("shared")), F.lit(0)).cast("int")
-    prefix = materialise(ranked.select("scope", "id", "n", F.explode(F.slice("gs", 1, left)).alias("s")).select("scope", "id", "n", F.col("s.g").alias("g")), "prefixes")
-    b = prefix.select("scope", F.col("id").alias("other_id"), F.col("n").alias("m"), "g")
-    total = F.col("n") + F.col("m")
-    here = total >= low if high is None else (total >= low) & (total < high)
-    return prefix.join(b, ["scope", "g"]).filter((F.col("id") < F.col("other_id")) & here & (F.abs(F.col("n") - F.col("m")) <= most_edits(total, least))).select("scope", "id", "other_id").distinct()
+def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All letters of the texts as numbers, one after the other, and where each text begins (and the last ends)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def _marks(letters: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed runs of ``RUN`` letters that each text has (a row of zeros and ones), and its hashed counts of letters."""
+    n, row = len(start) - 1, np.repeat(np.arange(len(start) - 1), np.diff(start))
+    runs, counts = np.zeros((n, BUCKETS), np.float32), np.zeros((n, 64), np.int32)
+    np.add.at(counts, (row, letters % 64), 1)
+    k = len(letters) - RUN + 1
+    h = sum(letters[i:i + k].astype(np.uint64) * np.uint64((2654435761, 40503, 2246822519)[i]) for i in range(RUN))
+    inside = row[:k] == row[RUN - 1:]
+    runs[row[:k][inside], (h[inside] >> np.uint64(7)) % BUCKETS] = 1
+    return runs, counts
+
+
+def _common(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs of texts, bit-parallel over all pairs at once."""
+    n = np.array([len(t) for t in texts])
+    out = np.zeros(len(a), np.int64)
+    wide = np.maximum(n[a], n[b]) > LONG
+    for k in np.flatnonzero(wide):
+        out[k] = lcs_length(texts[a[k]], texts[b[k]])
+    todo = np.flatnonzero(~wide)
+    todo = todo[np.lexsort((a[todo], n[b[todo]]))]
+    for s in range(0, len(todo), 20_000):
+        at = todo[s:s + 20_000]
+        own, x = np.unique(a[at], return_inverse=True)
+        others, y = np.unique(b[at], return_inverse=True)
+        letters, start = _places([texts[i] for i in (*own, *others)])
+        kinds, code = np.unique(letters, return_inverse=True)
+        row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        place = np.arange(len(letters)) - start[row]
+        mine = row < len(own)
+        words = int(n[own].max() - 1) // 64 + 1
+        masks = np.zeros((words, len(own) * (len(kinds) + 1)), np.uint64)  # the last kind stands behind the end of a text
+        np.bitwise_or.at(masks, (place[mine] // 64, row[mine] * (len(kinds) + 1) + code[mine]), np.uint64(1) << (place[mine] % 64).astype(np.uint64))
+        codes = np.full((int(n[others].max()), len(others)), len(kinds))
+        codes[place[~mine], row[~mine] - len(own)] = code[~mine]
+        v = np.full((words, len(at)), ~np.uint64(0))
+        base = x * (len(kinds) + 1)
+        for letter in codes:
+            where, carry = base + letter[y], None
+            for w in range(words):
+                m = masks[w][where]
+                total = v[w] + (v[w] & m)
+                over = total < v[w]
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                v[w] = total | (v[w] & ~m)
+        out[at] = np.bitwise_count(~v).sum(0)
+    return out
+
+
+def _alike(texts: list[str], left: np.ndarray, right: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts of ``left`` and ``right`` (or of ``left`` alone) that are ``least`` percent alike, and how much.
+
+    Each deletion from a text touches at most ``RUN`` of its runs and each insertion one less; the others stand in its
+    partner. Letters that are not in both are edits themselves. Pairs that both bounds leave are compared in full.
+    """
+    n = np.array([len(t) for t in texts])
+    left = left[np.argsort(n[left], kind="stable")]
+    right_ = left if right is None else right[np.argsort(n[right], kind="stable")]
+    runs, counts = _marks(*_places(texts))
+    kinds = runs.sum(1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for s in range(0, len(left), TILE):
+        mine = left[s:s + TILE]
+        low = np.searchsorted(n[right_], n[mine[0]] * least / (200 - least) - SLACK, side="left")
+        high = np.searchsorted(n[right_], n[mine[-1]] * (200 - least) / least + SLACK, side="right")
+        low = max(low, s) if right is None else low
+        for t in range(low, high, 4 * TILE):
+            theirs = right_[t:min(t + 4 * TILE, high)]
+            x, y = n[mine][:, None].astype(np.float32), n[theirs][None, :].astype(np.float32)
+            edits = np.floor((100 - least) / 100 * (x + y) * (1 + 1e-6) + 1e-3)  # in single precision: rather one too many
+            both = runs[mine] @ runs[theirs].T
+            # of the edits (e + x - y) / 2 are deletions from the first; RUN of its runs for each, and RUN - 1 for each of the others
+            ok = (both >= kinds[mine][:, None] - ((RUN - 0.5) * edits + (x - y) / 2)) & (both >= kinds[theirs][None, :] - ((RUN - 0.5) * edits - (x - y) / 2)) & (np.abs(x - y) <= edits)
+            if right is None:
+                ok &= np.arange(s, s + len(mine))[:, None] < np.arange(t, t + len(theirs))[None, :]
+            i, j = np.nonzero(ok)
+            for c in range(0, len(i), 100_000):
+                a, b, e = mine[i[c:c + 100_000]], theirs[j[c:c + 100_000]], edits[i[c:c + 100_000], j[c:c + 100_000]]
+                near = np.abs(counts[a] - counts[b]).sum(1) <= e
+                a, b = a[near], b[near]
+                if len(a):
+                    ratio = 200.0 * _common(texts, a, b) / (n[a] + n[b])
+                    keep = ratio >= least
+                    found.append((a[keep], b[keep], ratio[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def similar_pairs(texts: DataFrame, others: DataFrame, least: float, shortest: int) -> DataFrame:
@@ -125,12 +219,29 @@ def similar_texts(texts: DataFrame, least: float = 90.0, keep: int = 5) -> DataF
     ``texts`` has ``id, scope, text``; equal texts of a scope are one text under their smallest id.
     """
     u = materialise(texts.filter(F.col("text").isNotNull() & F.col("scope").isNotNull() & (F.length("text") >= MIN_LENGTH)).groupBy("scope", "text").agg(F.min("id").alias("id")), "texts")
-    pairs = reduce(DataFrame.unionByName, [_pairs(u, least, *band) for band in bands(least, MIN_LENGTH)])
-    t = u.select("scope", "id", "text")
-    full = pairs.join(t, ["scope", "id"]).join(t.select("scope", F.col("id").alias("other_id"), F.col("text").alias("other")), ["scope", "other_id"])
-    bound = most_edits(F.length("text") + F.length("other"), least)
-    # the bounded distance gives up at the bound, which may differ from pair to pair
-    near = full.withColumn("bound", bound).filter(F.expr("levenshtein(text, other, bound) >= 0")).withColumn("ratio", indel_ratio("text", "other")).filter(F.col("ratio") >= least)
-    both = near.select("scope", "id", "other_id", "ratio").unionByName(near.select("scope", F.col("other_id").alias("id"), F.col("id").alias("other_id"), "ratio"))
+    # large scopes in blocks, each of which meets each; small ones together, some to a task
+    bins = max(1, math.ceil(u.count() / BLOCK_ROWS))
+    sizes = u.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = (u.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("text"), "blocks").cast("int"))
+              .withColumn("bin", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("scope"), F.lit(bins)).cast("string")).otherwise(F.concat(F.lit("s"), F.col("scope").cast("string"))))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "scope", "id", "text"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pdf[["scope", "id"]].iloc[:0].assign(other_id=pdf["id"].iloc[:0], ratio=np.zeros(0))]
+        for _, own in pdf.groupby("scope", sort=False):
+            if len(own) < 2:
+                continue
+            block, i, j = own["block"].to_numpy(), own["i"].iloc[0], own["j"].iloc[0]
+            a, b, ratio = _alike(own["text"].tolist(), np.flatnonzero(block == i), None if i == j else np.flatnonzero(block == j), least)
+            if len(a):
+                ids = own["id"].to_numpy()
+                both = pd.DataFrame({"scope": own["scope"].iloc[0], "id": ids[np.concatenate([a, b])], "other_id": ids[np.concatenate([b, a])], "ratio": np.concatenate([ratio, ratio])})
+                # more than ``keep`` of one text in a block can't be among its best
+                out.append(both.sort_values(["ratio", "other_id"], ascending=[False, True]).groupby("id", sort=False).head(keep))
+        return pd.concat(out)
+
+    kind = {c: u.schema[c].dataType.simpleString() for c in ("scope", "id")}
+    both = placed.groupBy("bin", "i", "j").applyInPandas(search, f"scope {kind['scope']}, id {kind['id']}, other_id {kind['id']}, ratio double")
     w = Window.partitionBy("scope", "id").orderBy(F.desc("ratio"), "other_id")
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep).select("scope", "id", "other_id", F.floor("ratio").cast("int").alias("score"))
