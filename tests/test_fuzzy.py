@@ -72,4 +72,4 @@ def test_common_letters_of_many_pairs():
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcß ") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 1100)]
     a, b = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
-    assert fuzzy._common(texts, a, b).tolist() == [lcs_length(texts[i], texts[j]) for i, j in zip(a, b)]
+    assert fuzzy.common(texts, a, b).tolist() == [lcs_length(texts[i], texts[j]) for i, j in zip(a, b)]

@@ -53,3 +53,16 @@ def test_fuzzy_hits_against_all_runs(spark):
                     want[i, j] = (at, round(ratio(run, " ".join(v)), 2))
     assert {("s00", "t1"), ("s01", "t2"), ("s02", "t3"), ("s04", "t4"), ("s08", "ta")} <= set(want)
     assert {(r.id, r.term_id): (r.at, r.ratio) for r in glossary.fuzzy_hits(s, t, hits).collect()} == want
+
+
+def test_runs_are_not_written(spark, monkeypatch):
+    """Sentences of a scope in several blocks: every hit of both kinds, and only the sentences themselves are written."""
+    monkeypatch.setattr(glossary, "BLOCK_ROWS", 7, raising=False)
+    written, write = [], glossary.materialise
+    monkeypatch.setattr(glossary, "materialise", lambda df, label: written.append(label) or write(df, label))
+    s = spark.createDataFrame([(f"s{k:02d}", "p", f"Number {k} of the {'international programmes' if k % 2 else 'international programmme'}") for k in range(40)], "id string, scope string, source string")
+    t = spark.createDataFrame([("t", "p", "international programme")], "term_id string, scope string, term string")
+    hits = glossary.phrase_hits(s, t)
+    assert {(r.id, r.at) for r in hits.collect()} == {(f"s{k:02d}", 4) for k in range(1, 40, 2)}
+    assert {(r.id, r.at, r.ratio) for r in glossary.fuzzy_hits(s, t, hits).collect()} == {(f"s{k:02d}", 4, 97.87) for k in range(0, 40, 2)}
+    assert not {"runs", "grams", "prefixes"} & set(written)

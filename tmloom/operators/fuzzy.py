@@ -98,24 +98,29 @@ def prefix_length(n: Column, least: float, q: int) -> Column:
     return most_edits(n + longest(n, least), least) * q + 1
 
 
-def _places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def places_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All letters of the texts as numbers, one after the other, and where each text begins (and the last ends)."""
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
+def counts_of(letters: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The hashed counts of letters of each text."""
+    n = len(start) - 1
+    return np.bincount(np.repeat(np.arange(n), np.diff(start)) * 64 + letters % 64, minlength=n * 64).reshape(n, 64).astype(np.int32)
+
+
 def _marks(letters: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashed runs of ``RUN`` letters that each text has (a row of zeros and ones), and its hashed counts of letters."""
     n, row = len(start) - 1, np.repeat(np.arange(len(start) - 1), np.diff(start))
-    runs, counts = np.zeros((n, BUCKETS), np.float32), np.zeros((n, 64), np.int32)
-    np.add.at(counts, (row, letters % 64), 1)
+    runs = np.zeros((n, BUCKETS), np.float32)
     k = len(letters) - RUN + 1
     h = sum(letters[i:i + k].astype(np.uint64) * np.uint64((2654435761, 40503, 2246822519)[i]) for i in range(RUN))
     inside = row[:k] == row[RUN - 1:]
     runs[row[:k][inside], (h[inside] >> np.uint64(7)) % BUCKETS] = 1
-    return runs, counts
+    return runs, counts_of(letters, start)
 
 
-def _common(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def common(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of pairs of texts, bit-parallel over all pairs at once."""
     n = np.array([len(t) for t in texts])
     out = np.zeros(len(a), np.int64)
@@ -128,7 +133,7 @@ def _common(texts: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = todo[s:s + 20_000]
         own, x = np.unique(a[at], return_inverse=True)
         others, y = np.unique(b[at], return_inverse=True)
-        letters, start = _places([texts[i] for i in (*own, *others)])
+        letters, start = places_of([texts[i] for i in (*own, *others)])
         kinds, code = np.unique(letters, return_inverse=True)
         row = np.repeat(np.arange(len(start) - 1), np.diff(start))
         place = np.arange(len(letters)) - start[row]
@@ -164,7 +169,7 @@ def _alike(texts: list[str], left: np.ndarray, right: np.ndarray | None, least:
     n = np.array([len(t) for t in texts])
     left = left[np.argsort(n[left], kind="stable")]
     right_ = left if right is None else right[np.argsort(n[right], kind="stable")]
-    runs, counts = _marks(*_places(texts))
+    runs, counts = _marks(*places_of(texts))
     kinds = runs.sum(1)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for s in range(0, len(left), TILE):
@@ -187,7 +192,7 @@ def _alike(texts: list[str], left: np.ndarray, right: np.ndarray | None, least:
                 near = np.abs(counts[a] - counts[b]).sum(1) <= e
                 a, b = a[near], b[near]
                 if len(a):
-                    ratio = 200.0 * _common(texts, a, b) / (n[a] + n[b])
+                    ratio = 200.0 * common(texts, a, b) / (n[a] + n[b])
                     keep = ratio >= least
                     found.append((a[keep], b[keep], ratio[keep]))
     return tuple(np.concatenate(c) for c in zip(*found))

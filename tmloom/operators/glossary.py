@@ -1,8 +1,8 @@
 """Glossary terms in text: phrase matches, and a fuzzy second chance.
 
-Sentences are turned into the word sequences of the lengths that terms have, and
-meet the terms in a hash join on (scope, phrase), so no term is tested against every
-sentence.
+Sentences meet the terms of their scope in tasks, in blocks: a term is looked up among
+the word sequences of a sentence, or by pieces of it, so no term is tested against every
+sentence, and no word sequence is written.
 
 Defined cases: terms without words never match; letter case and tags are ignored;
 of several hits of a term in a sentence the first counts; a null scope matches none.
@@ -10,6 +10,12 @@ of several hits of a term in a sentence the first counts; a null scope matches n
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tmloom.functions import text as T
@@ -19,6 +25,10 @@ from tmloom.session import materialise
 WORD = r"[\p{L}\p{N}]+"
 #: letters of a term for the fuzzy second chance
 SHORTEST = 4
+#: sentences of a scope in a task, which holds all terms of the scope
+BLOCK_ROWS = 8192
+#: pairs of terms and runs that are compared at once
+PAIRS = 500_000
 
 
 # fixed values: endings that go, first to last, in words of four letters or more (pattern, what stays)
@@ -49,19 +59,115 @@ def lemma_words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(T.strip_tags(c), F.lit(WORD), F.lit(0)), lemma)
 
 
-def phrases(words: Column, n: Column) -> Column:
-    """The runs of ``n`` words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
+def _met(sentences: DataFrame, phrases: DataFrame, find: Callable[[list[str], list[str]], Iterator[tuple]]) -> DataFrame:
+    """``id, scope, phrase, at, ratio`` of the hits that ``find`` has of the phrases in the texts of a scope.
 
-def _runs(words: DataFrame, terms: DataFrame, least: float) -> DataFrame:
-    """``id, scope, at, run``: the runs of ``w`` that have as many words as a term of the scope, ``n``, and about as many letters, ``m``."""
-    sizes = terms.groupBy("scope").agg(F.collect_set(F.struct("n", "m")).alias("sizes"))
-    fits = lambda run, n: F.exists("sizes", lambda x: (x["n"] == n) & (F.abs(F.length(run) - x["m"]) <= fuzzy.most_edits(F.length(run) + x["m"], least)))
-    runs = F.flatten(F.transform(F.array_distinct(F.col("sizes.n")), lambda n: F.filter(
-        F.transform(phrases(F.col("w"), n), lambda p, i: F.struct(i.alias("at"), p.alias("run"))), lambda r: fits(r["run"], n))))
-    return words.join(sizes, "scope").select("id", "scope", F.explode(runs).alias("r")).select("id", "scope", "r.at", "r.run")
+    ``sentences`` has ``id, scope, text`` and is read twice; ``phrases`` has ``scope, phrase``. Large scopes go in blocks, with
+    the phrases to each; small ones together. Runs of words are made within the tasks and never written.
+    """
+    bins = max(1, math.ceil(sentences.count() / BLOCK_ROWS))
+    sizes = sentences.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).join(phrases.select("scope").distinct(), "scope").select(
+        "scope", "blocks", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("scope"), F.lit(bins)).cast("string")).otherwise(F.concat(F.lit("s"), F.col("scope").cast("string"))).alias("bin"))
+    placed = (sentences.join(sizes, "scope").select("bin", F.pmod(F.xxhash64("id", "text"), "blocks").cast("int").alias("block"), "scope", "id", "text", F.lit(False).alias("term"))
+              .unionByName(phrases.join(sizes, "scope").select("bin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "scope", F.lit(None).cast(sentences.schema["id"].dataType).alias("id"),
+                                                               F.col("phrase").alias("text"), F.lit(True).alias("term"))))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": pdf["id"].iloc[:0], "scope": pdf["scope"].iloc[:0], "phrase": pdf["text"].iloc[:0], "at": np.zeros(0, np.int32), "ratio": np.zeros(0)})]
+        for scope, own in pdf.groupby("scope", sort=False):
+            term = own["term"].to_numpy(bool)
+            terms, texts, ids = own["text"][term].tolist(), own["text"][~term].tolist(), own["id"].to_numpy()[~term]
+            if terms and texts:
+                for row, t, at, ratio in find(terms, texts):
+                    out.append(pd.DataFrame({"id": ids[row], "scope": scope, "phrase": np.array(terms, object)[t], "at": np.asarray(at, np.int32), "ratio": ratio}))
+        return pd.concat(out)
+
+    kind = {c: sentences.schema[c].dataType.simpleString() for c in ("id", "scope")}
+    return placed.groupBy("bin", "block").applyInPandas(search, f"id {kind['id']}, scope {kind['scope']}, phrase string, at int, ratio double")
+
+
+def _words_at(text: str) -> tuple[list[int], list[int]]:
+    """Where the words begin and end."""
+    ends = [i for i, c in enumerate(text) if c == " "]
+    return [0, *(i + 1 for i in ends)], [*ends, len(text)]
+
+
+def _exact(terms: list[str], texts: list[str]) -> Iterator[tuple]:
+    """Row, term, first word and 100 for each term that is a run of words of the text."""
+    place, lengths = {t: k for k, t in enumerate(terms)}, sorted({t.count(" ") + 1 for t in terms})
+    rows, which, at = [], [], []
+    for row, text in enumerate(texts):
+        begin, end = _words_at(text)
+        for n in lengths:
+            for w in range(len(begin) - n + 1):
+                k = place.get(text[begin[w]:end[w + n - 1]])
+                if k is not None:
+                    rows.append(row)
+                    which.append(k)
+                    at.append(w)
+    if rows:
+        yield np.array(rows), np.array(which), np.array(at), np.full(len(rows), 100.0)
+
+
+def _like(least: float) -> Callable[[list[str], list[str]], Iterator[tuple]]:
+    """The same for runs of as many words that are ``least`` percent like the term.
+
+    A term that can differ by D insertions and deletions is cut into D + 1 pieces: one of them stands in the run, moved by D
+    letters at most.
+    """
+    def find(terms: list[str], texts: list[str]) -> Iterator[tuple]:
+        index: dict[int, dict[str, list]] = {}
+        everywhere, words, most = [], [t.count(" ") + 1 for t in terms], []
+        for k, t in enumerate(terms):
+            m = len(t)
+            edits = math.floor((100 - least) * (m + math.floor(m * (200 - least) / least + fuzzy.SLACK)) / 100 + fuzzy.SLACK)
+            most.append(edits)
+            if edits + 1 > m:
+                everywhere.append(k)
+                continue
+            cuts = [m * i // (edits + 1) for i in range(edits + 2)]
+            for o, e in zip(cuts, cuts[1:]):
+                index.setdefault(e - o, {}).setdefault(t[o:e], []).append((k, o))
+        found, runs = [], {}
+
+        def compared() -> Iterator[tuple]:
+            if not found:
+                return
+            row, k, at, run = np.array(found).T
+            pairs, back = np.unique(k * len(runs) + run, return_inverse=True)
+            a, b = pairs // len(runs), pairs % len(runs) + len(terms)
+            both = [*terms, *runs]
+            n = np.array([len(t) for t in both])
+            counts = fuzzy.counts_of(*fuzzy.places_of(both))
+            ratio = np.zeros(len(a))
+            for c in range(0, len(a), 100_000):
+                x, y = a[c:c + 100_000], b[c:c + 100_000]
+                near = np.flatnonzero(np.abs(counts[x] - counts[y]).sum(1) <= (100 - least) / 100 * (n[x] + n[y]) + fuzzy.SLACK)
+                ratio[c + near] = 200.0 * fuzzy.common(both, x[near], y[near]) / (n[x[near]] + n[y[near]])
+            ok = ratio[back] >= least
+            if ok.any():
+                yield row[ok], k[ok], at[ok], ratio[back][ok]
+
+        for row, text in enumerate(texts):
+            begin, end = _words_at(text)
+            pairs = {(k, w) for k in everywhere for w in range(len(begin))}
+            for size, pieces in index.items():
+                for p in range(len(text) - size + 1):
+                    for k, o in pieces.get(text[p:p + size], ()):
+                        for w in range(bisect_left(begin, p - o - most[k]), bisect_right(begin, p - o + most[k])):
+                            pairs.add((k, w))
+            for k, w in pairs:
+                if w + words[k] <= len(begin):
+                    run = text[begin[w]:end[w + words[k] - 1]]
+                    if len(run) >= SHORTEST and abs(len(run) - len(terms[k])) <= most[k]:
+                        found.append((row, k, w, runs.setdefault(run, len(runs))))
+            if len(found) >= PAIRS:
+                yield from compared()
+                found.clear()
+                runs.clear()
+        yield from compared()
+
+    return find
 
 
 def matcher(terms: DataFrame) -> DataFrame:
@@ -74,23 +180,20 @@ def phrase_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
 
     ``segments`` has ``id, scope, source``; ``terms`` has ``term_id, scope, term``.
     """
-    t = matcher(terms).select("term_id", "scope", F.col("phrase").alias("run"), F.col("n_words").alias("n"), F.length("phrase").alias("m"))
-    w = segments.filter("source is not null and scope is not null").select("id", "scope", lemma_words(F.col("source")).alias("w"))
-    return _runs(w, t, 100.0).join(t.drop("n", "m"), ["scope", "run"]).groupBy("id", "term_id").agg(F.min("at").alias("at"))
+    t = matcher(terms).select("term_id", "scope", "phrase")
+    w = materialise(segments.filter("source is not null and scope is not null").select("id", "scope", F.array_join(lemma_words(F.col("source")), " ").alias("text")), "lemmas")
+    return _met(w, t.select("scope", "phrase").distinct(), _exact).join(t, ["scope", "phrase"]).groupBy("id", "term_id").agg(F.min("at").alias("at"))
 
 
 def fuzzy_hits(segments: DataFrame, terms: DataFrame, hits: DataFrame, least: float = 90.0) -> DataFrame:
     """``id, term_id, at, ratio``: of terms without a phrase hit, the first like-sounding run of as many words.
 
-    Runs and terms meet by the prefix filter of the fuzzy join, whose bounds follow from ``least``.
+    Runs and terms meet in a piece of the term, of which there is one more than ``least`` allows edits.
     """
     plain = lambda c: F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.lower)
-    t = terms.select("term_id", "scope", plain(F.col("term")).alias("w")).select("term_id", "scope", F.array_join("w", " ").alias("phrase"), F.size("w").alias("n")).withColumn("m", F.length("phrase")).filter(F.col("m") >= SHORTEST)
-    w = segments.filter("source is not null and scope is not null").select("id", "scope", plain(T.strip_tags(F.col("source"))).alias("w"))
-    r = materialise(_runs(w, t, least).filter(F.length("run") >= SHORTEST), "runs")
-    alike = (fuzzy.similar_pairs(t.select("scope", F.col("phrase").alias("text")), r.select("scope", F.col("run").alias("other")), least, SHORTEST)
-             .filter(F.regexp_count("other", F.lit(" ")) == F.regexp_count("text", F.lit(" "))).select("scope", F.col("text").alias("phrase"), F.col("other").alias("run"), "ratio"))
-    cand = alike.join(t.select("term_id", "scope", "phrase"), ["scope", "phrase"]).join(r, ["scope", "run"]).join(hits.select("id", "term_id"), ["id", "term_id"], "left_anti")
+    t = terms.select("term_id", "scope", F.array_join(plain(F.col("term")), " ").alias("phrase")).filter(F.length("phrase") >= SHORTEST)
+    w = materialise(segments.filter("source is not null and scope is not null").select("id", "scope", F.array_join(plain(T.strip_tags(F.col("source"))), " ").alias("text")), "words")
+    cand = _met(w, t.select("scope", "phrase").distinct(), _like(least)).join(t, ["scope", "phrase"]).join(hits.select("id", "term_id"), ["id", "term_id"], "left_anti")
     return cand.groupBy("id", "term_id").agg(F.min(F.struct("at", "ratio")).alias("f")).select("id", "term_id", F.col("f.at").alias("at"), F.round("f.ratio", 2).alias("ratio"))
 
 
